@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 import zlib
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +39,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once an application: they need not have it installed."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp(prefix="intervale-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(target, "w") as out:
+        for file in package.rglob("*.py"):
+            out.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(target))
+    _shipped.add(context.applicationId)
+
+
 def by_text_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound Arrow batches by rows, since one text may be very long. A smaller setting of the session stays."""
+    """Before a plan with Python: send the package, and bound Arrow batches by rows, since one text may be very long.
+    A smaller setting of the session stays."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
         spark.conf.set(key, str(rows))
@@ -56,9 +77,8 @@ def slices(batch: pa.RecordBatch, text: str = "text", most: int = SLICE_BYTES) -
     n = batch.num_rows
     if not n:
         return
-    ends = np.frombuffer(text_of(batch.column(text)).buffers()[1], np.int64)
     array = text_of(batch.column(text))
-    ends = ends[array.offset : array.offset + n + 1]
+    ends = np.frombuffer(array.buffers()[1], np.int64)[array.offset : array.offset + n + 1]
     at = 0
     while at < n:
         to = int(np.searchsorted(ends, ends[at] + most, "right")) - 1
