@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, jaccard, language, lines, media, packing, sharding, toxicity, urls
+from . import decontamination, jaccard, language, lines, media, packing, quality, sharding, toxicity, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_classifier": quality.query,
         "op2_url_filters": urls.query,
         "op3_line_dedup": lines.query,
         "op4_sharding": sharding.query,
