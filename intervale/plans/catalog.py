@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import interval_queries  # noqa: F401  it registers its queries
+from . import interval_queries, service_queries  # noqa: F401  they register their queries
 from .registry import ORACLES, QUERIES
 
 

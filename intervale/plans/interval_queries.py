@@ -168,7 +168,7 @@ def _windows(size: int) -> str:
     return f", windows as (select file_id, k as window_idx, k * {size} as win_start, k * {size} + {size} as win_end from (select file_id, unnest(range(greatest(duration_ms, 0) // {size} + 1)) as k from files))"
 
 
-@query("jn9_window_silences", with_tables("segments", "silences", "files") + _windows(5000) + """ select w.file_id, w.window_idx, count(x.start_ms) as n, coalesce(sum(least(x.end_ms, win_end) - greatest(x.start_ms, win_start)), 0)::bigint as overlap_ms
+@query("jn9_window_silences", with_tables("segments", "silences", "files") + _windows(5000) + """ select w.file_id, w.window_idx, count(x.start_ms) as n, coalesce(sum(least(x.end_ms, win_end) - greatest(x.start_ms, win_start)) filter (x.start_ms is not null), 0)::bigint as overlap_ms
 from windows w left join silences x on w.file_id = x.file_id and least(x.end_ms, win_end) > greatest(x.start_ms, win_start) group by all""")
 def window_silences(spark: SparkSession, d: str) -> DataFrame:
     return iv.window_overlaps(windows_of(spark, d, 5000), derived(spark, d, "silences"))
