@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-BY_FILE = Window.partitionBy("file_id")
+
+def by_file() -> WindowSpec:
+    return Window.partitionBy("file_id")
 
 
 def _collapsed(marked: DataFrame, order: str, last_end: bool) -> DataFrame:
@@ -17,7 +19,7 @@ def _collapsed(marked: DataFrame, order: str, last_end: bool) -> DataFrame:
 
 def merge_same_speaker(segments: DataFrame, gap_ms: int = 50, order: str = "seg_idx") -> DataFrame:
     """Neighbours of one speaker whose gap to the largest end so far is at most gap_ms become one; end: the largest."""
-    w = BY_FILE.orderBy(order)
+    w = by_file().orderBy(order)
     runs = segments.withColumn("_change", F.when(F.col("speaker").eqNullSafe(F.lag("speaker").over(w)) & F.lag(order).over(w).isNotNull(), 0).otherwise(1)).withColumn("_run", F.sum("_change").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     r = Window.partitionBy("file_id", "_run").orderBy(order)
     # Inside a run starts do not fall, so the largest end before a row is that of its own island or lies further back.
@@ -28,7 +30,7 @@ def merge_same_speaker(segments: DataFrame, gap_ms: int = 50, order: str = "seg_
 
 def merge_consecutive(segments: DataFrame, gap_ms: int = 3000, order: str = "seg_idx") -> DataFrame:
     """Neighbours of one speaker with a gap below gap_ms to the previous end become one; end: the last one's."""
-    w = BY_FILE.orderBy(order)
+    w = by_file().orderBy(order)
     joined = F.col("speaker").eqNullSafe(F.lag("speaker").over(w)) & (F.col("start_ms") - F.lag("end_ms").over(w) < gap_ms)
     marked = segments.withColumn("_new", F.when(joined, 0).otherwise(1))
     return _collapsed(marked.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))), order, True)
@@ -37,13 +39,13 @@ def merge_consecutive(segments: DataFrame, gap_ms: int = 3000, order: str = "seg
 def talk_time(segments: DataFrame) -> DataFrame:
     """Total and share (in millionths, rounded down; a file without duration: all) of each speaker."""
     totals = segments.groupBy("file_id", "speaker").agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("total_ms"), F.count(F.lit(1)).alias("n_segments"))
-    whole = F.sum("total_ms").over(BY_FILE)
+    whole = F.sum("total_ms").over(by_file())
     return totals.withColumn("share_ppm", F.when(whole > 0, F.floor(F.col("total_ms") * 1_000_000 / whole)).otherwise(F.lit(1_000_000)))
 
 
 def ranked_speakers(segments: DataFrame) -> DataFrame:
     """talk_time with a dense rank from 0: longest first, a tie by the old label."""
-    return talk_time(segments).withColumn("new_speaker", F.row_number().over(BY_FILE.orderBy(F.desc("total_ms"), "speaker")) - 1)
+    return talk_time(segments).withColumn("new_speaker", F.row_number().over(by_file().orderBy(F.desc("total_ms"), "speaker")) - 1)
 
 
 def relabel_by_duration(segments: DataFrame) -> DataFrame:
@@ -54,7 +56,7 @@ def relabel_by_duration(segments: DataFrame) -> DataFrame:
 
 def switches(segments: DataFrame, short_ms: int = 1500, order: str = "seg_idx") -> DataFrame:
     """Speaker changes of each file, and whether a short middle of an A-B-A occurs (read only)."""
-    w = BY_FILE.orderBy(order)
+    w = by_file().orderBy(order)
     prev, nxt = F.lag("speaker").over(w), F.lead("speaker").over(w)
     aba = (prev == nxt) & (prev != F.col("speaker")) & (F.col("end_ms") - F.col("start_ms") <= short_ms)
     marked = segments.select("file_id", F.coalesce((prev != F.col("speaker")).cast("int"), F.lit(0)).alias("_s"), F.coalesce(aba, F.lit(False)).alias("_a"))
@@ -81,7 +83,7 @@ def top_speakers_per_frame(activity: DataFrame, count: Column | str = "k") -> Da
 
 def tight_boundaries(segments: DataFrame, tight_ms: int = 250, short_ms: int = 1000, order: str = "seg_idx") -> DataFrame:
     """Flags: a boundary to the left or right with a gap of at most tight_ms either way, and a very short segment."""
-    w = BY_FILE.orderBy(order)
+    w = by_file().orderBy(order)
     left = F.abs(F.col("start_ms") - F.lag("end_ms").over(w)) <= tight_ms
     right = F.abs(F.lead("start_ms").over(w) - F.col("end_ms")) <= tight_ms
     return segments.select("file_id", order, F.coalesce(left, F.lit(False)).alias("tight_left"), F.coalesce(right, F.lit(False)).alias("tight_right"), (F.col("end_ms") - F.col("start_ms") <= short_ms).alias("very_short"))
@@ -90,9 +92,9 @@ def tight_boundaries(segments: DataFrame, tight_ms: int = 250, short_ms: int = 1
 def linear_text_cuts(turns: DataFrame, text: DataFrame) -> DataFrame:
     """A file's text cut by the turns' shares of time, at round half even; the last turn takes the rest.
     turns: file_id, turn_idx, start_ms, end_ms, speaker; text: file_id, text."""
-    w = BY_FILE.orderBy("start_ms", "turn_idx")
+    w = by_file().orderBy("start_ms", "turn_idx")
     upto = F.sum(F.col("end_ms") - F.col("start_ms")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    whole = F.sum(F.col("end_ms") - F.col("start_ms")).over(BY_FILE)
+    whole = F.sum(F.col("end_ms") - F.col("start_ms")).over(by_file())
     t = turns.join(text, "file_id").withColumn("_n", F.length("text"))
     cut = F.when(F.lead("turn_idx").over(w).isNull(), F.col("_n")).otherwise(F.least(F.bround(upto * F.col("_n") / whole).cast("int"), F.col("_n")))
     t = t.where(F.col("_n") > 0).withColumn("_whole", whole).where("_whole > 0").withColumn("_cut", cut)
