@@ -4,18 +4,20 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
 import zlib
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: A batch that reaches Python is worked on in slices of at most this many bytes of text (one longer text is a slice of its own).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+#: The same for kernels that step through all texts of a slice together.
+STEPPED_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,21 +41,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once an application: they need not have it installed."""
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    package = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp(prefix="intervale-")) / f"{package.name}.zip"
-    with zipfile.ZipFile(target, "w") as out:
-        for file in package.rglob("*.py"):
-            out.write(file, file.relative_to(package.parent))
-    context.addPyFile(str(target))
-    _shipped.add(context.applicationId)
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, or one like it that df has no column of."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def by_text_batches(spark: SparkSession, rows: int = 512) -> None:
@@ -87,12 +80,12 @@ def slices(batch: pa.RecordBatch, text: str = "text", most: int = SLICE_BYTES) -
         at = to
 
 
-def map_slices(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, text: str = "text") -> DataFrame:
+def map_slices(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, text: str = "text", most: int = SLICE_BYTES) -> DataFrame:
     """mapInArrow, slice by slice; `work` makes one batch of rows from one slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, most):
                 out = work(part)
                 if out is not None and out.num_rows:
                     yield out

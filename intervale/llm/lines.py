@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import fresh, table, written
 
 MIN_SITES = 5
 MIN_CHARS = 25
@@ -52,16 +52,18 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """docs with boilerplate lines removed from text, and the numbers of lines before and removed as
-    lines_before and lines_removed."""
+    lines_before and lines_removed (in place of columns of these names)."""
     lines = written(_lines(docs), "lines")
     known = boilerplate(lines, min_sites)
-    gone = lines.join(known, "line").where(F.col("doc_id") != F.col("keeper")).groupBy("doc_id").agg(F.collect_set("line").alias("_gone")).withColumnRenamed("doc_id", "_doc")
-    joined = docs.join(gone, F.coalesce(F.col("doc_id").cast("long"), F.lit(-1 << 63)) == F.col("_doc"), "left")
-    all_lines = F.split(F.col("text"), "\n")
-    kept = F.filter(all_lines, lambda x: ~(_long(x) & F.array_contains(F.col("_gone"), _key(x))))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    counts = {"lines_before": F.size(all_lines), "lines_removed": F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.size(all_lines) - F.size(kept))}
-    return joined.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns], *[F.coalesce(v, F.lit(0)).cast("int").alias(k) for k, v in counts.items()])
+    docs = docs.drop("lines_before", "lines_removed")
+    set_, id_ = fresh(docs, "_gone"), fresh(docs, "_doc")
+    gone = lines.join(known, "line").where(F.col("doc_id") != F.col("keeper")).groupBy("doc_id").agg(F.collect_set("line").alias(set_)).withColumnRenamed("doc_id", id_)
+    joined = docs.join(gone, F.coalesce(docs["doc_id"].cast("long"), F.lit(-1 << 63)) == gone[id_], "left")
+    all_lines = F.split(docs["text"], "\n")
+    kept = F.filter(all_lines, lambda x: ~(_long(x) & F.array_contains(gone[set_], _key(x))))
+    text = F.when(gone[set_].isNull(), docs["text"]).otherwise(F.array_join(kept, "\n"))
+    counts = {"lines_before": F.size(all_lines), "lines_removed": F.when(gone[set_].isNull(), F.lit(0)).otherwise(F.size(all_lines) - F.size(kept))}
+    return joined.select(*[text.alias(c) if c == "text" else docs[c] for c in docs.columns], *[F.coalesce(v, F.lit(0)).cast("int").alias(k) for k, v in counts.items()])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
