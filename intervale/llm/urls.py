@@ -21,18 +21,22 @@ RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow",
 SIZES = (3, 4)
 DIMENSIONS = 1024
 MOST_LABELLED = 10_000
+#: Least probability at which the model blocks: neighbouring words share n-grams with listed ones.
+THRESHOLD = 0.8
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Words of the built-in labelled table, and the paths that both classes share.
 _GOOD_WORDS = "weather nation theatre method thunder station thread garden health north earth other gathering library history science music travel recipe school museum forum market review photo cinema sport village kitchen journal".split()
 _BAD_WORDS = "casino bets pills spam adult ads track loans xxx jackpot slots cheap free win porn farm replica poker prize cams".split()
+_SYLLABLES = "th tion ing an er on re ha es st nd or en ti ble le".split()
 _PATHS = ("/en/4821", "/fr/913.html", "/de/7710/", "/es/20145")
 
 
 def labelled_urls() -> list[tuple[str, int]]:
     """The built-in small labelled table: url, 1 for those to block."""
     out = []
-    for k, word in enumerate(_GOOD_WORDS):
+    plain = [a + b for a in _SYLLABLES for b in _SYLLABLES if a != b][::3]
+    for k, word in enumerate(_GOOD_WORDS + plain):
         for j, sub in enumerate(("", "www.", "m.", "blog.")):
             out.append((f"https://{sub}{word}.example.{('com', 'net', 'org')[(k + j) % 3]}{_PATHS[(k + j) % 4]}", 0))
     for k, word in enumerate(_BAD_WORDS):
@@ -112,7 +116,7 @@ def _score(host: Column, path: Column, weights: list[float]) -> Column:
     return F.lit(weights[-1]) + F.when(host == "", F.lit(0.0)).otherwise(total / F.sqrt(F.greatest(F.size(buckets), F.lit(1)).cast("double")))
 
 
-def filter_urls(pages: DataFrame, weights: list[float] | None = None, rules: Iterable[tuple[str, str, str]] = RULES, threshold: float = 0.5) -> DataFrame:
+def filter_urls(pages: DataFrame, weights: list[float] | None = None, rules: Iterable[tuple[str, str, str]] = RULES, threshold: float = THRESHOLD) -> DataFrame:
     """page_id, host, path, rule, verdict and the model's score of every row of pages (page_id, url)."""
     weights = weights or train(labelled_urls())
     host, path = host_and_path(F.col("url"))
@@ -152,7 +156,7 @@ grams as (
   select *, round(1 / (1 + exp(-({weights[-1]} + case when host = '' then 0 else coalesce(list_sum(g), 0) / sqrt(greatest(len(g), 1)) end))), 6) as score from grams
 )
 select page_id, host, path, case {rule} end as rule,
-       coalesce(case {by_rule} end, case when score >= 0.5 then 'block' else 'allow' end) as verdict, score
+       coalesce(case {by_rule} end, case when score >= {THRESHOLD} then 'block' else 'allow' end) as verdict, score
 from scored"""
 
 
