@@ -75,63 +75,69 @@ def _counts_of_counts(t: DataFrame) -> dict[int, int]:
     return {r["n"]: r["count"] for r in t.where("n <= 4").groupBy("n").count().collect()}
 
 
+def _at(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which keys are among the sorted known ones, and where (anywhere if not)."""
+    if not len(known):
+        return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+    k = np.searchsorted(known, keys)
+    k[k == len(known)] = 0
+    return known[k] == keys, k
+
+
 class Low:
-    """Orders up to 3 and the back-off weights of 3-byte contexts as dense tables, at most 2**24 entries each."""
+    """Orders up to 3 and the back-off weights of 3-byte contexts, from the 3-grams' counts: at most 2**24 entries."""
 
     def __init__(self, key: np.ndarray, n: np.ndarray, context: np.ndarray, weight: np.ndarray) -> None:
-        self.key, self.n, self.context, self.weight = key, n, context, weight
-        self._dense: tuple[np.ndarray, np.ndarray] | None = None
-
-    def dense(self) -> tuple[np.ndarray, np.ndarray]:
-        if self._dense is None:
-            logs = np.log(np.full(256, 1 / 256))
-            for order in (1, 2, 3):
-                key, n = self.key, self.n
-                for above in range(3, order, -1):  # distinct n-grams above, by their last bytes
-                    key, n = np.unique(key & _MASK[above - 1], return_counts=True)
-                d = np.array([0.0, *_discounts(dict(zip(*np.unique(n[n <= 4], return_counts=True), strict=True)))])
-                less = d[np.minimum(n, 3)]
-                total, cut = np.zeros(256 ** (order - 1)), np.zeros(256 ** (order - 1))
-                np.add.at(total, key >> 8, n)
-                np.add.at(cut, key >> 8, less)
-                weight = np.where(total > 0, cut / np.maximum(total, 1), 1.0)
-                lower = logs if order == 1 else np.tile(logs, 256)
-                p = np.exp(lower) * (weight[0] if order == 1 else np.repeat(weight, 256))
-                p[key] += (n - less) / total[key >> 8]
-                logs = np.log(p)
-            back = np.zeros(1 << 24, np.float32)
-            back[self.context] = np.log(self.weight)
-            self._dense = logs.astype(np.float32), back
-        return self._dense
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"_dense": None}
+        order, by = np.argsort(key), np.argsort(context)
+        self.key, self.context, self.weight = key[order], context[by], np.log(weight[by])
+        p = np.full(1, 1 / 256)
+        for n_bytes in (1, 2, 3):
+            keys, times = self.key, n[order]
+            for above in range(3, n_bytes, -1):  # distinct n-grams above, by their last bytes
+                keys, times = np.unique(keys & _MASK[above - 1], return_counts=True)
+            d = np.array([0.0, *_discounts(dict(zip(*np.unique(times[times <= 4], return_counts=True), strict=True)))])
+            less = d[np.minimum(times, 3)]
+            total, cut = np.zeros(256 ** (n_bytes - 1)), np.zeros(256 ** (n_bytes - 1))
+            np.add.at(total, keys >> 8, times)
+            np.add.at(cut, keys >> 8, less)
+            weights = np.where(total > 0, cut / np.maximum(total, 1), 1.0)
+            below = p[keys & _MASK[n_bytes - 1]]
+            seen = (times - less) / total[keys >> 8] + weights[keys >> 8] * below
+            if n_bytes < 3:
+                p = np.tile(p, 256) * np.repeat(weights, 256) if n_bytes == 2 else np.full(256, p[0] * weights[0])
+                p[keys] = seen
+        self.two, self.unseen, self.three = np.log(p), np.log(weights), np.log(seen)
+
+    def logs(self, keys: np.ndarray) -> np.ndarray:
+        """Log-probabilities of the last of three bytes."""
+        seen, k = _at(self.key, keys)
+        return np.where(seen, self.three[k] if len(self.key) else 0.0, self.unseen[keys >> 8] + self.two[keys & _MASK[2]])
+
+    def back(self, contexts: np.ndarray) -> np.ndarray:
+        """Logs of back-off weights of three-byte contexts; 0 where unseen."""
+        seen, k = _at(self.context, contexts)
+        return np.where(seen, self.weight[k], 0.0) if len(self.context) else np.zeros(len(contexts))
 
 
 class Model:
-    """What scoring broadcasts: dense low orders, the most frequent n-grams, and the filter of all others."""
+    """What scoring broadcasts: the low orders, the most frequent n-grams, and the filter of all others."""
 
     def __init__(self, low: Low, top: tuple, lower: tuple, context: tuple, known: np.ndarray) -> None:
         self.low, self.top, self.lower, self.context, self.known = low, top, lower, context, known
 
     @staticmethod
     def _find(table_: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        known, values = table_
-        if not len(known):
-            return np.zeros(len(keys), bool), np.zeros(len(keys))
-        k = np.searchsorted(known, keys)
-        k[k == len(known)] = 0
-        return known[k] == keys, values[k]
+        seen, k = _at(table_[0], keys)
+        return seen, table_[1][k] if len(table_[0]) else np.zeros(len(keys))
 
     def values(self, code: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray, np.ndarray]]]:
         """Log-probabilities of distinct codes as far as known here, and (kind, places in code, keys) to look up."""
-        three, back = self.low.dense()
         seen, out = self._find(self.top, code)
         rest = np.flatnonzero(~seen)
         c = code[rest]
         four, context = c & _MASK[4], c >> 8
         has, p = self._find(self.lower, four)
-        value = np.where(has, p, back[context & _MASK[3]] + three[c & _MASK[3]])
+        value = np.where(has, p, self.low.back(context & _MASK[3]) + self.low.logs(c & _MASK[3]))
         held, weight = self._find(self.context, context)
         out = np.where(seen, out, 0.0)
         out[rest] = value + np.where(held, weight, 0.0)
@@ -176,7 +182,7 @@ def train(trusted: DataFrame) -> tuple[Model, DataFrame]:
                 new, n = np.unique(codes_of(part)[0], return_counts=True)
                 keys, which = np.unique(np.concatenate([keys, new]), return_inverse=True)
                 times = np.bincount(which, np.concatenate([times, n])).astype(np.int64) if len(which) else times
-                if len(keys) > 1 << 21:
+                if len(keys) > 1 << 20:
                     yield pa.record_batch([pa.array(keys), pa.array(times)], names=["key", "n"])
                     keys, times = np.empty(0, np.int64), np.empty(0, np.int64)
         yield pa.record_batch([pa.array(keys), pa.array(times)], names=["key", "n"])
@@ -204,7 +210,7 @@ def train(trusted: DataFrame) -> tuple[Model, DataFrame]:
     def fourth(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key, n, w, p = (batch.column(k).to_numpy() for k in range(4))
-            below = w + shared.value.dense()[0][key & _MASK[3]]
+            below = w + shared.value.logs(key & _MASK[3])
             log = np.log(p + np.exp(below))
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(log), pa.array(log - below)], names=["key", "n", "log", "gain"])
 
@@ -293,7 +299,7 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs whose document is not rejected; columns as they are. Rows with one id go or stay together."""
     gone = written(scores(docs, labels).where("rejected").select(F.col("doc_id").alias("_gone")).distinct(), "rejected")
-    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_gone")), "left_anti").select(*docs.columns)
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_gone"]), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
