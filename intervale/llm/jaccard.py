@@ -3,11 +3,12 @@
 A document's set holds the 64-bit hashes of its distinct word n-grams (fewer words: the whole sequence as one).
 Documents with equal sets are one class. Two classes with Jaccard similarity t or more share a token among the first
 n - ceil(t n) + 1 tokens of each under any global order of tokens. Candidates share such a prefix token under a first
-order (frequent tokens last); before verification they must also share prefix tokens under two more orders, each an
-independent permutation. What passes is verified on the whole sets.
+order (frequent tokens last). Before verification the prefixes under two more orders, each an independent permutation,
+must leave the similarity possible: the tokens shared there, and all that lies beyond, bound the overlap. What passes
+all orders is verified on the whole sets.
 
-Components need no pair inside a known component: each prefix token first links its classes to one leader; only tokens
-that still join several components give pairs between those. So a group of thousands of near copies costs a few
+Components need no pair inside a known component: each prefix token links its classes to a leader, twice; only tokens
+that still join several components give pairs between those, and of large ones only the close pairs. So a group of thousands of near copies costs a few
 pairs for each member and no link between components is lost. Hot tokens are spread by Spark's skew join.
 
 Defined results: null or empty texts, and texts without words, have no shingles and are linked with nothing: each is
@@ -21,9 +22,10 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bloom import filter_of, might_hold
 from .common import by_text_batches, map_slices, slices, table, written
 from .components import connected_components
 from .words import distinct_by_text, mix, ngrams, words_of
@@ -31,8 +33,11 @@ from .words import distinct_by_text, mix, ngrams, words_of
 SHINGLE, PERCENT = 4, 85
 #: A token this frequent in one gathering of FLUSH shingles is counted; the FREQUENT most frequent go last in the first
 #: order (only an order: any gives the same links).
-LOCAL_COUNT, FLUSH, FREQUENT = 8, 2 << 20, 1 << 18
-BLOOM_BITS = 24
+LOCAL_COUNT, FLUSH, FREQUENT = 3, 2 << 20, 1 << 19
+#: log2 of the bits of the filters of documents and of shared tokens.
+BLOOM_BITS, SHARED_BITS = 24, 26
+#: Classes of a token of which pairs are made as rows; classes in a block beyond that.
+SMALL, BLOCK = 16, 512
 _SALTS = [np.uint64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89)]
 
 
@@ -76,106 +81,235 @@ def frequent_tokens(docs: DataFrame, n: int) -> np.ndarray:
 
     by_text_batches(docs.sparkSession)
     counts = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "token").limit(FREQUENT).collect()
-    return np.array([r["token"] for r in reversed(top)], np.int64).view(np.uint64)
+    top = counts.orderBy(F.desc("n"), "token").limit(FREQUENT).select("token").toArrow()
+    return top.column(0).to_numpy().astype(np.int64)[::-1].copy().view(np.uint64)
+
+
+def _sizes_and_idents(values: np.ndarray, text: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """The number of shingles of each text, and a 64-bit hash of its whole set."""
+    size = np.bincount(text, minlength=rows)
+    begin = np.concatenate([[0], np.cumsum(size)])[:-1]
+    two = [np.add.reduceat(np.append(mix(values ^ s), np.uint64(0)), begin) if len(values) else np.zeros(rows, np.uint64) for s in _SALTS[:2]]
+    return size, mix(two[0] ^ mix(two[1] + size.astype(np.uint64))).view(np.int64)
+
+
+def _prefixes(values: np.ndarray, text: np.ndarray, size: np.ndarray, percent: int, order: int, last: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The first n - ceil(t n) + 1 tokens of each set under a global order: where each text's begin, and the tokens."""
+    length = np.where(size > 0, size - (size * percent + 99) // 100 + 1, 0)
+    begin = np.concatenate([[0], np.cumsum(size)])
+    by = mix(values ^ _SALTS[1 + order])
+    o = np.lexsort((by, text) if last is None else (by, last, text))
+    return np.concatenate([[0], np.cumsum(length)]).astype(np.int32), values[o[np.arange(len(values)) - begin[text] < length[text]]]
 
 
 def _signatures(docs: DataFrame, n: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """doc_id, n_shingles, class_id, and prefixes of three orders (the two that only filter with 32 bits a token)."""
+    """doc_id, n_shingles, class_id, and the prefix under the first order."""
     order = np.argsort(frequent)
     shared = docs.sparkSession.sparkContext.broadcast((frequent[order], (order + 1).astype(np.int64)))
-    schema = "doc_id long, n_shingles long, class_id long, first array<long>, second array<int>, third array<int>"
+    schema = "doc_id long, n_shingles long, class_id long, prefix array<long>"
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
         known, rank = shared.value
         values, text = shingle_sets(part, n)
-        size = np.bincount(text, minlength=part.num_rows)
-        begin = np.concatenate([[0], np.cumsum(size)])
-        two = [np.add.reduceat(np.append(mix(values ^ s), np.uint64(0)), begin[:-1]) if len(values) else np.zeros(part.num_rows, np.uint64) for s in _SALTS[:2]]
-        ident = mix(two[0] ^ mix(two[1] + size.astype(np.uint64)))
+        size, ident = _sizes_and_idents(values, text, part.num_rows)
         last = np.zeros(len(values), np.int64)
         if len(known):
             k = np.searchsorted(known, values)
             k[k == len(known)] = 0
             last = np.where(known[k] == values, rank[k], 0)
-        length = np.where(size > 0, size - (size * percent + 99) // 100 + 1, 0)
-        ends = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
-        prefixes = []
-        for j in range(3):
-            by = mix(values ^ _SALTS[1 + j])
-            o = np.lexsort((by, last, text)) if j == 0 else np.lexsort((by, text))
-            place = np.arange(len(values)) - begin[text]
-            chosen = values[o[place < length[text]]]
-            if j:
-                chosen = mix(chosen).astype(np.uint32).view(np.int32)
-            prefixes.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(chosen.view(np.int64) if j == 0 else chosen)))
-        ids = pa.array(ident.view(np.int64), mask=size == 0)
-        return pa.record_batch([part.column("doc_id"), pa.array(size.astype(np.int64)), ids, *prefixes], names=[x.split()[0] for x in schema.split(", ")])
+        ends, chosen = _prefixes(values, text, size, percent, 0, last)
+        return pa.record_batch([part.column("doc_id"), pa.array(size.astype(np.int64)), pa.array(ident, mask=size == 0), pa.ListArray.from_arrays(pa.array(ends), pa.array(chosen.view(np.int64)))], names=["doc_id", "n_shingles", "class_id", "prefix"])
 
     return map_slices(docs, work, schema)
 
 
-def _candidate_sets(docs: DataFrame, reps: DataFrame, n: int) -> DataFrame:
-    """class_id, set of the documents that stand for the classes of candidates (reps: doc_id, class_id)."""
-
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            place = np.unique(mix(batch.column(0).to_numpy().view(np.uint64)) >> np.uint64(64 - BLOOM_BITS)).astype(np.int64)
-            yield pa.record_batch([pa.array(place >> 6), pa.array((np.uint64(1) << (place & 63).astype(np.uint64)).view(np.int64))], names=["word", "bit"])
-
-    # A filter of a fixed size: a text whose id is not in it is not cut into shingles again.
-    bloom = np.zeros(1 << (BLOOM_BITS - 6), np.int64)
-    for word, bit in reps.select("doc_id").mapInArrow(bits, "word long, bit long").groupBy("word").agg(F.bit_or("bit")).toLocalIterator():
-        bloom[word] = bit
-    shared = docs.sparkSession.sparkContext.broadcast(bloom)
+def _of_classes(docs: DataFrame, reps: DataFrame, n: int, make, schema: str, name: str) -> DataFrame:  # noqa: ANN001
+    """class_id and what make(values, text, size) gives, for the documents that stand for classes (reps: doc_id,
+    class_id). A filter of fixed size keeps the texts of other documents from being cut into shingles again."""
+    shared = docs.sparkSession.sparkContext.broadcast(filter_of(reps.select("doc_id"), BLOOM_BITS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(batch.column("doc_id").is_valid())
-            place = (mix(batch.column("doc_id").to_numpy().view(np.uint64)) >> np.uint64(64 - BLOOM_BITS)).astype(np.int64)
-            near = (shared.value[place >> 6] >> (place & 63)) & 1
-            for part in slices(batch.filter(pa.array(near.astype(bool)))):
+            for part in slices(batch.filter(pa.array(might_hold(shared.value, batch.column("doc_id").to_numpy())))):
                 values, text = shingle_sets(part, n)
-                ends = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=part.num_rows))]) * 8
-                raw = values.tobytes()
-                yield pa.record_batch([part.column("doc_id"), pa.array([raw[a:b] for a, b in pairwise(ends)], pa.binary()), pa.array(_ident(values, text, part.num_rows))], names=["doc_id", "tokens", "class_id"])
+                size, ident = _sizes_and_idents(values, text, part.num_rows)
+                columns = make(values, text, size)
+                yield pa.record_batch([part.column("doc_id"), pa.array(ident, mask=size == 0), *columns.values()], names=["doc_id", "class_id", *columns])
 
-    sets = docs.mapInArrow(run, "doc_id long, tokens binary, class_id long")
-    return written(sets.join(reps, ["doc_id", "class_id"], "left_semi").dropDuplicates(["class_id"]).select("class_id", "tokens"), "sets")
+    by_text_batches(docs.sparkSession)
+    found = docs.mapInArrow(run, "doc_id long, class_id long, " + schema).join(reps, ["doc_id", "class_id"], "left_semi")
+    return written(found.drop("doc_id").dropDuplicates(["class_id"]), name)
 
 
-def _ident(values: np.ndarray, text: np.ndarray, rows: int) -> np.ndarray:
-    size = np.bincount(text, minlength=rows)
-    begin = np.concatenate([[0], np.cumsum(size)])[:-1]
-    two = [np.add.reduceat(np.append(mix(values ^ s), np.uint64(0)), begin) if len(values) else np.zeros(rows, np.uint64) for s in _SALTS[:2]]
-    return mix(two[0] ^ mix(two[1] + size.astype(np.uint64))).view(np.int64)
+def _filters(docs: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFrame:
+    """class_id, n_shingles and the prefixes under the second and third order. A token is the first 31 bits of its place
+    in that order: tokens may only seem to be shared, which keeps a pair. short: all tokens, by 16 bits each."""
+
+    def make(values: np.ndarray, text: np.ndarray, size: np.ndarray) -> dict:
+        out = {"n_shingles": pa.array(size.astype(np.int64))}
+        for order, name in ((1, "second"), (2, "third")):
+            ends, chosen = _prefixes(values, text, size, percent, order)
+            place = (mix(chosen ^ _SALTS[1 + order]) >> np.uint64(33)).astype(np.int32)
+            out[name] = pa.ListArray.from_arrays(pa.array(ends), pa.array(place))
+        short = (mix(values) >> np.uint64(48)).astype(np.uint16)
+        ends, raw = np.concatenate([[0], np.cumsum(size)]) * 2, short[np.lexsort((short, text))].tobytes()
+        return out | {"short": pa.array([raw[a:b] for a, b in pairwise(ends)], pa.binary())}
+
+    return _of_classes(docs, reps, n, make, "n_shingles long, second array<int>, third array<int>, short binary", "filters")
+
 
+def _sets(docs: DataFrame, reps: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
+    """class_id, tokens: the whole sets of the classes in pairs (a, b)."""
+    wanted = pairs.select(F.col("a").alias("class_id")).unionByName(pairs.select(F.col("b").alias("class_id"))).distinct()
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose whole sets reach the similarity."""
-    left = sets.select(F.col("class_id").alias("a"), F.col("tokens").alias("_left"))
-    right = sets.select(F.col("class_id").alias("b"), F.col("tokens").alias("_right"))
+    def make(values: np.ndarray, text: np.ndarray, size: np.ndarray) -> dict:
+        ends, raw = np.concatenate([[0], np.cumsum(size)]) * 8, values.tobytes()
+        return {"tokens": pa.array([raw[a:b] for a, b in pairwise(ends)], pa.binary())}
+
+    return _of_classes(docs, written(reps.join(wanted, "class_id", "left_semi"), "wanted"), n, make, "tokens binary", "sets")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, column: str, kind: type, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose sets in the column, sorted values of one width, reach the similarity. Whole
+    tokens decide; shortened ones may only seem equal, which never loses a pair."""
+    left = sets.select(F.col("class_id").alias("a"), F.col(column).alias("_left"))
+    right = sets.select(F.col("class_id").alias("b"), F.col(column).alias("_right"))
     joined = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "_left", "_right")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                shared = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * shared >= percent * (len(both) - shared))
+                x, y = (np.frombuffer(z.as_buffer(), kind) for z in (x, y))
+                if kind is np.uint64:
+                    both = np.concatenate([x, y])
+                    both.sort(kind="stable")
+                    shared = int((both[1:] == both[:-1]).sum())
+                else:
+                    first, times = np.unique(x, return_counts=True)
+                    second, others = np.unique(y, return_counts=True)
+                    _, i, j = np.intersect1d(first, second, True, True)
+                    shared = int(np.minimum(times[i], others[j]).sum())
+                keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return joined.mapInArrow(run, "a long, b long")
 
 
-def _filtered(pairs: DataFrame, signs: DataFrame) -> DataFrame:
-    """Pairs (a, b) that share prefix tokens under the second and the third order too."""
-    left = signs.select(F.col("class_id").alias("a"), F.col("second").alias("_s"), F.col("third").alias("_t"))
-    right = signs.select(F.col("class_id").alias("b"), F.col("second").alias("_s2"), F.col("third").alias("_t2"))
-    return pairs.join(left, "a").join(right, "b").where(F.arrays_overlap("_s", "_s2") & F.arrays_overlap("_t", "_t2")).select("a", "b")
+def _verified(docs: DataFrame, pairs: DataFrame, filters: DataFrame, one: DataFrame, n: int, percent: int, name: str) -> DataFrame:
+    """The pairs that are links: first by all tokens shortened, which leaves few others, then by the whole sets."""
+    close = written(_similar(pairs, filters, "short", np.uint16, percent), name + "-close")
+    return written(_similar(close, _sets(docs, one, close, n), "tokens", np.uint64, percent), name + "-links")
+
+
+def _may_reach(x: np.ndarray, y: np.ndarray, n: int, m: int, percent: int) -> bool:
+    """Whether sets of n and m tokens may be similar enough, by sorted prefixes x and y under one order: below the
+    smaller of the last tokens both are known whole, so what is shared there and the smaller rest bound the overlap.
+    Shortened tokens may only seem equal, which raises the bound."""
+    cut = min(x[-1], y[-1])
+    x, y = x[: np.searchsorted(x, cut)], y[: np.searchsorted(y, cut)]
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    shared = int((both[1:] == both[:-1]).sum())
+    return (shared + min(n - len(x), m - len(y))) * (100 + percent) >= percent * (n + m)
+
+
+def _filtered(pairs: DataFrame, filters: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that the prefixes under the second and the third order leave possible."""
+    left = filters.select(F.col("class_id").alias("a"), F.col("n_shingles").alias("_n"), F.col("second").alias("_s"), F.col("third").alias("_t"))
+    right = filters.select(F.col("class_id").alias("b"), F.col("n_shingles").alias("_n2"), F.col("second").alias("_s2"), F.col("third").alias("_t2"))
+    joined = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "_n", "_n2", "_s", "_s2", "_t", "_t2")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(k).to_numpy() for k in (2, 3))
+            keep = np.ones(batch.num_rows, bool)
+            for k in (4, 6):
+                sides = []
+                for c in (batch.column(k), batch.column(k + 1)):
+                    ends = np.concatenate([[0], np.cumsum(c.value_lengths().to_numpy())])
+                    sides.append((c.flatten().to_numpy(), ends))
+                (x, i), (y, j) = sides
+                for r in np.flatnonzero(keep):
+                    keep[r] = _may_reach(x[i[r] : i[r + 1]], y[j[r] : j[r + 1]], n[r], m[r], percent)
+            yield batch.select([0, 1]).filter(pa.array(keep))
+
+    return joined.mapInArrow(run, "a long, b long")
+
+
+def _postings(reps: DataFrame) -> DataFrame:
+    """token, class_id, n_shingles of the prefix tokens that several classes share. Most tokens belong to one class:
+    a filter of the shared ones, of a fixed size, keeps these out of the exchange."""
+    tokens = reps.select(F.explode("prefix").alias("token"))
+    shared = written(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("token"), "shared-tokens")
+    known = reps.sparkSession.sparkContext.broadcast(filter_of(shared, SHARED_BITS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("prefix")
+            values, size = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
+            keep = might_hold(known.value, values)
+            row = np.repeat(np.arange(len(size)), size)[keep]
+            yield pa.record_batch([pa.array(values[keep]), batch.column("class_id").take(pa.array(row)), batch.column("n_shingles").take(pa.array(row))], names=["token", "class_id", "n_shingles"])
+
+    by_text_batches(reps.sparkSession)
+    near = reps.select("class_id", "n_shingles", "prefix").mapInArrow(run, "token long, class_id long, n_shingles long")
+    return written(near.join(shared, "token", "left_semi"), "postings")
+
+
+def _open(held: DataFrame, labels: DataFrame) -> DataFrame:
+    """The postings, with labels, of tokens that join several components."""
+    known = held.join(labels, held["class_id"] == labels["node"], "left").select("token", "class_id", "n_shingles", "shared", F.coalesce("label", "class_id").alias("label"))
+    several = known.groupBy("token").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low <> _high").select("token")
+    return written(known.join(several, "token", "left_semi"), "open-postings")
+
+
+def _close_in_blocks(postings: DataFrame, filters: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different labels that seem similar by shortened tokens, among classes joined by the tokens.
+
+    Classes that tokens join, directly or through others, are a neighbourhood; within it sizes part them into steps of
+    which only neighbours can be similar. Each such group is dealt to blocks of about BLOCK classes, and each pair of
+    blocks is one bounded task, which counts shared tokens by an inverted index: pairs that are not close never become
+    rows, and a class is copied once for each block of its group.
+    """
+    middle = postings.groupBy("token").agg(F.max_by(F.struct("class_id"), F.struct("shared", "class_id"))["class_id"].alias("_middle"))
+    edges = postings.join(middle, "token").where(F.col("class_id") != F.col("_middle")).select(F.col("class_id").alias("a"), F.col("_middle").alias("b")).distinct()
+    hoods = connected_components(edges).select(F.col("node").alias("class_id"), F.col("label").alias("hood"))
+    members = hoods.join(postings.select("class_id", "label").distinct(), "class_id").join(filters.select("class_id", "n_shingles"), "class_id")
+    size_step = F.floor(F.log(F.col("n_shingles").cast("double")) / float(-np.log(percent / 100)) + 1e-9)
+    roles = members.withColumn("_s", size_step).withColumn("role", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_s", F.col("_s") - F.col("role"))
+    groups = roles.groupBy("hood", "_s").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_blocks"), F.count_if(F.col("role") == 0).alias("_own")).where("_own > 0")
+    dealt = roles.join(groups, ["hood", "_s"]).withColumn("_b", F.pmod(F.xxhash64("class_id"), F.col("_blocks")))
+    cells = dealt.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))).select("class_id", "label", "role", "n_shingles", "hood", "_s", F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"), "_b")
+    # Tokens join last, so that only the copies for cells carry them.
+    full = cells.join(filters.select("class_id", "short"), "class_id").withColumn("_cell", F.xxhash64("hood", "_s", "_i", "_j"))
+
+    def compare(rows: pa.Table) -> pa.Table:
+        n = rows.num_rows
+        label, role, size, block, ident = (rows.column(c).to_numpy() for c in ("label", "role", "n_shingles", "_b", "class_id"))
+        one = rows.column("_i").to_numpy() == rows.column("_j").to_numpy()
+        lists = []
+        for x in rows.column("short").combine_chunks():
+            v = np.frombuffer(x.as_buffer(), np.uint16).astype(np.int64)
+            begin = np.searchsorted(v, v)
+            lists.append(v << 16 | (np.arange(len(v)) - begin))  # the k-th of equal values, so that multisets meet
+        owner = np.repeat(np.arange(n), [len(x) for x in lists])
+        tokens, which = np.unique(np.concatenate(lists), return_inverse=True)
+        order = np.argsort(which, kind="stable")
+        held, first = owner[order], np.concatenate([[0], np.cumsum(np.bincount(which, minlength=len(tokens)))])
+        begin = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
+        out: list[tuple[int, int]] = []
+        for k in range(n):
+            mine = which[begin[k] : begin[k + 1]]
+            count = first[mine + 1] - first[mine]
+            at = np.repeat(first[mine] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(int(count.sum()))
+            shared = np.bincount(held[at], minlength=n)
+            near = (100 * shared >= percent * (size[k] + size - shared)) & (label != label[k]) & (ident > ident[k]) & ((role == 0) | (role[k] == 0)) & (one | (block != block[k]))
+            out.extend((ident[k], ident[j]) for j in np.flatnonzero(near))
+        return pa.table([pa.array([x[j] for x in out], pa.int64()) for j in (0, 1)], names=["a", "b"])
+
+    return full.groupBy("_cell").applyInArrow(compare, "a long, b long").distinct()
 
 
 def components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -183,31 +317,39 @@ def components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signs = written(_signatures(docs, shingle, percent, frequent_tokens(docs, shingle)), "signatures")
     classes = signs.where(F.col("class_id").isNotNull() & F.col("doc_id").isNotNull())
-    one = classes.groupBy("class_id").agg(F.min("doc_id").alias("doc_id"))
-    reps = classes.join(one, ["class_id", "doc_id"], "left_semi").dropDuplicates(["class_id"])
-    postings = reps.select("class_id", "n_shingles", F.explode("first").alias("token"))
-    # Tokens of several classes, with a leader: the smallest set, so that sizes differ least from either side.
-    led = postings.groupBy("token").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("n_shingles", "class_id")).alias("_leader")).where("_n > 1")
-    held = written(postings.join(led, "token").select("token", "class_id", "n_shingles", F.col("_leader.class_id").alias("leader"), F.col("_leader.n_shingles").alias("_size")), "postings")
-    fits = F.least("n_shingles", "_size") * 100 >= F.greatest("n_shingles", "_size") * percent
-    stars = held.where((F.col("class_id") != F.col("leader")) & fits).select(F.col("class_id").alias("a"), F.col("leader").alias("b")).distinct()
-    standing = held.select("class_id").distinct()
-    filters = written(signs.select("class_id", "doc_id", "second", "third").join(standing, "class_id", "left_semi").join(one, ["class_id", "doc_id"], "left_semi").dropDuplicates(["class_id"]), "filters")
-    near = written(_filtered(stars, filters), "star-pairs")
-    sets = _candidate_sets(docs, filters.select("doc_id", "class_id"), shingle)
-    first = written(_verified(near, sets, percent), "star-links")
-    labels = connected_components(first)
-    # Tokens that still join several components: all pairs between these, but for those already looked at.
-    known = held.join(labels, held["class_id"] == labels["node"], "left").select("token", "class_id", "n_shingles", F.coalesce("label", "class_id").alias("label"))
-    open_ = known.groupBy("token").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low <> _high").select("token")
-    known = written(known.join(open_, "token", "left_semi"), "open-postings")
-    x, y = (known.select("token", *[F.col(c).alias(c + s) for c in ("class_id", "n_shingles", "label")]) for s in ("_a", "_b"))
+    one = written(classes.groupBy("class_id").agg(F.min("doc_id").alias("doc_id")), "classes")
+    held = _postings(classes.join(one, ["class_id", "doc_id"], "left_semi").dropDuplicates(["class_id"]))
+    # A class with many shared tokens in its prefix lies in the middle of its group: it leads in the first round.
+    middle = held.groupBy("class_id").agg(F.count(F.lit(1)).alias("shared"))
+    held = written(held.join(middle, "class_id"), "held")
+    filters = _filters(docs, written(one.join(middle.select("class_id"), "class_id", "left_semi"), "standing"), shingle, percent)
+    tried, links, labels = None, None, None
+    for lead in (F.struct("shared", "class_id"), F.struct(F.xxhash64("class_id"), "class_id")):
+        known = held if labels is None else _open(held, labels)
+        led = known.groupBy("token").agg(F.max_by(F.struct("class_id", "n_shingles", *([] if labels is None else ["label"])), lead).alias("_leader"))
+        apart = F.col("class_id") != F.col("_leader.class_id") if labels is None else F.col("label") != F.col("_leader.label")
+        fits = F.least("n_shingles", "_leader.n_shingles") * 100 >= F.greatest("n_shingles", "_leader.n_shingles") * percent
+        # Of the leaders of its tokens a class is held against the one that leads most of them: a pair a class.
+        led_by = known.join(led, "token").where(apart & fits).groupBy("class_id", F.col("_leader.class_id").alias("_by")).agg(F.count(F.lit(1)).alias("_tokens"))
+        one_by = led_by.groupBy("class_id").agg(F.max_by("_by", F.struct("_tokens", "_by")).alias("_by"))
+        pairs = one_by.select(F.least("class_id", "_by").alias("a"), F.greatest("class_id", "_by").alias("b")).distinct()
+        pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "star-pairs")
+        found = _verified(docs, written(_filtered(pairs, filters, percent), "near-pairs"), filters, one, shingle, percent, "star")
+        tried, links = (pairs, found) if tried is None else (tried.unionByName(pairs), links.unionByName(found))
+        labels = connected_components(links)
+    # Tokens that still join several components. Of small ones the pairs between these; the classes of large ones are
+    # compared in blocks, which gives only the pairs that are close.
+    known = _open(held, labels)
+    known = known.join(known.groupBy("token").agg(F.count(F.lit(1)).alias("_n")), "token")
+    x, y = (known.where(F.col("_n") <= SMALL).select("token", *[F.col(c).alias(c + s) for c in ("class_id", "n_shingles", "label")]) for s in ("_a", "_b"))
     between = x.join(y, "token").where((F.col("class_id_a") < F.col("class_id_b")) & (F.col("label_a") != F.col("label_b")) & (F.least("n_shingles_a", "n_shingles_b") * 100 >= F.greatest("n_shingles_a", "n_shingles_b") * percent))
-    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = between.select(F.col("class_id_a").alias("a"), F.col("class_id_b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = written(_verified(_filtered(rest, filters), sets, percent), "more-links")
-    if not more.isEmpty():
-        labels = connected_components(first.unionByName(more))
+    close = _similar(written(_filtered(rest, filters, percent), "rest-pairs"), filters, "short", np.uint16, percent)
+    large = known.where(F.col("_n") > SMALL)
+    close = written(close.unionByName(_close_in_blocks(large, filters, percent)).distinct(), "rest-close")
+    if not close.isEmpty():
+        more = written(_similar(close, _sets(docs, one, close, shingle), "tokens", np.uint64, percent), "rest-links")
+        labels = connected_components(links.unionByName(more))
     grouped = signs.select("doc_id", "n_shingles", "class_id").join(labels, signs["class_id"] == labels["node"], "left").select("doc_id", "n_shingles", F.coalesce("label", "class_id").alias("_group"))
     least = grouped.where("_group is not null").groupBy("_group").agg(F.min("doc_id").alias("_least"))
     return grouped.join(least, "_group", "left").select("doc_id", "n_shingles", F.when(F.col("_group").isNull(), F.col("doc_id")).otherwise(F.col("_least")).alias("component_id"))
@@ -216,8 +358,8 @@ def components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs but for documents that are not the smallest id of their component; columns as they are."""
     found = components(docs, shingle, percent)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(written(gone, "copies"), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti").select(*docs.columns)
+    gone = written(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct(), "copies")
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
