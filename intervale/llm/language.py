@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_remainder, map_slices, np_id_remainder, table, text_of
+from .common import STEPPED_BYTES, id_remainder, map_slices, np_id_remainder, table, text_of
 from .words import Words, mix, words_of
 
 FOLDS, HELD_OUT = 3, 1
@@ -197,7 +197,7 @@ def label_spans(docs: DataFrame, model: Model | None, switch: float = SWITCH) ->
         held = np_id_remainder(ids.to_pylist(), FOLDS) == HELD_OUT
         return pa.record_batch([ids, pa.array(held), pa.array(names), pa.array(scores), pa.array(spans, kind)], names=["doc_id", "held_out", "lang_pred", "score", "spans"])
 
-    return map_slices(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), work, schema)
+    return map_slices(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), work, schema, most=STEPPED_BYTES)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

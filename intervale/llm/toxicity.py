@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_remainder, map_slices, np_id_remainder, table
+from .common import STEPPED_BYTES, id_remainder, map_slices, np_id_remainder, table
 from .words import Words, mix, words_of
 
 FOLDS, HELD_OUT = 5, 0
-SAMPLE_DOCS = 1500
+SAMPLE_DOCS = 800
 WEIGHT_BITS = 18
 PREFIXES = (4, 5, 6, 7, 8)
 LEAST_RATIO, LEAST_SHARE = 24.0, 0.9
@@ -129,9 +129,8 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
         weights += RATE * gradient / np.sqrt(grown)
         bias += 2.0 * error.mean()
         left, right = ahead[place - 1], emission[place] + after[place]
-        joint = np.stack([moves[i, j] + i * left + j * right for i in (0, 1) for j in (0, 1)])
-        joint = np.exp(joint - joint.max(0))
-        expected = (joint / joint.sum(0)).sum(1).reshape(2, 2)
+        whole = np.logaddexp(np.logaddexp(moves[0, 0], moves[0, 1] + right), np.logaddexp(moves[1, 0] + left, moves[1, 1] + left + right))
+        expected = np.array([[np.exp(moves[i, j] + i * left + j * right - whole).sum() for j in (0, 1)] for i in (0, 1)])
         moves = np.clip(moves + 2.0 * (seen - expected) / max(1, len(place)), -8, 8)
     model = Model(weights, bias, moves)
     # The document's score: a logistic function by Newton's method with a small penalty.
@@ -180,7 +179,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
         held = np_id_remainder(part.column(0).to_pylist(), FOLDS) == HELD_OUT
         return pa.record_batch([part.column(0), pa.array(held), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)), pa.array(spans, kind)], names=[f.split()[0] for f in schema.split(", ")])
 
-    return map_slices(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), work, schema)
+    return map_slices(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), work, schema, most=STEPPED_BYTES)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
