@@ -14,8 +14,9 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -31,6 +32,8 @@ SHORTEST_TIER = 128
 BLOCK_TOKENS = 1 << 20
 STEP_TOKENS = 1 << 16
 END_ID = 0
+#: Whitespace runs from this length on are left to `tokenizers`: the pattern's look-ahead steps back through them on the stack.
+LONG_RUN = 10_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 #: The pre-tokeniser's pattern (a fixed value), its alternatives in an order that matches the same pieces faster.
 PIECES = r" ?\p{L}+| ?\p{N}+|'s|'t|'re|'ve|'m|'ll|'d| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -47,7 +50,8 @@ def encoder(path: str):
     """text -> ids, for a byte-level BPE file of the `tokenizers` library whose ids are in merge order.
 
     The file's vocabulary is run by `tiktoken`, which gives the same ids several times faster. Strings of special
-    tokens are ordinary text.
+    tokens are ordinary text here, and whitespace runs of LONG_RUN and more are too long for its stack: document_encoder()
+    has both.
     """
     import tiktoken
 
@@ -61,6 +65,45 @@ def encoder(path: str):
     return tiktoken.Encoding("file", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
 
 
+@lru_cache(maxsize=2)
+def document_encoder(path: str) -> Callable[[str], list[int]]:
+    """text -> the ids that `tokenizers` gives with its default settings and no special tokens added around the text.
+
+    Texts are split at the file's added tokens, whose ids are emitted; where these have options that reach into the text
+    around them, the whole text is left to `tokenizers`. So is a part with a whitespace run of LONG_RUN.
+    """
+    from tokenizers import Tokenizer
+
+    with open(path, encoding="utf-8") as f:
+        added = json.load(f).get("added_tokens", [])
+    library = Tokenizer.from_file(path)
+    ordinary = encoder(path)
+    ids = {x["content"]: x["id"] for x in added}
+    plain = not any(x[k] for x in added for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    token = re.compile("|".join(re.escape(x) for x in sorted(ids, key=len, reverse=True)) or r"(?!)")
+    long_run = re.compile(rf"(?<!\s)\s{{{LONG_RUN}}}")
+
+    def whole(text: str) -> list[int]:
+        return library.encode(text, add_special_tokens=False).ids
+
+    def part(text: str) -> list[int]:
+        return whole(text) if len(text) >= LONG_RUN and long_run.search(text) else ordinary(text)
+
+    def encode(text: str) -> list[int]:
+        if not token.search(text):
+            return part(text)
+        if not plain:
+            return whole(text)
+        out, at = [], 0
+        for x in token.finditer(text):
+            out += part(text[at : x.start()])
+            out.append(ids[x.group()])
+            at = x.end()
+        return out + part(text[at:])
+
+    return encode
+
+
 class _Rests:
     """Rests of documents by length; the largest that fits is found by a bit mask of the lengths in stock."""
 
@@ -153,7 +196,7 @@ def pack_documents(df: DataFrame, tokenizer: str | None = None, longest: int = L
     path = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode = document_encoder(path)
         high = TaskContext.get().partitionId() << 40
         docs: list = []
         held = sequences = blocks = 0

@@ -99,6 +99,22 @@ def test_ids_are_those_of_the_tokenizer():
         assert encode(text) == t.encode(text, add_special_tokens=False).ids
 
 
+def test_document_ids_are_those_of_the_default_tokenizer():
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    t = Tokenizer.from_file(path)
+    encode = packing.document_encoder(path)
+    assert encode("hello <|endoftext|> world") == [31373, 220, 50256, 995]
+    r = random.Random(8)
+    bits = ["<|endoftext|>", "<|endoftext|", " ", "  ", "\n", "word", " it's", "漢", "12", "...", "\u3000", "\x85"]
+    texts = [*TEXTS, *("".join(r.choices(bits, k=12)) for _ in range(300))]
+    texts += [f"a{space * n}b <|endoftext|> {space * n}" for space in (" ", "\n", "\u3000") for n in (packing.LONG_RUN - 1, packing.LONG_RUN)]
+    texts += [" " * 1_000_000, "a" + " \n" * 500_000 + "<|endoftext|>b"]
+    for text in texts:
+        assert encode(text) == t.encode(text, add_special_tokens=False).ids
+
+
 def test_step_groups_are_balanced():
     sizes = [1024] * 300 + [512] * 31 + [1] * 5
     groups = packing.step_groups(sizes, 65536)

@@ -49,6 +49,15 @@ def test_packing_rows(spark, odd):
     assert packing.pack_documents(empty(spark, odd)).count() == 0
 
 
+def test_packing_of_added_tokens(spark):
+    docs = spark.createDataFrame([(1, "hello <|endoftext|> world")], "doc_id long, text string")
+    rows = packing.pack_documents(docs).collect()
+    ids = [31373, 220, 50256, 995, packing.END_ID]
+    for r in rows:
+        assert r["doc_tokens"] == len(ids) and r["ids_crc32"] == zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids[r["start"] : r["start"] + r["length"]]))
+    assert sum(r["length"] for r in rows) == len(ids)
+
+
 def test_sharding_rows(spark, odd):
     rows = sharding.shard_documents(odd, 4).collect()
     assert len(rows) == len(ODD) and sharding.shard_documents(empty(spark, odd), 4).count() == 0
