@@ -158,7 +158,7 @@ def merge_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 @query("cl2_complete_linkage")
 def linkage(spark: SparkSession, d: str) -> DataFrame:
-    return cl.cluster_vectors(derived(spark, d, "vectors").where("seg_idx < 600"), 0.9)
+    return cl.cluster_vectors(derived(spark, d, "vectors"), 0.9)
 
 
 @query("wn24_consecutive_distances", with_tables("vectors") + """, p as (select file_id, seg_idx, speaker, embedding, lag(embedding) over w as e, lag(speaker) over w as s from vectors window w as (partition by file_id order by seg_idx)),
@@ -284,8 +284,13 @@ r as (select window_id, case when out_segments = 0 then ['empty_aligned_output']
  case when very_short >= 4 then 'too_many_very_short_segments' end, case when both_two and drift > 1.25 and src_switches <= 1 then 'speaker_duration_drift' end, case when max_sim < 0.25 then 'low_centroid_similarity' end, case when max_margin < 0.03 then 'low_centroid_margin' end], lambda x: x is not null) end as reasons from g)
 select window_id, len(reasons) = 0 as accepted, array_to_string(reasons, ',') as reasons from r""")
 def quality_gate(spark: SparkSession, d: str) -> DataFrame:
+    return all_gates(spark, d).where("window_id < 3000")
+
+
+@query("flt9_quality_gate_whole")
+def all_gates(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("event_id")
-    g = spark.read.parquet(f"{d}/events.parquet").where("event_id < 3000").select(
+    g = spark.read.parquet(f"{d}/events.parquet").select(
         k.alias("window_id"), (k % 11).alias("items"), (k % 5).alias("low_conf"), (k % 4).alias("src_switches"), (k % 13).alias("out_switches"), (k % 6).alias("src_segments"), (k % 31).alias("out_segments"), (k % 5).alias("very_short"),
         ((k % 20) / 10).alias("drift"), (k % 2 == 0).alias("both_two"), F.when(k % 3 > 0, (k % 10) / 10).alias("max_sim"), F.when(k % 7 > 0, (k % 9) / 100).alias("max_margin"),
     )

@@ -258,8 +258,13 @@ def top_per_frame(spark: SparkSession, d: str) -> DataFrame:
 
 @query("ag21_jn21_speaker_count_grid", with_tables("turns") + _FRAMES + """ select f.file_id, f.frame, m.cluster, count(*) as n from fr f join (values (0, 0), (1, 1), (2, 0)) m(speaker, cluster) using (speaker) where frame < 200 group by all""")
 def count_grid(spark: SparkSession, d: str) -> DataFrame:
+    return whole_grid(spark, d).where("frame < 200")
+
+
+@query("ag21_jn21_speaker_count_grid_whole")
+def whole_grid(spark: SparkSession, d: str) -> DataFrame:
     mapped = spark.createDataFrame([(0, 0), (1, 1), (2, 0)], "speaker int, cluster int")
-    return frames_of(spark, d).where("frame < 200").join(mapped, "speaker").groupBy("file_id", "frame", "cluster").agg(F.count(F.lit(1)).alias("n"))
+    return frames_of(spark, d).join(mapped, "speaker").groupBy("file_id", "frame", "cluster").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("src5_st11_sliding_windows", with_tables("segments", "files") + """ select file_id, k as window_idx, k * 1000 as first_ms, least(k * 1000 + 10000, duration_ms) as end_ms, greatest(k * 1000 + 10000 - duration_ms, 0) as pad_ms from (select *, unnest(range(case when duration_ms <= 10000 then 1 else (duration_ms - 10000 + 999) // 1000 + 1 end)) as k from files where duration_ms > 0)""")

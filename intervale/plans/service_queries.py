@@ -52,8 +52,13 @@ _LOOK = """, asked as (select doc_id as req_id, 'h' || (doc_id % 260)::varchar a
 b as (select req_id, id, tier from c where tier is not null qualify row_number() over (partition by req_id order by tier, created_s desc, id desc) = 1)
 select a.*, b.id as row_id, coalesce(b.tier = 2, false) as projected from asked a left join b using (req_id)""")
 def cache_lookup(spark: SparkSession, d: str) -> DataFrame:
+    return all_lookups(spark, d).where("req_id % 2 = 0")
+
+
+@query("jn17_cache_lookup_whole")
+def all_lookups(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("doc_id")
-    asked = documents(spark, d).where(i % 2 == 0).select(i.alias("req_id"), F.concat(F.lit("h"), (i % 260).cast("string")).alias("file_hash"), F.when(i % 3 == 0, "qwen3+wa:zh+nospk").when(i % 3 == 1, "qwen3+nospk").otherwise("qwen3").alias("key"), (i % 3 == 2).alias("allow_cross"))
+    asked = documents(spark, d).select(i.alias("req_id"), F.concat(F.lit("h"), (i % 260).cast("string")).alias("file_hash"), F.when(i % 3 == 0, "qwen3+wa:zh+nospk").when(i % 3 == 1, "qwen3+nospk").otherwise("qwen3").alias("key"), (i % 3 == 2).alias("allow_cross"))
     return ca.lookup(asked, derived(spark, d, "cache_rows"))
 
 
@@ -125,7 +130,12 @@ def counters(spark: SparkSession, d: str) -> DataFrame:
 @query("ag7_ag8_moving_average", with_tables("task_events") + """, s as (select task_id, list(value - 20 order by ts, event_id) filter (value > 20) as v from task_events where task_id % 5 = 0 group by task_id),
 e as (select task_id, case when v is null then 90.0 else round(list_reduce(v, lambda a, x: 0.3 * x + 0.7 * a), 6) end as ema from s) select task_id, ema, greatest(1, floor(ema / 3))::int as retry_after, floor(6 / 3.0 * ema)::int as wait_s from e""")
 def averages(spark: SparkSession, d: str) -> DataFrame:
-    e = derived(spark, d, "task_events").where("task_id % 5 = 0").withColumn("v", F.col("value") - 20)
+    return all_averages(spark, d).where("task_id % 5 = 0")
+
+
+@query("ag7_ag8_moving_average_whole")
+def all_averages(spark: SparkSession, d: str) -> DataFrame:
+    e = derived(spark, d, "task_events").withColumn("v", F.col("value") - 20)
     m = lc.moving_average(e, "task_id", "v", ["ts", "event_id"])
     return m.select("task_id", "ema", lc.retry_after(F.col("ema"), 3).alias("retry_after"), lc.estimated_wait(F.lit(7), F.col("ema"), 3).alias("wait_s"))
 
@@ -190,7 +200,12 @@ _PROM = """(select event_id as probe_id, unnest(['# HELP x y', 'svc_queue_size '
 @query("src9_parse_prometheus", f"""select probe_id, regexp_extract(line, '^([a-zA-Z_:][a-zA-Z0-9_:]*)', 1) as name, nullif(regexp_extract(line, '="([^"]*)"', 1), '') as label, try_cast(regexp_extract(line, '(\\S+)$', 1) as double) as value
 from {_PROM} where regexp_matches(line, '^[a-zA-Z_:][a-zA-Z0-9_:]*([{{][^}}]*[}}])?\\s+[^\\s]+\\s*$') and try_cast(regexp_extract(line, '(\\S+)$', 1) as double) is not null""")
 def prometheus(spark: SparkSession, d: str) -> DataFrame:
-    e = spark.read.parquet(f"{d}/events.parquet").where("event_id < 500")
+    return all_prometheus(spark, d).where("probe_id < 500")
+
+
+@query("src9_parse_prometheus_whole")
+def all_prometheus(spark: SparkSession, d: str) -> DataFrame:
+    e = spark.read.parquet(f"{d}/events.parquet")
     lines = F.array(F.lit("# HELP x y"), F.concat(F.lit("svc_queue_size "), (F.col("event_id") % 20).cast("string")), F.concat(F.lit('svc_errors_total{kind="a",x="b"} '), (F.col("event_id") * 2).cast("string")), F.lit('svc_errors_total{kind="c"} 7'), F.lit("broken line here now"), F.lit("svc_bad abc"), F.lit(""))
     return mt.parse_prometheus(e.select(F.col("event_id").alias("probe_id"), F.posexplode(lines).alias("line_no", "line")))
 
