@@ -17,9 +17,9 @@ from .registry import query, with_tables
 
 
 def spoken(spark: SparkSession, d: str) -> DataFrame:
-    """Segments with short texts and fillers among them, so that the short-segment rules act."""
+    """Segments with short texts and fillers in place of some, so that the short-segment rules act."""
     k = F.col("seg_idx")
-    text = F.when(k % 4 == 1, "对").when(k % 4 == 2, F.substring("text", 1, 8)).otherwise(F.substring("text", 1, 60))
+    text = F.when(k % 4 == 1, "对").when(k % 4 == 2, "yes well").otherwise(F.col("text"))
     return derived(spark, d, "segments").withColumn("text", text)
 
 
@@ -37,6 +37,14 @@ select t.file_id, t.rn - 1 as seg_idx, t.start_ms, t.end_ms, f.now as speaker, t
 
 @query("wn7_smooth_aba", _ABA)
 def aba(spark: SparkSession, d: str) -> DataFrame:
+    """On the texts of its SQL, which are beginnings; the query below has whole ones."""
+    k = F.col("seg_idx")
+    text = F.when(k % 4 == 1, "对").when(k % 4 == 2, F.substring("text", 1, 8)).otherwise(F.substring("text", 1, 60))
+    return fo.per_file(derived(spark, d, "segments").withColumn("text", text), lambda s: fo.smooth_aba(s, 1500))
+
+
+@query("wn7_smooth_aba_whole")
+def whole_aba(spark: SparkSession, d: str) -> DataFrame:
     return fo.per_file(spoken(spark, d), lambda s: fo.smooth_aba(s, 1500))
 
 
@@ -48,7 +56,7 @@ def guard(spark: SparkSession, d: str) -> DataFrame:
 @query("wn16_role_smoothing")
 def role_smoothing(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("seg_idx")
-    s = derived(spark, d, "segments").withColumn("speaker", F.col("speaker") % 2).withColumn("text", F.when(k % 3 == 0, "你觉得是什么？").when(k % 3 == 1, "我觉得我的公司在我看来").otherwise(F.substring("text", 1, 30)))
+    s = derived(spark, d, "segments").withColumn("speaker", F.col("speaker") % 2).withColumn("text", F.when(k % 3 == 0, "你觉得是什么？").when(k % 3 == 1, "我觉得我的公司在我看来").otherwise(F.col("text")))
     return fo.per_file(s, lambda x: fo.smooth_roles(x, True))
 
 
@@ -69,7 +77,7 @@ def unique_boundaries(spark: SparkSession, d: str) -> DataFrame:
 
 @query("wn18_similar_runs")
 def similar(spark: SparkSession, d: str) -> DataFrame:
-    s = derived(spark, d, "segments").withColumn("text", F.when(F.col("file_id") % 3 == 0, F.concat(F.lit("the same words again and again number "), (F.col("seg_idx") % 2).cast("string"))).otherwise(F.substring("text", 1, 80)))
+    s = derived(spark, d, "segments").withColumn("text", F.when(F.col("file_id") % 3 == 0, F.concat(F.lit("the same words again and again number "), (F.col("seg_idx") % 2).cast("string"))).otherwise(F.col("text")))
     return ev.similar_runs(s)
 
 
@@ -78,7 +86,7 @@ def merge_chunks(spark: SparkSession, d: str) -> DataFrame:
     import pandas as pd
 
     k = F.col("seg_idx")
-    chunks = derived(spark, d, "segments").where(k % 2 == 0).select("file_id", F.lit(0).alias("kind"), k.alias("idx"), "start_ms", (F.col("end_ms") + 1500).alias("end_ms"), F.lit(0).cast("long").alias("speaker"), F.regexp_replace(F.substring("text", 1, 90), r"\.", "。").alias("text"))
+    chunks = derived(spark, d, "segments").where(k % 2 == 0).select("file_id", F.lit(0).alias("kind"), k.alias("idx"), "start_ms", (F.col("end_ms") + 1500).alias("end_ms"), F.lit(0).cast("long").alias("speaker"), F.regexp_replace("text", r"\.", "。").alias("text"))
     turns = derived(spark, d, "turns").select("file_id", F.lit(1).alias("kind"), F.col("turn_idx").alias("idx"), "start_ms", "end_ms", "speaker", F.lit("").alias("text"))
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -193,7 +201,7 @@ def map_local(spark: SparkSession, d: str) -> DataFrame:
 @query("ag9_edit_stats")
 def edits(spark: SparkSession, d: str) -> DataFrame:
     c = spark.read.parquet(f"{d}/conversations.parquet")
-    return ev.edit_stats(c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.substring("text", 1, 300).alias("reference"), F.regexp_replace(F.substring("text", 3, 300), "the", "teh").alias("hypothesis")))
+    return ev.edit_stats(c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("reference"), F.regexp_replace(F.expr("substring(text, 3)"), "the", "teh").alias("hypothesis")))
 
 
 _CHARS = with_tables("segments", "turns") + ", chars as (select s.file_id, s.seg_idx, 'h' || s.speaker::varchar as hyp, 'r' || t.speaker::varchar as ref from segments s join turns t on s.file_id = t.file_id and s.start_ms < t.end_ms and t.start_ms < s.end_ms)"
@@ -246,10 +254,11 @@ _Q, _A = ("|".join(("你觉得", "是什么", "吗")), "我觉得")
 _TEXTED = ", s as (select file_id, seg_idx, start_ms * 4 as start_ms, end_ms * 4 as end_ms, speaker, case seg_idx % 5 when 0 then '你觉得 ' when 1 then '我觉得 ' when 2 then '我觉得 是什么 ' else '' end || substr(text, 1, 40) as text from segments)"
 
 
-def cued(spark: SparkSession, d: str) -> DataFrame:
+def cued(spark: SparkSession, d: str, most: int | None = None) -> DataFrame:
+    """Segments with a cue before the text, or before its first `most` characters (as the SQL has them)."""
     k = F.col("seg_idx") % 5
     cue = F.when(k == 0, "你觉得 ").when(k == 1, "我觉得 ").when(k == 2, "我觉得 是什么 ").otherwise("")
-    return derived(spark, d, "segments").select("file_id", "seg_idx", (F.col("start_ms") * 4).alias("start_ms"), (F.col("end_ms") * 4).alias("end_ms"), "speaker", F.concat(cue, F.substring("text", 1, 40)).alias("text"))
+    return derived(spark, d, "segments").select("file_id", "seg_idx", (F.col("start_ms") * 4).alias("start_ms"), (F.col("end_ms") * 4).alias("end_ms"), "speaker", F.concat(cue, F.col("text") if most is None else F.substring("text", 1, most)).alias("text"))
 
 
 _FEATURES = with_tables("segments") + _TEXTED + f""", w as (select *, start_ms // 40000 as window_idx, max(end_ms) over (partition by file_id) as last, end_ms - start_ms as dur, length(text) as chars, (case when contains(text, '你觉得') then 1 else 0 end + case when contains(text, '是什么') then 1 else 0 end) as q, (case when contains(text, '我觉得') then 1 else 0 end) as a from s),
@@ -261,6 +270,11 @@ g as (select *, speakers = 1 and question_cues > 0 and answer_cues > 0 as single
 
 @query("ag17_window_features", _FEATURES + " select * from g")
 def features(spark: SparkSession, d: str) -> DataFrame:
+    return ev.window_features(cued(spark, d, 40))
+
+
+@query("ag17_window_features_whole")
+def whole_features(spark: SparkSession, d: str) -> DataFrame:
     return ev.window_features(cued(spark, d))
 
 
@@ -270,12 +284,22 @@ _RISK = _FEATURES + """, risk as (select file_id, window_idx, (case when single_
 
 @query("ag19_risk_score", _RISK + " select * from risk")
 def risk(spark: SparkSession, d: str) -> DataFrame:
-    return ev.risk_score(ev.window_features(cued(spark, d))).select("file_id", "window_idx", "score")
+    return ev.risk_score(ev.window_features(cued(spark, d, 40))).select("file_id", "window_idx", "score")
+
+
+@query("ag19_risk_score_whole")
+def whole_risk(spark: SparkSession, d: str) -> DataFrame:
+    return ev.risk_score(whole_features(spark, d)).select("file_id", "window_idx", "score")
 
 
 @query("so3_top_risks", _RISK + " select * from risk where score >= 1 order by score desc, file_id, window_idx limit 20")
 def top_risks(spark: SparkSession, d: str) -> DataFrame:
-    return ev.top_risks(ev.risk_score(ev.window_features(cued(spark, d))), 20).select("file_id", "window_idx", "score")
+    return ev.top_risks(ev.risk_score(ev.window_features(cued(spark, d, 40))), 20).select("file_id", "window_idx", "score")
+
+
+@query("so3_top_risks_whole")
+def whole_top_risks(spark: SparkSession, d: str) -> DataFrame:
+    return ev.top_risks(ev.risk_score(whole_features(spark, d)), 20).select("file_id", "window_idx", "score")
 
 
 @query("flt9_quality_gate", """with g as (select event_id as window_id, event_id % 11 as items, event_id % 5 as low_conf, event_id % 4 as src_switches, event_id % 13 as out_switches, event_id % 6 as src_segments, event_id % 31 as out_segments, event_id % 5 as very_short, (event_id % 20) / 10.0 as drift, event_id % 2 = 0 as both_two,

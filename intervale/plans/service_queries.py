@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -269,9 +269,18 @@ select * from x"""
 
 @query("snk2_srt_variants", _SRT_SQL)
 def srt(spark: SparkSession, d: str) -> DataFrame:
+    return _subtitles(spark, d, F.substring("text", 1, 20))
+
+
+@query("snk2_srt_variants_whole")
+def whole_srt(spark: SparkSession, d: str) -> DataFrame:
+    return _subtitles(spark, d, F.col("text"))
+
+
+def _subtitles(spark: SparkSession, d: str, text: Column) -> DataFrame:
     from ..sources.sinks import to_srt
 
-    s = derived(spark, d, "segments").select("file_id", "seg_idx", "speaker", (F.col("start_ms") * 7 + 350).alias("start_ms"), (F.col("end_ms") * 7 + 351).alias("end_ms"), F.when(F.col("seg_idx") % 5 == 3, "  ").otherwise(F.substring("text", 1, 20)).alias("text"))
+    s = derived(spark, d, "segments").select("file_id", "seg_idx", "speaker", (F.col("start_ms") * 7 + 350).alias("start_ms"), (F.col("end_ms") * 7 + 351).alias("end_ms"), F.when(F.col("seg_idx") % 5 == 3, "  ").otherwise(text).alias("text"))
     out = None
     for v in "ABC":
         part = to_srt(s, v).select("file_id", F.lit(v).alias("variant"), "srt")

@@ -1,4 +1,5 @@
-"""Queries beside a checked subset work on every row: held against the subset's SQL without its filter, or by count."""
+"""Queries beside a checked subset work on every row and whole texts: held against the subset's SQL without its filter
+or cut, or by count and length."""
 
 import duckdb
 import pytest
@@ -37,3 +38,38 @@ def test_every_vector_has_a_cluster(spark):
     got = catalog.queries()["cl2_complete_linkage"](spark, d).collect()
     want = spark.read.parquet(f"{d}/embeddings.parquet").where("embedding is not null").select("vec_id").collect()
     assert sorted(r["seg_idx"] for r in got) == sorted(r["vec_id"] for r in want)
+
+
+CUTS = {
+    "wn7_smooth_aba": {"substr(text, 1, 8)": "'yes well'", "substr(text, 1, 60)": "text"}, "ag17_window_features": {"substr(text, 1, 40)": "text"},
+    "ag19_risk_score": {"substr(text, 1, 40)": "text"}, "so3_top_risks": {"substr(text, 1, 40)": "text"}, "snk2_srt_variants": {"substr(text, 1, 20)": "text"},
+}
+
+
+@pytest.mark.parametrize("name", CUTS)
+def test_whole_texts_are_worked_on(name, spark, large):
+    cut = catalog.oracle_sql()[name]
+    sql = cut
+    for a, b in CUTS[name].items():
+        assert sql.count(a) == 1
+        sql = sql.replace(a, b)
+    got = plain(catalog.queries()[f"{name}_whole"](spark, DATA).toPandas())
+    assert got == plain(large.sql(sql).df())
+    part = plain(catalog.queries()[name](spark, DATA).toPandas())
+    assert part == plain(large.sql(cut).df())
+    if name not in ("so3_top_risks", "ag19_risk_score"):
+        assert part != got
+
+
+def test_edits_and_folds_see_whole_texts(spark):
+    from pyspark.sql import functions as F
+
+    from intervale.operators.evaluation import normalized
+    from intervale.sources.substrate import derived
+
+    text = {r["conv_id"] * 1000 + r["turn"]: r["text"] for r in spark.read.parquet(f"{DATA}/conversations.parquet").collect()}
+    rows = catalog.queries()["ag9_edit_stats"](spark, DATA).collect()
+    assert len(rows) == len(text) and all(r["ref_chars"] == len(normalized(text[r["id"]])) for r in rows)
+    longest = derived(spark, DATA, "segments").where("seg_idx % 12 in (0, 4, 8, 11)").agg(F.max(F.length("text"))).first()[0]
+    for name in ("wn6_absorb_tiny", "wn8_short_guard", "wn16_role_smoothing", "jn2_wn20_merge_chunks_and_turns"):
+        assert catalog.queries()[name](spark, DATA).agg(F.max(F.length("text"))).first()[0] >= min(longest, 91)
