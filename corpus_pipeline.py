@@ -21,7 +21,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many sites share go, but for their first document; so do documents of which nothing is left."""
-    found = lines.dedup_lines(docs)
+    found = lines.dedup_lines(docs, short_sites=lines.SHORT_SITES)
     kept = found.where(~((F.col("lines_removed") > 0) & (F.length(F.trim("text")) == 0)))
     columns = [F.length("text").cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return kept.select(*columns)

@@ -3,7 +3,8 @@
 A line's key is a hash of its text, trimmed and lower-cased. For each key, HyperLogLog sketches of the sites merge by
 aggregation; keys whose estimate lies near the threshold get an exact distinct count. A line on at least MIN_SITES
 sites is boilerplate: it stays in the document with the smallest id that holds it (so of a group of copied documents
-one stays whole) and goes everywhere else. Lines shorter than MIN_CHARS are too common by chance and always stay.
+one stays whole) and goes everywhere else. Lines shorter than MIN_CHARS are more often common by chance: by default they
+stay (so the SQL has it); with short_sites they are counted too and go when on at least so many sites. Blank lines stay.
 
 Defined results: a null text stays null and an empty one empty; a null site counts as one site; null ids sort first,
 as one document; rows with the same id are one document; other columns are kept, whatever their names.
@@ -18,6 +19,9 @@ from .common import fresh, table, written
 
 MIN_SITES = 5
 MIN_CHARS = 25
+#: Sites that make a line under MIN_CHARS boilerplate where short lines are counted: a sentence of one or two words is
+#: on a few sites by chance, not on so many.
+SHORT_SITES = 15
 #: log2 of a sketch's buckets, and the share by which an estimate may miss before it is counted exactly.
 SKETCH_BITS = 8
 NEAR = 0.35
@@ -31,36 +35,43 @@ def _long(line: Column) -> Column:
     return F.length(F.trim(line)) >= MIN_CHARS
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """line, doc_id, site of the distinct long lines of each document."""
-    found = F.array_distinct(F.transform(F.filter(F.split(F.col("text"), "\n"), _long), _key))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1 << 63)).alias("doc_id"), F.xxhash64(F.coalesce(F.col("source").cast("string"), F.lit(""))).alias("site"), F.explode(found).alias("line"))
+def _counted(line: Column, short_sites: int | None) -> Column:
+    return _long(line) if short_sites is None else F.length(F.trim(line)) > 0
 
 
-def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """line, keeper of the lines that at least min_sites sites hold. lines: line, doc_id, site; read three times."""
-    spread = lines.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("keeper"))
-    frequent = written(spread.where(F.col("n") >= min_sites).select("line", "keeper"), "frequent-lines")
-    held = lines.join(frequent, "line")
-    sketched = held.groupBy("line", "keeper").agg(F.hll_sketch_agg("site", SKETCH_BITS).alias("sketch"))
-    judged = written(sketched.select("line", "keeper", F.hll_sketch_estimate("sketch").alias("sites")), "line-spread")
-    clear = judged.where(F.col("sites") > min_sites * (1 + NEAR)).select("line", "keeper")
-    near = judged.where(F.col("sites").between(min_sites * (1 - NEAR), min_sites * (1 + NEAR))).select("line", "keeper")
-    exact = lines.join(near, "line").select("line", "keeper", "site").distinct().groupBy("line", "keeper").count()
-    return clear.unionByName(exact.where(F.col("count") >= min_sites).select("line", "keeper"))
+def _lines(docs: DataFrame, min_sites: int, short_sites: int | None) -> DataFrame:
+    """line, doc_id, site, least of the distinct counted lines of each document; least: the sites that make it boilerplate."""
+    named = lambda x: F.struct(_key(x).alias("line"), F.when(_long(x), min_sites).otherwise(short_sites).alias("least"))
+    found = F.array_distinct(F.transform(F.filter(F.split(F.col("text"), "\n"), lambda x: _counted(x, short_sites)), named))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1 << 63)).alias("doc_id"), F.xxhash64(F.coalesce(F.col("source").cast("string"), F.lit(""))).alias("site"), F.explode(found).alias("_l"))
+    return rows.select("_l.line", "doc_id", "site", "_l.least")
 
 
-def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+def boilerplate(lines: DataFrame) -> DataFrame:
+    """line, least, keeper of the lines that at least `least` sites hold. lines: line, doc_id, site, least; read three times."""
+    key = ["line", "least"]
+    spread = lines.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("keeper"))
+    frequent = written(spread.where(F.col("n") >= F.col("least")).select(*key, "keeper"), "frequent-lines")
+    held = lines.join(frequent, key)
+    sketched = held.groupBy(*key, "keeper").agg(F.hll_sketch_agg("site", SKETCH_BITS).alias("sketch"))
+    judged = written(sketched.select(*key, "keeper", F.hll_sketch_estimate("sketch").alias("sites")), "line-spread")
+    clear = judged.where(F.col("sites") > F.col("least") * (1 + NEAR)).select(*key, "keeper")
+    near = judged.where(F.col("sites").between(F.col("least") * (1 - NEAR), F.col("least") * (1 + NEAR))).select(*key, "keeper")
+    exact = lines.join(near, key).select(*key, "keeper", "site").distinct().groupBy(*key, "keeper").count()
+    return clear.unionByName(exact.where(F.col("count") >= F.col("least")).select(*key, "keeper"))
+
+
+def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, short_sites: int | None = None) -> DataFrame:
     """docs with boilerplate lines removed from text, and the numbers of lines before and removed as
-    lines_before and lines_removed (in place of columns of these names)."""
-    lines = written(_lines(docs), "lines")
-    known = boilerplate(lines, min_sites)
+    lines_before and lines_removed (in place of columns of these names). short_sites: see above."""
+    lines = written(_lines(docs, min_sites, short_sites), "lines")
+    known = boilerplate(lines)
     docs = docs.drop("lines_before", "lines_removed")
     set_, id_ = fresh(docs, "_gone"), fresh(docs, "_doc")
-    gone = lines.join(known, "line").where(F.col("doc_id") != F.col("keeper")).groupBy("doc_id").agg(F.collect_set("line").alias(set_)).withColumnRenamed("doc_id", id_)
+    gone = lines.join(known, ["line", "least"]).where(F.col("doc_id") != F.col("keeper")).groupBy("doc_id").agg(F.collect_set("line").alias(set_)).withColumnRenamed("doc_id", id_)
     joined = docs.join(gone, F.coalesce(docs["doc_id"].cast("long"), F.lit(-1 << 63)) == gone[id_], "left")
     all_lines = F.split(docs["text"], "\n")
-    kept = F.filter(all_lines, lambda x: ~(_long(x) & F.array_contains(gone[set_], _key(x))))
+    kept = F.filter(all_lines, lambda x: ~(_counted(x, short_sites) & F.array_contains(gone[set_], _key(x))))
     text = F.when(gone[set_].isNull(), docs["text"]).otherwise(F.array_join(kept, "\n"))
     counts = {"lines_before": F.size(all_lines), "lines_removed": F.when(gone[set_].isNull(), F.lit(0)).otherwise(F.size(all_lines) - F.size(kept))}
     return joined.select(*[text.alias(c) if c == "text" else docs[c] for c in docs.columns], *[F.coalesce(v, F.lit(0)).cast("int").alias(k) for k, v in counts.items()])
@@ -71,6 +82,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(docs).select("doc_id", "text", "lines_before", "lines_removed")
 
 
+def whole_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return dedup_lines(docs, short_sites=SHORT_SITES).select("doc_id", "text", "lines_before", "lines_removed")
+
+
 ORACLE = f"""
 with lines as (
   select doc_id, source, u.pos, u.line, lower(trim(u.line, ' ')) as key

@@ -112,6 +112,24 @@ def test_lines_against_brute_force(spark, odd):
     assert set(odd.columns) <= set(lines.dedup_lines(odd).columns)
 
 
+def test_short_lines_of_many_sites_go(spark, odd):
+    rows = [(k, f"All rights reserved.\n\n a line that only document {k} holds \nchance", f"s{k % 20}") for k in range(60)]
+    rows += [(60 + k, "by chance.\nown", f"s{k}") for k in range(lines.SHORT_SITES - 1)]
+    sites, first = {}, {}
+    for d, t, s in rows:
+        for x in t.split("\n"):
+            sites.setdefault(x.strip(" ").lower(), set()).add(s)
+            first.setdefault(x.strip(" ").lower(), d)
+    least = lambda x: lines.MIN_SITES if len(x.strip(" ")) >= lines.MIN_CHARS else lines.SHORT_SITES
+    gone = lambda x, d: x.strip(" ") and len(sites[x.strip(" ").lower()]) >= least(x) and first[x.strip(" ").lower()] != d
+    want = {d: "\n".join(x for x in t.split("\n") if not gone(x, d)) for d, t, _ in rows}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {x["doc_id"]: x["text"] for x in lines.dedup_lines(docs, short_sites=lines.SHORT_SITES).collect()}
+    assert got == want and "All rights reserved." in got[0] and not any("All rights reserved." in got[k] for k in range(1, 60))
+    assert all(got[60 + k] == "by chance.\nown" for k in range(lines.SHORT_SITES - 1))
+    assert lines.dedup_lines(odd, short_sites=lines.SHORT_SITES).count() == len(ODD)
+
+
 def test_languages(spark, odd):
     docs = spark.read.parquet(f"{MIDDLE}/documents.parquet")
     rows = language.label_spans(docs, language.learn(docs)).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
