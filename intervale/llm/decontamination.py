@@ -1,10 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds join training passages to test items, Smith-Waterman scores them.
+"""Benchmark decontamination: word-pair seeds join training passages to test items, Smith-Waterman scores them.
 
 Words are compared lower-cased (A-Z) with ASCII punctuation as space. Test items are read in blocks of at most
-BLOCK_BYTES of text, the bound of what is broadcast; a larger benchmark takes more passes. A first pass counts in how
-many documents each seed occurs; each item then keeps the rarest SEED_SHARE of its seeds (ranked within the item, so
-a passage that half of the corpus holds keeps seeds too). A second pass finds the seeds in whole texts and aligns each
-hit's surroundings with the item, word by word.
+BLOCK_BYTES of text, the bound of what is broadcast; a larger benchmark takes more passes. A seed is a pair of words
+next to each other, or with one word between, in the item and in the text. With m matches and e errors an alignment
+scores 2 m - e; at threshold t of an item of n words e <= 2 m - 2 t n, so at most m - t n of its m - 1 steps from match to
+match hold two errors or more, and t n - 1 steps or more are seeds, all within (3 - 2 t) n words. Where so many seeds
+lie so close, the text is aligned with the item, word by word: no passage that reaches the threshold is missed.
 
 Defined results: null or empty texts and items without words match nothing; an item of fewer than SEED_WORDS words has
 its whole word sequence as its seed; repeated rows give repeated results; null ids are carried; other columns are kept
@@ -21,19 +22,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import by_text_batches, map_slices, slices, table
-from .words import ngrams, words_of
+from .words import mix, ngrams, words_of
 
+#: Items of fewer words have one seed, the whole sequence.
 SEED_WORDS = 4
-SEED_SHARE = 0.75
+#: Hits of seeds that are looked at together (or those of one text), which bounds memory.
+HITS = 1 << 21
 BLOCK_BYTES = 8 << 20
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Least share of the best possible alignment score.
 THRESHOLD = 0.4
 FILTER_BITS = 20
+_PAIR = np.uint64(0xA4093822299F31D0)
 _PUNCTUATION = np.zeros(256, bool)
 _PUNCTUATION[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
 
 
+def pairs_of(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the pairs of words at a distance of 1 or 2 inside texts, and the position of the first word of each."""
+    left = np.repeat(first[1:], np.diff(first))
+    values, places = [], []
+    for step in (1, 2):
+        at = np.flatnonzero(np.arange(len(hashes)) + step < left)
+        values.append(mix(hashes[at] * _PAIR + hashes[at + step]))
+        places.append(at)
+    return np.concatenate(values), np.concatenate(places)
+
+
 class Items:
     """A block of test items: their word hashes, and sorted seeds with the items and places where they occur."""
 
@@ -44,15 +59,20 @@ class Items:
         self.words = [hashes[a:b] for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
         seeds, item, place, size = [], [], [], []
         count = np.diff(words.first)
-        for n in range(1, SEED_WORDS + 1):
+        for n in range(1, SEED_WORDS):
             grams, at = ngrams(hashes, words.first, n)
-            own = words.text[at] if len(at) else at
-            if n < SEED_WORDS:
-                grams, at, own = (x[count[own] == n] for x in (grams, at, own))
-            seeds.append(grams)
-            item.append(own)
-            place.append(at - words.first[own] if len(at) else at)
-            size.append(np.full(len(grams), n))
+            whole = count[words.text[at]] == n if len(at) else np.zeros(0, bool)
+            seeds.append(grams[whole])
+            place.append(at[whole])
+            size.append(np.full(int(whole.sum()), n))
+        grams, at = pairs_of(hashes, words.first)
+        long = count[words.text[at]] >= SEED_WORDS if len(at) else np.zeros(0, bool)
+        seeds.append(grams[long])
+        place.append(at[long])
+        size.append(np.zeros(int(long.sum()), np.int64))
+        for at in place:
+            item.append(words.text[at] if len(at) else at)
+        place = [at - words.first[own] if len(at) else at for at, own in zip(place, item, strict=True)]
         self._set(*(np.concatenate(x) for x in (seeds, item, place, size)))
 
     def _set(self, seed: np.ndarray, item: np.ndarray, place: np.ndarray, size: np.ndarray) -> None:
@@ -62,23 +82,11 @@ class Items:
         self.filter = np.zeros(1 << FILTER_BITS, bool)
         self.filter[(self.seed >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
 
-    def keep_rare(self, counts: dict[int, int]) -> None:
-        """counts: documents that hold a seed, by the seed's first place in self.seed."""
-        first = np.searchsorted(self.seed, self.seed)
-        found = np.array([counts.get(int(k), 0) for k in first], np.int64)
-        order = np.lexsort((self.seed, found, self.item))
-        item = self.item[order]
-        begin = np.searchsorted(item, item)
-        total = np.searchsorted(item, item, "right") - begin
-        rank = np.arange(len(item)) - begin
-        kept = order[rank < np.ceil(total * SEED_SHARE)]
-        self._set(self.seed[kept], self.item[kept], self.place[kept], self.size[kept])
-
     def occurrences(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in self.seed (the first of equal ones) and words of the texts where seeds begin."""
         places, at = [], []
         for n in self.sizes:
-            grams, begin = ngrams(hashes, first, n)
+            grams, begin = ngrams(hashes, first, n) if n else pairs_of(hashes, first)
             near = np.flatnonzero(self.filter[(grams >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
             k = np.searchsorted(self.seed, grams[near])
             k[k == len(self.seed)] = 0
@@ -106,6 +114,52 @@ def smith_waterman(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+def _regions(items: Items, seed: np.ndarray, at: np.ndarray, text: np.ndarray, threshold: float) -> Iterator[tuple[int, int, int, int]]:
+    """(text, item, begin, end) of the words where an item has enough seeds close together; text, at: of each hit."""
+    many = np.searchsorted(items.seed, items.seed[seed], "right") - seed
+    each = np.repeat(np.arange(len(seed)), many)
+    entry = seed[each] + np.arange(len(each)) - np.repeat(np.cumsum(many) - many, many)
+    text, item, at = text[each], items.item[entry], at[each]
+    length = np.array([len(w) for w in items.words], np.int64)
+    need = np.maximum(1, np.ceil(threshold * length - 1 - 1e-9).astype(np.int64))
+    need[length < SEED_WORDS] = 1
+    span = np.maximum(length, np.ceil((3 - 2 * threshold) * length).astype(np.int64))
+    enough = np.bincount(item, minlength=len(length)) >= need
+    order = np.flatnonzero(enough[item])
+    order = order[np.lexsort((at[order], item[order], text[order]))]
+    text, item, at = text[order], item[order], at[order]
+    last = np.arange(len(order)) + need[item] - 1
+    begins = np.flatnonzero(last < len(order))
+    ends = last[begins]
+    close = (text[ends] == text[begins]) & (item[ends] == item[begins]) & (at[ends] - at[begins] <= span[item[begins]])
+    begins, ends = begins[close], ends[close]
+    k = 0
+    while k < len(begins):
+        t, i = int(text[begins[k]]), int(item[begins[k]])
+        begin, end = int(at[ends[k]] - span[i]), int(at[begins[k]] + span[i] + 1)
+        k += 1
+        while k < len(begins) and text[begins[k]] == t and item[begins[k]] == i and at[ends[k]] - span[i] <= end:
+            end = int(at[begins[k]] + span[i] + 1)
+            k += 1
+        yield t, i, begin, end
+
+
+def _alignments(target: np.ndarray, hashes: np.ndarray, begin: int, end: int, least: float) -> Iterator[tuple[int, int, int]]:
+    """(score, first word, end word) of the best alignment in hashes[begin:end], then of those left and right of it."""
+    todo = [(begin, end)]
+    while todo:
+        begin, end = todo.pop()
+        if MATCH * (end - begin) < least:
+            continue
+        score, stop = smith_waterman(target, hashes[begin:end])
+        if score < least or not score:
+            continue
+        _, back = smith_waterman(target[::-1], hashes[begin : begin + stop][::-1])
+        first, stop = begin + stop - back, begin + stop
+        yield score, first, stop
+        todo += [(begin, first), (stop, end)]
+
+
 def _matches(part: pa.RecordBatch, items: Items, threshold: float) -> list[tuple[int, int, float, int, int]]:
     """(row, item's index, score, first byte, end byte) of the passages in a slice's texts that reach the threshold."""
     words = words_of(part.column("text"), True, _PUNCTUATION)
@@ -113,29 +167,23 @@ def _matches(part: pa.RecordBatch, items: Items, threshold: float) -> list[tuple
     seed, at = items.occurrences(hashes, words.first)
     if not len(seed):
         return []
-    many = np.searchsorted(items.seed, items.seed[seed], "right") - seed
-    each = np.repeat(np.arange(len(seed)), many)
-    entry = seed[each] + np.arange(len(each)) - np.repeat(np.cumsum(many) - many, many)
-    text, item, diagonal = words.text[at[each]], items.item[entry], at[each] - items.place[entry]
-    order = np.lexsort((diagonal, item, text))
-    text, item, diagonal = text[order], item[order], diagonal[order]
+    order = np.argsort(at, kind="stable")
+    seed, at = seed[order], at[order]
+    text = words.text[at]
+    hits = np.cumsum(np.searchsorted(items.seed, items.seed[seed], "right") - seed)
     found = []
-    k = 0
-    while k < len(text):
-        t, i = int(text[k]), int(item[k])
-        target = items.words[i]
-        slack = len(target) // 2 + SEED_WORDS
-        low, high = words.first[t], words.first[t + 1]
-        begin = max(low, diagonal[k] - slack)
-        end = min(high, diagonal[k] + len(target) + slack)
-        k += 1
-        while k < len(text) and text[k] == t and item[k] == i and diagonal[k] - slack <= end:
-            end = min(high, diagonal[k] + len(target) + slack)
-            k += 1
-        score, stop = smith_waterman(target, hashes[begin:end])
-        if score >= threshold * MATCH * len(target):
-            _, back = smith_waterman(target[::-1], hashes[begin : begin + stop][::-1])
-            found.append((t, i, score / (MATCH * len(target)), int(words.start[begin + stop - back] - words.base[t]), int(words.end[begin + stop - 1] - words.base[t])))
+    low = 0
+    while low < len(seed):
+        high = int(np.searchsorted(hits, (hits[low - 1] if low else 0) + HITS, "right"))
+        if high < len(seed):  # a text's hits stay together
+            high = int(np.searchsorted(text, text[high]))
+            high = high if high > low else int(np.searchsorted(text, text[low], "right"))
+        for t, i, begin, end in _regions(items, seed[low:high], at[low:high], text[low:high], threshold):
+            target = items.words[i]
+            best = MATCH * len(target)
+            for score, first, stop in _alignments(target, hashes, max(int(words.first[t]), begin), min(int(words.first[t + 1]), end), threshold * best):
+                found.append((t, i, score / best, int(words.start[first] - words.base[t]), int(words.end[stop - 1] - words.base[t])))
+        low = high
     return found
 
 
@@ -153,25 +201,6 @@ def _blocks(benchmark: DataFrame) -> Iterator[Items]:
         yield Items(ids, texts)
 
 
-def _prepared(docs: DataFrame, benchmark: DataFrame) -> Iterator[Items]:
-    """Blocks of items that keep their rare seeds, by counts over all documents."""
-    texts = docs.select(F.col("text").cast("string").alias("text"))
-    spark = docs.sparkSession
-    for items in _blocks(benchmark):
-        shared = spark.sparkContext.broadcast(items)
-
-        def count(part: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
-            words = words_of(part.column("text"), True, _PUNCTUATION)
-            seed, at = shared.value.occurrences(words.hashes(), words.first)
-            pairs = np.unique(words.text[at] * (len(shared.value.seed) + 1) + seed) if len(seed) else seed
-            place, n = np.unique(pairs % (len(shared.value.seed) + 1), return_counts=True)
-            return pa.record_batch([pa.array(place, pa.int64()), pa.array(n, pa.int64())], names=["place", "n"])
-
-        found = map_slices(texts, count, "place long, n long").groupBy("place").agg(F.sum("n").alias("n"))
-        items.keep_rare({r["place"]: r["n"] for r in found.toLocalIterator()})
-        yield items
-
-
 def find(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row for each passage of a document that copies a test item: doc_id, item_id, score, start_byte, end_byte."""
     schema = "doc_id long, item_id long, score double, start_byte long, end_byte long"
@@ -179,7 +208,7 @@ def find(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) ->
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
-    for items in _prepared(docs, benchmark):
+    for items in _blocks(benchmark):
         shared = spark.sparkContext.broadcast(items)
 
         def work(part: pa.RecordBatch, shared=shared) -> pa.RecordBatch | None:
@@ -196,7 +225,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
     """The rows of docs, all columns as they are, that hold no passage of a test item."""
     spark = docs.sparkSession
     by_text_batches(spark)
-    for items in list(_prepared(docs, benchmark)):
+    for items in _blocks(benchmark):
         shared = spark.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

@@ -135,6 +135,23 @@ def test_alignment_scores():
         assert dc.smith_waterman(np.array(a), np.array(b))[0] == plain(a, b)
 
 
+def test_seeds_miss_no_alignment():
+    import pyarrow as pa
+
+    r = random.Random(12)
+    word = lambda: "w%d" % r.randrange(30)
+    texts = [[word() for _ in range(r.randrange(4, 20))] for _ in range(40)]
+    items = dc.Items(list(range(40)), [" ".join(t) for t in texts])
+    rows = [[word() for _ in range(r.randrange(20))] + [x for x in texts[k % 40] if r.random() < 0.9] + [word() for _ in range(r.randrange(20))] for k in range(60)]
+    part = pa.record_batch([pa.array([" ".join(t) for t in rows])], names=["text"])
+    for threshold in (0.4, 0.7):
+        got = {(t, i) for t, i, *_ in dc._matches(part, items, threshold)}
+        number = {x: k for k, x in enumerate({x for t in texts + rows for x in t})}
+        code = [[np.array([number[x] for x in t], np.int64) for t in side] for side in (rows, texts)]
+        want = {(t, i) for t, a in enumerate(code[0]) for i, b in enumerate(code[1]) if dc.smith_waterman(b, a)[0] >= threshold * 2 * len(b)}
+        assert got == want and want
+
+
 def test_the_best_path_is_found():
     r = np.random.default_rng(4)
     for _ in range(20):

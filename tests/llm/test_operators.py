@@ -244,6 +244,23 @@ def test_decontamination_finds_edited_copies(spark, odd):
     assert decontamination.clean(odd, benchmark).columns == odd.columns
 
 
+def test_decontamination_finds_copies_without_long_runs(spark):
+    r = random.Random(11)
+    word = lambda: "t%d" % r.randrange(5000)
+    items = [[word() for _ in range(n)] for n in (15, 23, 40)]
+    passages = []
+    for w in items:
+        passages.append([word() if k % 4 == 3 else x for k, x in enumerate(w)])  # each fourth word replaced
+        passages.append([x for y in w for x in (y, word())])  # a word after each
+        passages.append([x for k, x in enumerate(w) if k % 3])  # each third word left out
+    rows = [(d, " ".join([word() for _ in range(50)] + p + [word() for _ in range(50)])) for d, p in enumerate(passages)]
+    rows.append((9, " ".join(word() for _ in range(5000))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    benchmark = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    assert {(x["doc_id"], x["item_id"]) for x in decontamination.find(docs, benchmark).collect()} == {(d, d // 3) for d in range(9)}
+    assert [x["doc_id"] for x in decontamination.clean(docs, benchmark).collect()] == [9]
+
+
 def test_quality_keeps_good_documents(spark, odd, labels):
     docs, marks = (spark.read.parquet(f"{MIDDLE}/{t}.parquet") for t in ("documents", "labels"))
     rows = quality.scores(docs, marks).join(marks, "doc_id").collect()
