@@ -5,9 +5,9 @@ log-probabilities of its byte n-grams there; languages that hardly ever use the
 best path pays a penalty for each switch of language. A document's language is the one whose words have most bytes
 (a tie: the first by name), its score their share. Nothing but the text is an input of a prediction.
 
-The n-gram tables are learnt from a sample of labelled documents, about SAMPLE_DOCS a language by a hash of the id and
-at most MOST_LANGUAGES languages, the most frequent; they have BUCKETS numbers a language, the bound of what is
-broadcast. Texts are never cut.
+The n-gram tables are learnt from a sample of labelled documents, about SAMPLE_DOCS a language by a hash of the id, for
+every language that a label of a row not held out names. Only counts above 0 are kept, at most BUCKETS a language, and that is broadcast; with
+more languages slices of text are smaller. Texts are never cut.
 
 Defined results: null texts and texts without a letter are `und` with score 0 and no spans, and so is everything if
 no labelled row exists; rows are never dropped or merged, whatever their ids.
@@ -26,10 +26,11 @@ from .words import Words, mix, words_of
 
 FOLDS, HELD_OUT = 3, 1
 SAMPLE_DOCS = 1500
-MOST_LANGUAGES = 64
 BUCKET_BITS = 16
 BUCKETS = 1 << BUCKET_BITS
 SWITCH = 25.0
+#: Table entries that are summed together; languages up to which slices of text have their full size.
+ENTRIES, FULL_SLICES = 1 << 22, 16
 #: Least share of a language's words for a script to belong to it.
 SCRIPT_SHARE = 0.01
 #: First code points of the ranges of scripts, and the script that begins there; 0: no letters of a known script.
@@ -80,14 +81,29 @@ def _distinct(words: Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """Log-probabilities [bucket, language], and the languages [script, language] may be."""
+    """Log-probabilities of the (bucket, language) pairs that occur, and the languages [script, language] may be.
 
-    def __init__(self, languages: list[str], counts: np.ndarray, scripts: np.ndarray) -> None:
+    A language's log-probability of a bucket is its `base` where the count is 0, and above that by the entry.
+    """
+
+    def __init__(self, languages: list[str], key: np.ndarray, n: np.ndarray) -> None:
+        """key: bucket (then BUCKETS + script) times the number of languages, plus the language; n: its count."""
         self.languages = languages
-        total = counts.sum(0, keepdims=True)
-        p = (counts + 0.5) / (total + 0.5 * BUCKETS)
-        logs = np.log(p)
-        self.logs = (logs - logs.mean(1, keepdims=True)).astype(np.float32)
+        order = np.argsort(key)
+        row, label = np.divmod(key[order], len(languages))
+        n = n[order]
+        gram = row < BUCKETS
+        total = np.bincount(label[gram], n[gram], len(languages))
+        self.base = np.log(0.5) - np.log(total + 0.5 * BUCKETS)
+        self.first = np.searchsorted(row[gram], np.arange(BUCKETS + 1))
+        self.label = label[gram].astype(np.int32)
+        self.above = (np.log(n[gram] + 0.5) - np.log(0.5)).astype(np.float32)
+        self.dense = None
+        if len(languages) <= FULL_SLICES:  # the same sums, faster
+            self.dense = np.zeros((BUCKETS, len(languages)), np.float32)
+            self.dense[row[gram], self.label] = self.above
+        scripts = np.zeros((SCRIPTS, len(languages)))
+        scripts[row[~gram] - BUCKETS, label[~gram]] = n[~gram]
         share = scripts / np.maximum(1, scripts.sum(0, keepdims=True))
         self.allowed = share >= SCRIPT_SHARE
         self.allowed[~self.allowed.any(1)] = True
@@ -95,21 +111,36 @@ class Model:
     def word_scores(self, words: Words) -> np.ndarray:
         at, which = _distinct(words)
         buckets, owner = word_ngrams(words, at)
-        scores = np.stack([np.bincount(owner, self.logs[buckets, k], len(at)) for k in range(len(self.languages))], 1)
-        return np.where(self.allowed[scripts_of(words, at)], scores, scores.min() - 1e3 if len(at) else 0)[which].astype(np.float32)
+        k = len(self.languages)
+        scores = np.bincount(owner, minlength=len(at))[:, None] * self.base
+        if self.dense is not None:
+            scores += np.stack([np.bincount(owner, self.dense[buckets, j], len(at)) for j in range(k)], 1)
+            buckets = buckets[:0]
+        many = self.first[buckets + 1] - self.first[buckets]
+        done = np.cumsum(many)
+        low = 0
+        while low < len(buckets):
+            high = max(low + 1, int(np.searchsorted(done, (done[low - 1] if low else 0) + ENTRIES + scores.size, "right")))
+            count = many[low:high]
+            entry = np.repeat(self.first[buckets[low:high]] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+            scores += np.bincount(np.repeat(owner[low:high], count) * k + self.label[entry], self.above[entry], scores.size).reshape(scores.shape)
+            low = high
+        scores -= scores.max(1, keepdims=True)  # of a word's scores only the differences matter
+        return np.where(self.allowed[scripts_of(words, at)], scores, scores.min() - 1e3 if len(at) else 0).astype(np.float32)[which]
 
 
 def viterbi(scores: np.ndarray, first: np.ndarray, switch: float) -> np.ndarray:
     """The best label of every word; text i has the words first[i]:first[i+1]. All texts advance together."""
     words, labels = scores.shape
+    kind = np.min_scalar_type(max(0, labels - 1))
     length = np.diff(first)
     by_length = np.argsort(-length, kind="stable")
     longest = int(length[by_length[0]]) if len(length) else 0
     active = np.searchsorted(-length[by_length], -np.arange(1, longest + 1), "right")
     begin = first[:-1][by_length]
-    back = np.empty(scores.shape, np.uint8)
+    back = np.empty(scores.shape, kind)
     best = np.empty((len(length), labels), np.float32)
-    own = np.arange(labels, dtype=np.uint8)
+    own = np.arange(labels, dtype=kind)
     for t in range(longest):
         n = active[t]
         at = begin[:n] + t
@@ -122,7 +153,7 @@ def viterbi(scores: np.ndarray, first: np.ndarray, switch: float) -> np.ndarray:
             best[:n] = np.where(stays, before, change) + scores[at]
         else:
             best[:n] = scores[at]
-    out = np.empty(words, np.uint8)
+    out = np.empty(words, kind)
     state = best.argmax(1)
     for t in range(longest - 1, -1, -1):
         n = active[t]
@@ -136,13 +167,12 @@ def viterbi(scores: np.ndarray, first: np.ndarray, switch: float) -> np.ndarray:
 def learn(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, sample_docs: int = SAMPLE_DOCS) -> Model | None:
     """From text and lang of the rows whose id's remainder is not the held-out one."""
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (id_remainder("doc_id", folds) != held_out))
-    found = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    found = rows.groupBy("lang").count().collect()
     if not found:
         return None
     languages = sorted(r["lang"] for r in found)
-    parts = {r["lang"]: min(1_000_000, round(1e6 * sample_docs / r["count"])) for r in found}
-    limit = F.coalesce(*[F.when(F.col("lang") == k, F.lit(v)) for k, v in parts.items()], F.lit(0))
-    sample = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_000)) < limit)
+    parts = docs.sparkSession.createDataFrame([(r["lang"], min(1_000_000, round(1e6 * sample_docs / r["count"]))) for r in found], "lang string, _part long")
+    sample = rows.join(F.broadcast(parts), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_000)) < F.col("_part")).select("doc_id", "text", "lang")
     index = {k: i for i, k in enumerate(languages)}
 
     def count(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -157,11 +187,9 @@ def learn(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, sample_
         n = np.bincount(inverse, np.concatenate([times[owner], times])).astype(np.int64)
         return pa.record_batch([pa.array(key), pa.array(n)], names=["key", "n"])
 
-    table_ = np.zeros((BUCKETS + SCRIPTS) * len(languages))
-    for r in map_slices(sample, count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toLocalIterator():
-        table_[r["key"]] = r["n"]
-    table_ = table_.reshape(-1, len(languages))
-    return Model(languages, table_[:BUCKETS], table_[BUCKETS:])
+    counts = map_slices(sample, count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    pairs = np.fromiter(((r["key"], r["n"]) for r in counts.toLocalIterator()), np.dtype((np.int64, 2)))
+    return Model(languages, pairs[:, 0], pairs[:, 1])
 
 
 def label_spans(docs: DataFrame, model: Model | None, switch: float = SWITCH) -> DataFrame:
@@ -197,7 +225,7 @@ def label_spans(docs: DataFrame, model: Model | None, switch: float = SWITCH) ->
         held = np_id_remainder(ids.to_pylist(), FOLDS) == HELD_OUT
         return pa.record_batch([ids, pa.array(held), pa.array(names), pa.array(scores), pa.array(spans, kind)], names=["doc_id", "held_out", "lang_pred", "score", "spans"])
 
-    return map_slices(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), work, schema, most=STEPPED_BYTES)
+    return map_slices(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), work, schema, most=max(1, STEPPED_BYTES * FULL_SLICES // max(FULL_SLICES, len(model.languages) if model else 0)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -146,6 +146,17 @@ def test_languages(spark, odd):
     language.label_spans(odd, language.learn(odd)).collect()
 
 
+def test_every_labelled_language_is_learnt(spark):
+    r = random.Random(13)
+    words = [["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(12)] for _ in range(300)]
+    rows = [(k * 20 + j, " ".join(r.choices(w, k=30)), f"l{k:03}", "s", 1) for k, w in enumerate(words) for j in range(20)]
+    docs = spark.createDataFrame(rows, DOCS)
+    model = language.learn(docs)
+    assert len(model.languages) == 300
+    found = language.label_spans(docs, model).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert sum(x["lang_pred"] == x["lang"] for x in found) >= 0.97 * len(found)
+
+
 def test_toxicity_on_held_out_rows(spark, odd, labels):
     docs, marks = (spark.read.parquet(f"{MIDDLE}/{t}.parquet") for t in ("documents", "labels"))
     rows = toxicity.score(docs, toxicity.learn(docs, marks)).join(marks, "doc_id").where("held_out").collect()
