@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shipping import shipped
+
 
 def speaker_shares(segments: DataFrame) -> DataFrame:
     """file_id, speaker, dur_ms, share. segments: file_id, speaker, dur_ms."""
@@ -91,16 +95,26 @@ def merge_plan(dur: dict, vectors: dict, least_share: float = 0.03, minor_at: fl
 
 def merge_clusters(segments: DataFrame, most: int = 30, **limits: float) -> DataFrame:
     """file_id, speaker, merged_into of every speaker. Only shares and centroids, a few rows a file, reach Python."""
+    return _merged(segments, most, lambda to, _: [(k, v) for k, v in to.items()], "speaker long, merged_into long", limits)
+
+
+def merge_log(segments: DataFrame, most: int = 30, **limits: float) -> DataFrame:
+    """file_id, step, action, from_speaker, to_speaker, similarity: what merge_clusters did, in order."""
+    return _merged(segments, most, lambda _, events: [(k, *e) for k, e in enumerate(events)], "step int, action string, from_speaker long, to_speaker long, similarity double", limits)
+
+
+def _merged(segments: DataFrame, most: int, rows_of: Callable[[dict, list], list[tuple]], schema: str, limits: dict) -> DataFrame:
     # A file without a total has shares of nothing: its speakers stay as they are.
     few = speaker_shares(segments).drop("share").join(centroids(segments, most), ["file_id", "speaker"], "left").join(segments.groupBy("file_id", "speaker").agg(F.min("seg_idx").alias("_first")), ["file_id", "speaker"])
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("_first")
         vectors = {s: v for s, v in zip(rows["speaker"], rows["centroid"]) if v is not None}
-        to, _ = merge_plan(dict(zip(rows["speaker"], rows["dur_ms"])), vectors, **limits)
-        return pd.DataFrame({"file_id": key[0], "speaker": list(to), "merged_into": list(to.values())})
+        found = rows_of(*merge_plan(dict(zip(rows["speaker"], rows["dur_ms"])), vectors, **limits))
+        columns = [c.split()[0] for c in schema.split(", ")]
+        return pd.DataFrame([(key[0], *r) for r in found], columns=["file_id", *columns])
 
-    return few.groupBy("file_id").applyInPandas(run, "file_id long, speaker long, merged_into long")
+    return shipped(few).groupBy("file_id").applyInPandas(run, "file_id long, " + schema)
 
 
 def complete_linkage(vectors: np.ndarray, most_distance: float) -> list[int]:
@@ -134,20 +148,79 @@ def cluster_vectors(vectors: DataFrame, most_distance: float = 0.9) -> DataFrame
         labels = complete_linkage(np.stack([np.asarray(v, float) for v in rows["embedding"]]), most_distance)
         return pd.DataFrame({"file_id": key[0], "seg_idx": rows["seg_idx"], "cluster": labels})
 
-    return vectors.where("embedding is not null").select("file_id", "seg_idx", "embedding").groupBy("file_id").applyInPandas(run, "file_id long, seg_idx long, cluster int")
-
-
-def map_local_speakers(local: dict, scores: dict, labels: list[str]) -> dict:
-    """Local clusters to global labels: longest first, each its best label (score above 0) that is not taken, else the
-    first label not taken, else the first of all. local: cluster -> duration; scores: cluster -> {label: score}."""
-    taken: set[str] = set()
-    out = {}
-    for cluster in sorted(local, key=lambda c: -local[c]):
-        ranked = sorted(scores.get(cluster, {}).items(), key=lambda kv: -kv[1])
-        name = next((k for k, _ in ranked if k not in taken), next((k for k in labels if k not in taken), labels[0]))
-        out[cluster] = name
-        taken.add(name)
-    return out
+    return shipped(vectors).where("embedding is not null").select("file_id", "seg_idx", "embedding").groupBy("file_id").applyInPandas(run, "file_id long, seg_idx long, cluster int")
+
+
+def _greedy(clusters: Column, names: Column) -> Column:
+    """Of clusters (structs with cluster and ranked, labels best first), in order, each takes the first label that no
+    earlier one has: of its ranked ones, else of names; with none left the first of names."""
+
+    def step(done: Column, c: Column) -> Column:
+        taken = F.transform(done, lambda x: x["label"])
+        free = lambda labels: F.get(F.filter(labels, lambda x: ~F.array_contains(taken, x)), F.lit(0))
+        return F.array_append(done, F.struct(c["cluster"].alias("cluster"), F.coalesce(free(c["ranked"]), free(names), F.get(names, F.lit(0))).alias("label")))
+
+    return F.aggregate(clusters, F.array().cast("array<struct<cluster:bigint,label:string>>"), step)
+
+
+def _assigned(totals: DataFrame, scores: DataFrame, names: DataFrame, only: Column | None = None) -> DataFrame:
+    """file_id, speaker, label: clusters of totals (file_id, speaker, dur_ms) by duration, longest first (a tie: the
+    smaller id), each with its labels by score (file_id, speaker, label, score; a tie: the smaller label). `only`: a
+    column of names that says that the file has a single label."""
+    ranked = scores.groupBy("file_id", "speaker").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "label"))), lambda x: x["label"]).alias("ranked"))
+    rows = totals.join(ranked, ["file_id", "speaker"], "left").withColumn("ranked", F.coalesce("ranked", F.array().cast("array<string>")))
+    files = rows.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("dur_ms")).alias("d"), F.col("speaker").cast("long").alias("cluster"), "ranked"))).alias("_c")).join(names, "file_id")
+    mapped = _greedy(F.col("_c"), F.col("names"))
+    if only is not None:
+        other = F.coalesce(F.get(F.filter("names", lambda x: x != only), F.lit(0)), F.get("names", F.lit(1)))
+        single = F.transform(F.col("_c"), lambda c, k: F.struct(c["cluster"].alias("cluster"), F.when(k == 0, only).otherwise(other).alias("label")))
+        mapped = F.when(only.isNotNull(), single).otherwise(mapped)
+    return files.select("file_id", F.explode(mapped).alias("_m")).select("file_id", F.col("_m.cluster").alias("speaker"), "_m.label")
+
+
+def map_by_overlap(turns: DataFrame, known: DataFrame, names: DataFrame) -> DataFrame:
+    """Local clusters of turns (file_id, start_ms, end_ms, speaker) to the labels of known intervals (file_id, k_start,
+    k_end, label): file_id, speaker, label. Longest cluster first, each takes its label with most overlap that is not
+    taken, else the first of names (file_id, names: dominant and minority label) that is not, else the first. Where the
+    known intervals have one label only, the longest cluster keeps it and the others take the other name."""
+    from .intervals import overlap_join, overlap_ms
+
+    over = overlap_ms("start_ms", "end_ms", "k_start", "k_end")
+    scores = overlap_join(turns, known, "start_ms", "end_ms", "k_start", "k_end").where(over > 0).groupBy("file_id", "speaker", "label").agg(F.sum(over).alias("score"))
+    totals = turns.groupBy("file_id", "speaker").agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("dur_ms"))
+    labels = known.groupBy("file_id").agg(F.collect_set("label").alias("_l"))
+    single = names.join(labels, "file_id", "left").select("file_id", "names", F.when(F.size("_l") == 1, F.get("_l", F.lit(0))).alias("_only"))
+    return _assigned(totals, scores, single, F.col("_only"))
+
+
+def map_by_centroid(local: DataFrame, known: DataFrame, names: DataFrame) -> DataFrame:
+    """Local clusters (file_id, speaker, dur_ms, centroid) to labels (file_id, label, centroid) by cosine, greedily as in
+    map_by_overlap: file_id, speaker, label, scores (label and cosine to 4 digits, best first) and margin, the best less
+    the second (null with fewer than two). A cluster without a centroid has neither scores nor margin."""
+    from ..functions.text import cosine as alike
+
+    pairs = local.where("centroid is not null").select("file_id", "speaker", F.col("centroid").alias("_a")).join(known.select("file_id", "label", F.col("centroid").alias("_b")), "file_id")
+    scores = pairs.select("file_id", "speaker", "label", alike(F.col("_a"), F.col("_b")).alias("score"))
+    ranked = scores.groupBy("file_id", "speaker").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "label"))).alias("_r"))
+    shown = F.transform("_r", lambda x: F.struct(x["label"].alias("label"), F.round(-x["s"], 4).alias("score")))
+    margin = F.when(F.size("_r") > 1, F.round(F.get("_r", F.lit(1))["s"] - F.get("_r", F.lit(0))["s"], 4))
+    mapped = _assigned(local.select("file_id", "speaker", "dur_ms"), scores, names)
+    return mapped.join(ranked, ["file_id", "speaker"], "left").select("file_id", "speaker", "label", shown.alias("scores"), margin.alias("margin"))
+
+
+def minor_to_main(segments: DataFrame, least_share: float = 0.03, minor_at: float = 0.55) -> DataFrame:
+    """file_id, minor, main, similarity, action of every minor speaker: the main speaker with the likest centroid (a tie:
+    the larger share, then the smaller id). minor_to_main from minor_at on, else minor_kept_isolated; without a centroid
+    skip_minor_no_centroid."""
+    from ..functions.text import cosine as alike
+
+    s = speaker_shares(segments).join(centroids(segments), ["file_id", "speaker"], "left")
+    a = s.where(F.col("share") < least_share).select("file_id", F.col("speaker").alias("minor"), F.col("centroid").alias("_a"))
+    b = s.where((F.col("share") >= least_share) & F.col("centroid").isNotNull()).select("file_id", F.col("speaker").alias("main"), F.col("centroid").alias("_b"), "share")
+    near = a.join(b, "file_id").where("_a is not null").withColumn("sim", alike(F.col("_a"), F.col("_b")))
+    best = near.groupBy("file_id", "minor").agg(F.max_by(F.struct("main", "sim"), F.struct("sim", "share", -F.col("main"))).alias("_m"))
+    action = F.when(F.col("_a").isNull(), "skip_minor_no_centroid").when(F.col("_m.sim") >= minor_at, "minor_to_main").otherwise("minor_kept_isolated")
+    return a.join(best, ["file_id", "minor"], "left").select("file_id", "minor", F.col("_m.main").alias("main"), F.round("_m.sim", 4).alias("similarity"), action.alias("action"))
 
 
 def consecutive_distances(vectors: DataFrame) -> DataFrame:

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import unicodedata
 from difflib import SequenceMatcher
-from itertools import permutations, product
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ANSWER_CUES, QUESTION_CUES, cue_count
+from ..shipping import shipped
+from .intervals import nearest, overlap_join
+from .sequences import index_percentile
 
 
 def normalized(text: str | None) -> str:
@@ -44,22 +47,82 @@ def edit_stats(pairs: DataFrame) -> DataFrame:
             found["error_ppm"] = [e * 1_000_000 // n if n else 0 for e, n in zip(found["edits"], found["ref_chars"])]
             yield found
 
-    return pairs.select("id", "reference", "hypothesis").mapInPandas(run, "id long, " + ", ".join(f"`{c}` long" for c in columns) + ", ref_chars long, error_ppm long")
+    return shipped(pairs).select("id", "reference", "hypothesis").mapInPandas(run, "id long, " + ", ".join(f"`{c}` long" for c in columns) + ", ref_chars long, error_ppm long")
 
 
 def best_mapping(confusion: dict[tuple[str, str], int]) -> dict[str, str]:
     """Hypothesis to reference labels with most matches; the first best in order of labels. One to one where there are
-    enough reference labels."""
+    enough reference labels: an assignment problem, whose first best solution fixes label by label what still reaches
+    the optimum. With fewer reference labels each takes its own best."""
     hyps, refs = (sorted({k[j] for k in confusion}) for j in (0, 1))
-    if not hyps:
-        return {}
-    choices = permutations(refs, len(hyps)) if len(hyps) <= len(refs) else product(refs, repeat=len(hyps))
-    return max((dict(zip(hyps, c)) for c in choices), key=lambda m: sum(n for (h, r), n in confusion.items() if m[h] == r))
+    n = np.array([[confusion.get((h, r), 0) for r in refs] for h in hyps], np.int64).reshape(len(hyps), len(refs))
+    if len(hyps) > len(refs):
+        return {h: refs[int(row.argmax())] for h, row in zip(hyps, n, strict=True)}
+    left, out = list(range(len(refs))), {}
+    for k, h in enumerate(hyps):
+        best = assignment_value(n[k:, left])
+        j = next(j for j in range(len(left)) if n[k, left[j]] + assignment_value(n[k + 1 :, left[:j] + left[j + 1 :]]) == best)
+        out[h] = refs[left.pop(j)]
+    return out
+
+
+def assignment_value(n: np.ndarray) -> int:
+    """The largest sum of one entry a row, all from different columns (rows <= columns), by shortest augmenting paths."""
+    rows, columns = n.shape
+    if not rows:
+        return 0
+    cost = n.max() - n
+    owner = np.full(columns, -1)
+    price_r, price_c = np.zeros(rows, np.int64), np.zeros(columns, np.int64)
+    for start in range(rows):
+        far, back, seen = np.full(columns, np.iinfo(np.int64).max // 2), np.full(columns, -1), np.zeros(columns, bool)
+        row, column, base = start, -1, 0
+        while True:
+            reach = base + cost[row] - price_r[row] - price_c
+            closer = ~seen & (reach < far)
+            far[closer], back[closer] = reach[closer], column
+            column = int(np.where(seen, np.iinfo(np.int64).max, far).argmin())
+            seen[column], base = True, far[column]
+            if owner[column] < 0:
+                break
+            row = owner[column]
+        for c in np.flatnonzero(seen):
+            if c != column:
+                price_r[owner[c]] += base - far[c]
+                price_c[c] -= base - far[c]
+        price_r[start] += base
+        while column >= 0:
+            before = back[column]
+            owner[column] = start if before < 0 else owner[before]
+            column = before
+    return int(sum(n[owner[c], c] for c in range(columns) if owner[c] >= 0))
+
+
+def equal_characters(texts: DataFrame) -> DataFrame:
+    """texts: file_id, reference (array of speaker, text in order), hypothesis (array of seg_idx, speaker, text) ->
+    file_id, seg_idx, hyp, ref, n: characters in equal difflib blocks of the normalised texts, by segment and speakers."""
+
+    def run(batches):  # noqa: ANN001, ANN202
+        for rows in batches:
+            out = []
+            for ident, ref, hyp in zip(rows["file_id"], rows["reference"], rows["hypothesis"]):
+                said = [(normalized(p["text"]), p["speaker"], None) for p in ref]
+                heard = [(normalized(p["text"]), p["speaker"], p["seg_idx"]) for p in hyp]
+                whom, who, where = ([p[k] for p in some for _ in p[0]] for some, k in ((said, 1), (heard, 1), (heard, 2)))
+                n: dict = {}
+                for kind, a, b, c, _ in SequenceMatcher(None, "".join(p[0] for p in said), "".join(p[0] for p in heard), autojunk=False).get_opcodes():
+                    for k in range(b - a if kind == "equal" else 0):
+                        key = (ident, where[c + k], who[c + k], whom[a + k])
+                        n[key] = n.get(key, 0) + 1
+                out.extend((*k, v) for k, v in n.items())
+            yield pd.DataFrame(out, columns=["file_id", "seg_idx", "hyp", "ref", "n"])
+
+    return shipped(texts).select("file_id", "reference", "hypothesis").mapInPandas(run, "file_id long, seg_idx long, hyp string, ref string, n long")
 
 
 def confusion_of(chars: DataFrame) -> DataFrame:
-    """Counts of pairs. chars: file_id, pos, hyp, ref."""
-    return chars.groupBy("file_id", "hyp", "ref").agg(F.count(F.lit(1)).alias("n"))
+    """Counts of pairs. chars: file_id, hyp, ref, and n if a row stands for several."""
+    return chars.groupBy("file_id", "hyp", "ref").agg((F.sum("n") if "n" in chars.columns else F.count(F.lit(1))).alias("n"))
 
 
 def speaker_accuracy(confusion: DataFrame) -> DataFrame:
@@ -70,12 +133,12 @@ def speaker_accuracy(confusion: DataFrame) -> DataFrame:
         m = best_mapping(counts)
         return pd.DataFrame({"file_id": key[0], "hyp": list(m), "mapped": list(m.values()), "correct": sum(n for (h, r), n in counts.items() if m[h] == r), "total": sum(counts.values())})
 
-    return confusion.groupBy("file_id").applyInPandas(run, "file_id long, hyp string, mapped string, correct long, total long")
+    return shipped(confusion).groupBy("file_id").applyInPandas(run, "file_id long, hyp string, mapped string, correct long, total long")
 
 
 def segment_majorities(chars: DataFrame, share: float = 0.9) -> DataFrame:
     """The most frequent reference label of each segment (a tie: the smaller), and whether it holds under `share`."""
-    n = chars.groupBy("file_id", "seg_idx", "ref").agg(F.count(F.lit(1)).alias("n"))
+    n = chars.groupBy("file_id", "seg_idx", "ref").agg((F.sum("n") if "n" in chars.columns else F.count(F.lit(1))).alias("n"))
     m = n.groupBy("file_id", "seg_idx").agg(F.min_by("ref", F.struct(-F.col("n"), "ref")).alias("majority"), F.max("n").alias("n_majority"), F.sum("n").alias("n_chars"))
     return m.withColumn("mixed", F.col("n_majority") < share * F.col("n_chars"))
 
@@ -96,10 +159,76 @@ def interval_iou(left: DataFrame, right: DataFrame) -> DataFrame:
     x = left.select("file_id", F.col("speaker").alias("l"), F.col("start_ms").alias("s1"), F.col("end_ms").alias("e1"))
     y = right.select("file_id", F.col("speaker").alias("r"), F.col("start_ms").alias("s2"), F.col("end_ms").alias("e2"))
     over = F.least("e1", "e2") - F.greatest("s1", "s2")
-    both = x.join(y, "file_id").where(over > 0).groupBy("file_id", "l", "r").agg(F.sum(over).alias("both_ms"))
+    both = overlap_join(x, y, "s1", "e1", "s2", "e2").where(over > 0).groupBy("file_id", "l", "r").agg(F.sum(over).alias("both_ms"))
     return both.join(a, ["file_id", "l"]).join(b, ["file_id", "r"]).select("file_id", "l", "r", "both_ms", (F.col("_la") + F.col("_lb") - F.col("both_ms")).alias("either_ms"))
 
 
+def match_speakers(left: DataFrame, right: DataFrame) -> DataFrame:
+    """file_id, l, r, iou: left speakers in order of their ids, each with the right speaker of largest intersection over
+    union that no earlier one has (a tie: the smaller id; also one without any overlap). Speakers left over have no row."""
+    whole = lambda df, who, total: df.groupBy("file_id", F.col("speaker").alias(who)).agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias(total))
+    pairs = whole(left, "l", "_la").join(whole(right, "r", "_lb"), "file_id").join(interval_iou(left, right), ["file_id", "l", "r"], "left")
+    either = F.coalesce("either_ms", F.col("_la") + F.col("_lb"))
+    scored = pairs.where(either > 0).select("file_id", "l", "r", (F.coalesce("both_ms", F.lit(0)) / either).alias("iou"))
+    ranked = scored.groupBy("file_id", "l").agg(F.array_sort(F.collect_list(F.struct((-F.col("iou")).alias("s"), "r"))).alias("ranked"))
+    files = ranked.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("l", "ranked"))).alias("_all"))
+
+    def step(done: Column, x: Column) -> Column:
+        taken = F.transform(done, lambda y: y["r"])
+        best = F.get(F.filter(x["ranked"], lambda y: ~F.array_contains(taken, y["r"])), F.lit(0))
+        return F.when(best.isNull(), done).otherwise(F.array_append(done, F.struct(x["l"].alias("l"), best["r"].alias("r"), (-best["s"]).alias("iou"))))
+
+    start = F.array().cast("array<struct<l:bigint,r:bigint,iou:double>>")
+    return files.select("file_id", F.explode(F.aggregate("_all", start, step)).alias("_m")).select("file_id", "_m.*")
+
+
+def alignment_in_silence(segments: DataFrame, silences: DataFrame, near_ms: int = 300) -> DataFrame:
+    """Of each file's different segment ends how many lie inside a silence (closed) or within near_ms of one's edge."""
+    b = segments.select("file_id", F.col("end_ms").alias("ts")).distinct()
+    inside = overlap_join(b.withColumn("_to", F.col("ts")), silences.select("file_id", F.col("start_ms").alias("_a"), F.col("end_ms").alias("_b")), "ts", "_to", "_a", "_b").select("file_id", "ts").distinct().withColumn("inside", F.lit(True))
+    edges = silences.select("file_id", F.explode(F.array("start_ms", "end_ms")).alias("_edge"))
+    m = nearest(b, F.col("ts"), edges, F.col("_edge"), F.col("_edge"), F.col("_edge")).join(inside, ["file_id", "ts"], "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
+    near = ~F.col("inside") & F.coalesce(F.col("_away") <= near_ms, F.lit(False))
+    counts = m.groupBy("file_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("inside").alias("n_inside"), F.count_if(near).alias("n_near"))
+    return counts.withColumn("ratio_milli", F.floor((F.col("n_inside") + F.col("n_near")) * 1000 / F.col("n")))
+
+
+def output_analysis(segments: DataFrame) -> DataFrame:
+    """Of each file: segments, median (the element at n // 2), longest and total duration, durations in four ranges, and
+    speaker switches in 1000 minutes."""
+    dur = F.col("end_ms") - F.col("start_ms")
+    b = segments.withColumn("dur", dur).withColumn("p", F.lag("speaker").over(Window.partitionBy("file_id").orderBy("seg_idx")))
+    agg = [F.count(F.lit(1)).alias("n"), index_percentile(F.col("dur"), 1, 2).alias("median_ms"), F.max("dur").alias("max_ms"), F.sum("dur").alias("total_ms")]
+    agg += [F.count_if(c).alias(f"b{k}") for k, c in enumerate((F.col("dur") < 500, F.col("dur").between(500, 1499), F.col("dur").between(1500, 2999), F.col("dur") >= 3000))]
+    return b.groupBy("file_id").agg(*agg, F.floor(F.count_if(F.coalesce(F.col("p") != F.col("speaker"), F.lit(False))) * 60_000_000 / F.greatest(F.max("end_ms"), F.lit(1))).alias("switches_per_1000_min"))
+
+
+def drift_report(pairs: DataFrame) -> DataFrame:
+    """Of pairs (file_id, x: an absolute difference in ms): number, sum, the elements at n // 2 and 9 n // 10, how many are
+    within 100, 200 and 500 ms, and the largest."""
+    hits = [F.count_if(F.col("x") <= k).alias(f"hit_{k}") for k in (100, 200, 500)]
+    return pairs.groupBy("file_id").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("sum_ms"), index_percentile(F.col("x"), 1, 2).alias("p50"), index_percentile(F.col("x"), 9, 10).alias("p90"), *hits, F.max("x").alias("max_ms"))
+
+
+def roles_by_text(segments: DataFrame) -> DataFrame:
+    """Characters of each speaker, and whether it has most of its file (a tie: the smaller id): dominant or minority."""
+    m = segments.groupBy("file_id", "speaker").agg(F.sum(F.length("text")).alias("chars"))
+    return m.withColumn("role", F.when(F.row_number().over(Window.partitionBy("file_id").orderBy(F.desc("chars"), "speaker")) == 1, "dominant").otherwise("minority"))
+
+
+def parity(found: DataFrame, golden: DataFrame, tolerance_ms: int = 50) -> DataFrame:
+    """Segments against golden ones by index: how many there are, have no partner, or agree within the tolerance."""
+    t = golden.select("file_id", "seg_idx", F.col("start_ms").alias("ts"), F.col("end_ms").alias("te"), F.lit(1).alias("right"))
+    j = found.select("file_id", "seg_idx", "start_ms", "end_ms", F.lit(1).alias("left")).join(t, ["file_id", "seg_idx"], "full")
+    close = (F.abs(F.col("start_ms") - F.col("ts")) <= tolerance_ms) & (F.abs(F.col("end_ms") - F.col("te")) <= tolerance_ms)
+    return j.groupBy("file_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("left").isNull() | F.col("right").isNull()).alias("n_unmatched"), F.count_if(F.coalesce(close, F.lit(False))).alias("n_close"))
+
+
+def rewritten(segments: DataFrame, changed: DataFrame) -> DataFrame:
+    """Segments with those of `changed` (same columns) in place of the ones with their file and index."""
+    return segments.join(changed, ["file_id", "seg_idx"], "left_anti").unionByName(changed)
+
+
 def window_features(segments: DataFrame, window_ms: int = 40_000, tight_ms: int = 250, short_aba_ms: int = 1500) -> DataFrame:
     """Features of tumbling windows by segment start. segments: file_id, seg_idx, start_ms, end_ms, speaker, text."""
     s = segments.withColumn("window_idx", F.floor(F.greatest(F.lit(0), F.col("start_ms")) / window_ms))
@@ -185,10 +314,49 @@ def similar_runs(segments: DataFrame, least: float = 0.95, run: int = 4) -> Data
                 break
         return pd.DataFrame(found, columns=["file_id", "first", "last", "similarity"])
 
-    return segments.select("file_id", "seg_idx", "text").groupBy("file_id").applyInPandas(find, "file_id long, first long, last long, similarity long")
+    return shipped(segments).select("file_id", "seg_idx", "text").groupBy("file_id").applyInPandas(find, "file_id long, first long, last long, similarity long")
 
 
 def timing_report(stages: DataFrame) -> DataFrame:
     """Total, count, mean, extremes and sample deviation by tag and stage. stages: tag, stage, seconds."""
     s = F.col("seconds")
     return stages.groupBy("tag", "stage").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(s), 3).alias("total"), F.round(F.avg(s), 3).alias("mean"), F.min(s).alias("least"), F.max(s).alias("most"), F.round(F.coalesce(F.stddev_samp(s), F.lit(0.0)), 3).alias("stdev"))
+
+
+def _spread(seconds: Column) -> list[Column]:
+    return [F.round(F.avg(seconds), 3).alias("mean"), F.min(seconds).alias("least"), F.max(seconds).alias("most"), F.round(F.coalesce(F.stddev_samp(seconds), F.lit(0.0)), 3).alias("stdev")]
+
+
+def concurrency_report(results: DataFrame) -> DataFrame:
+    """One row: files, files from the cache and their share in percent, processing seconds, and the mean of the server's
+    seconds for files that were not cached. results: client_id, cached, seconds, server_seconds."""
+    cached = F.count_if("cached")
+    fresh = F.when(~F.col("cached"), F.col("server_seconds"))
+    return results.agg(F.count(F.lit(1)).alias("n"), cached.alias("n_cached"), F.round(F.coalesce(F.try_divide(cached * 100, F.count(F.lit(1))), F.lit(0.0)), 3).alias("hit_percent"), *_spread(F.col("seconds")), F.round(F.avg(fresh), 3).alias("server_mean"))
+
+
+def client_report(results: DataFrame) -> DataFrame:
+    """Files and processing seconds of each client."""
+    return results.groupBy("client_id").agg(F.count(F.lit(1)).alias("n"), *_spread(F.col("seconds")))
+
+
+def errors_by_phase(errors: DataFrame) -> DataFrame:
+    """Errors of each phase; without one: unknown. errors: phase."""
+    return errors.groupBy(F.coalesce("phase", F.lit("unknown")).alias("phase")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def run_summary(runs: DataFrame, windows: DataFrame, samples: DataFrame) -> DataFrame:
+    """Of each run: seconds spent over seconds of audio (whole, and processed: without windows 0), the same for
+    recognition and diarization, windows, warnings, and peaks of memory and processor (without samples 0).
+
+    runs: run_id, audio_s, total_s, asr_s, diarize_s; windows: run_id, duration_s, warnings; samples: run_id, rss_mb,
+    cpu_pct. A run without audio has ratios of 0.
+    """
+    w = windows.groupBy("run_id").agg(F.sum("duration_s").alias("processed_s"), F.count(F.lit(1)).alias("n_windows"), F.sum("warnings").alias("n_warnings"))
+    s = samples.groupBy("run_id").agg(F.max("rss_mb").alias("rss_peak_mb"), F.max("cpu_pct").alias("cpu_pct_peak"))
+    j = runs.join(w, "run_id", "left").join(s, "run_id", "left").fillna(0, ["processed_s", "n_windows", "n_warnings", "rss_peak_mb", "cpu_pct_peak"])
+    over = lambda a, b: F.round(F.coalesce(F.when(F.col(b) > 0, F.col(a) / F.col(b)), F.lit(0.0)), 6)
+    return j.select(
+        "run_id", "processed_s", over("total_s", "audio_s").alias("rtf_full"), over("total_s", "processed_s").alias("rtf_processed"), over("asr_s", "audio_s").alias("asr_rtf_full"), over("asr_s", "processed_s").alias("asr_rtf_processed"),
+        over("diarize_s", "audio_s").alias("diarize_rtf"), "n_windows", "n_warnings", "rss_peak_mb", "cpu_pct_peak",
+    )

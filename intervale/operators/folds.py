@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from ..functions.text import ANSWER_CUES, BACKCHANNELS, PURE_PUNCTUATION, QUESTION_CUES
+from ..shipping import shipped
 
 Segment = dict
 _PURE = re.compile(PURE_PUNCTUATION)
@@ -246,4 +247,4 @@ def per_file(segments: DataFrame, fold: Callable[[list[Segment]], list[Segment]]
         out.insert(0, "file_id", key[0])
         return out
 
-    return segments.select("file_id", "seg_idx", "start_ms", "end_ms", "speaker", "text").groupBy("file_id").applyInPandas(run, FOLDED)
+    return shipped(segments).select("file_id", "seg_idx", "start_ms", "end_ms", "speaker", "text").groupBy("file_id").applyInPandas(run, FOLDED)

@@ -25,19 +25,34 @@ def overlap_join(left: DataFrame, right: DataFrame, l_start: str, l_end: str, r_
     return x.join(y, [key, "_bucket"]).where((F.col(l_start) <= F.col(r_end)) & (F.col(r_start) <= F.col(l_end)) & (F.col("_bucket") == later)).drop("_bucket")
 
 
+def nearest(points: DataFrame, at: Column, targets: DataFrame, place: Column, order: Column, value: Column) -> DataFrame:
+    """points with _near: the value of the target of the same file whose place is nearest to at (a tie: the least order),
+    null where the file has none, and _away: the distance. An as-of join: targets and points in one ordering by place,
+    each point between the last target before and the first after it, n log n for a file. All columns are whole numbers
+    or structs that can be ordered."""
+    best = targets.groupBy("file_id", place.alias("_place")).agg(F.min(F.struct(order.alias("o"), value.alias("v"))).alias("_t"))
+    here = points.select("file_id", at.alias("_place"), F.struct(*points.columns).alias("_p"))
+    both = here.unionByName(best, allowMissingColumns=True).withColumn("_target", F.when(F.col("_t").isNotNull(), F.struct("_place", "_t.o", "_t.v")))
+    w = Window.partitionBy("file_id")
+    known = both.withColumn("_low", F.last("_target", True).over(w.orderBy("_place").rangeBetween(Window.unboundedPreceding, 0))).withColumn("_high", F.last("_target", True).over(w.orderBy(F.desc("_place")).rangeBetween(Window.unboundedPreceding, 0)))
+    sides = [F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(f"{c}._place") - F.col("_place")).alias("d"), F.col(f"{c}.o").alias("o"), F.col(f"{c}.v").alias("v"))) for c in ("_low", "_high")]
+    found = known.where("_p is not null").withColumn("_best", F.array_min(F.array_compact(F.array(*sides))))
+    return found.select("_p.*", F.col("_best.v").alias("_near"), F.col("_best.d").alias("_away"))
+
+
 def overlap_ms(a_start: str, a_end: str, b_start: str, b_end: str) -> Column:
     return F.least(a_end, b_end) - F.greatest(a_start, b_start)
 
 
-def attach_words(segments: DataFrame, words: DataFrame) -> DataFrame:
+def attach_words(segments: DataFrame, words: DataFrame, bucket_ms: int = 5_000) -> DataFrame:
     """Each word goes to the segment it overlaps most (strictly; a tie: the earliest); others are dropped.
 
     segments: file_id, seg_idx, start_ms, end_ms; words: file_id, word_idx, w_start, w_end, word.
     """
-    pairs = overlap_join(words, segments.select("file_id", "seg_idx", "start_ms", "end_ms"), "w_start", "w_end", "start_ms", "end_ms")
+    pairs = overlap_join(words, segments.select("file_id", "seg_idx", "start_ms", "end_ms"), "w_start", "w_end", "start_ms", "end_ms", bucket_ms=bucket_ms)
     over = overlap_ms("w_start", "w_end", "start_ms", "end_ms")
-    best = pairs.where(over > 0).groupBy("file_id", "word_idx", "w_start", "w_end", "word").agg(F.min_by("seg_idx", F.struct(-over, "seg_idx")).alias("seg_idx"))
-    return best
+    best = pairs.where(over > 0).groupBy("file_id", "word_idx").agg(F.min(F.struct((-over).alias("_o"), "seg_idx", "w_start", "w_end", "word")).alias("_b"))
+    return best.select("file_id", "word_idx", "_b.w_start", "_b.w_end", "_b.word", "_b.seg_idx")
 
 
 def attach_word_lists(segments: DataFrame, words: DataFrame) -> DataFrame:
@@ -55,8 +70,8 @@ def clip_chunks_to_turns(chunks: DataFrame, turns: DataFrame, least_ms: int = 30
     pairs = overlap_join(chunks, turns, "c_start", "c_end", "start_ms", "end_ms").where(overlap_ms("c_start", "c_end", "start_ms", "end_ms") > least_ms)
     parts = pairs.select("file_id", "chunk_idx", "turn_idx", F.greatest("c_start", "start_ms").alias("part_start"), F.least("c_end", "end_ms").alias("part_end"), "speaker")
     bare = chunks.where("c_end > c_start").join(parts.select("file_id", "chunk_idx").distinct(), ["file_id", "chunk_idx"], "left_anti")
-    edge = F.least(F.abs(F.col("start_ms") * 2 - F.col("c_start") - F.col("c_end")), F.abs(F.col("end_ms") * 2 - F.col("c_start") - F.col("c_end")))
-    near = bare.join(turns, "file_id").groupBy("file_id", "chunk_idx", "c_start", "c_end").agg(F.min_by("speaker", F.struct(edge, "start_ms", "turn_idx")).alias("speaker"))
+    edges = turns.select("file_id", "speaker", F.struct("start_ms", "turn_idx").alias("_o"), F.explode(F.array("start_ms", "end_ms")).alias("_edge"))
+    near = nearest(bare, F.col("c_start") + F.col("c_end"), edges, F.col("_edge") * 2, F.col("_o"), F.col("speaker")).where("_away is not null").withColumnRenamed("_near", "speaker")
     return parts.unionByName(near.select("file_id", "chunk_idx", F.lit(-1).cast("long").alias("turn_idx"), F.col("c_start").alias("part_start"), F.col("c_end").alias("part_end"), "speaker"))
 
 
@@ -66,8 +81,8 @@ def filter_spurious_speakers(turns: DataFrame, files: DataFrame, least_ms: int =
     totals = turns.groupBy("file_id", "speaker").agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("_total"))
     judged = totals.join(files, "file_id", "left").select("file_id", "speaker", (F.col("_total") < F.greatest(F.lit(float(least_ms)), least_share * F.coalesce("duration_ms", F.lit(0)))).alias("_spurious"))
     known = turns.join(judged, ["file_id", "speaker"])
-    valid = known.where(~F.col("_spurious")).select("file_id", (F.col("start_ms") + F.col("end_ms")).alias("_mid2"), F.col("turn_idx").alias("_order"), F.col("speaker").alias("_near"))
-    moved = known.where("_spurious").join(valid, "file_id", "left").groupBy("file_id", "turn_idx", "start_ms", "end_ms", "speaker").agg(F.min_by("_near", F.struct(F.abs(F.col("_mid2") - F.col("start_ms") - F.col("end_ms")), "_order")).alias("_near"))
+    middle = F.col("start_ms") + F.col("end_ms")
+    moved = nearest(known.where("_spurious"), middle, known.where(~F.col("_spurious")), middle, F.col("turn_idx"), F.col("speaker"))
     columns = ["file_id", "turn_idx", "start_ms", "end_ms"]
     return known.where(~F.col("_spurious")).select(*columns, "speaker").unionByName(moved.select(*columns, F.coalesce("_near", "speaker").alias("speaker")))
 
@@ -79,9 +94,9 @@ def speaker_by_total_overlap(segments: DataFrame, turns: DataFrame) -> DataFrame
     over = overlap_ms("start_ms", "end_ms", "t_start", "t_end")
     sums = overlap_join(s, t, "start_ms", "end_ms", "t_start", "t_end").where(over > 0).groupBy("file_id", "seg_idx", "label").agg(F.sum(over).alias("ms"))
     best = sums.groupBy("file_id", "seg_idx").agg(F.max_by("label", F.struct("ms", "label")).alias("label"))
-    bare = s.join(best, ["file_id", "seg_idx"], "left_anti").join(t, "file_id")
-    near = bare.groupBy("file_id", "seg_idx").agg(F.min_by("label", F.struct(F.abs(F.col("t_start") + F.col("t_end") - F.col("start_ms") - F.col("end_ms")), "_turn")).alias("label"))
-    return best.unionByName(near)
+    bare = s.join(best, ["file_id", "seg_idx"], "left_anti")
+    near = nearest(bare, F.col("start_ms") + F.col("end_ms"), t, F.col("t_start") + F.col("t_end"), F.col("_turn"), F.col("label"))
+    return best.unionByName(near.where("_away is not null").select("file_id", "seg_idx", F.col("_near").alias("label")))
 
 
 def assign_items(items: DataFrame, intervals: DataFrame) -> DataFrame:
@@ -92,12 +107,29 @@ def assign_items(items: DataFrame, intervals: DataFrame) -> DataFrame:
     """
     over = overlap_ms("i_start", "i_end", "start_ms", "end_ms")
     inside = (F.col("start_ms") <= F.col("i_start")) & (F.col("end_ms") >= F.col("i_end"))
-    edge = F.least(F.abs(F.col("i_start") - F.col("end_ms")), F.abs(F.col("start_ms") - F.col("i_end")))
-    tier = F.when(over > 0, 0).when(inside, 1).otherwise(2)
-    rank = F.struct(tier, F.when(over > 0, -over).when(inside, F.col("end_ms") - F.col("start_ms")).otherwise(edge), "turn_idx")
-    sure = F.when(over > 0, F.least(F.lit(1000), F.floor(over * 1000 / F.greatest(F.col("i_end") - F.col("i_start"), F.lit(1))))).when(inside, 500).otherwise(0)
-    best = items.join(intervals, "file_id").groupBy("file_id", "item_idx").agg(F.min_by(F.struct("speaker", sure.cast("long").alias("sure")), rank).alias("_b"))
-    return best.select("file_id", "item_idx", F.col("_b.speaker").alias("speaker"), F.col("_b.sure").alias("confidence_milli"))
+    tier = F.when(over > 0, 0).otherwise(1)
+    rank = F.struct(tier, F.when(over > 0, -over).otherwise(F.col("end_ms") - F.col("start_ms")), "turn_idx")
+    sure = F.when(over > 0, F.least(F.lit(1000), F.floor(over * 1000 / F.greatest(F.col("i_end") - F.col("i_start"), F.lit(1))))).otherwise(500)
+    met = overlap_join(items, intervals, "i_start", "i_end", "start_ms", "end_ms").where((over > 0) | inside)
+    best = met.groupBy("file_id", "item_idx").agg(F.min_by(F.struct("speaker", sure.cast("long").alias("sure")), rank).alias("_b"))
+    held = best.select("file_id", "item_idx", F.col("_b.speaker").alias("speaker"), F.col("_b.sure").alias("confidence_milli"))
+    # What meets nothing lies between intervals: the last end before it or the first start after it is the nearest edge.
+    bare = items.select("file_id", "item_idx", "i_start", "i_end").join(held, ["file_id", "item_idx"], "left_anti")
+    before = last_before(bare, F.col("i_start"), intervals, F.col("end_ms"))
+    both = last_before(before, -F.col("i_end"), intervals, -F.col("start_ms"))
+    sides = [F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(f"{c}.at") - edge).alias("d"), F.col(f"{c}.o").alias("o"), F.col(f"{c}.v").alias("v"))) for c, edge in (("_found", F.col("i_start")), ("_found2", -F.col("i_end")))]
+    near = both.withColumn("_near", F.array_min(F.array_compact(F.array(*sides)))).where("_near is not null")
+    return held.unionByName(near.select("file_id", "item_idx", F.col("_near.v").alias("speaker"), F.lit(0).cast("long").alias("confidence_milli")))
+
+
+def last_before(points: DataFrame, at: Column, intervals: DataFrame, place: Column) -> DataFrame:
+    """points with _found (or _found2, if that is taken): at, o (turn_idx) and v (speaker) of the interval of the file
+    with the largest place that is not beyond `at` (a tie: the least turn_idx); null: none."""
+    best = intervals.groupBy("file_id", place.alias("_place")).agg(F.min(F.struct(F.col("turn_idx").alias("o"), F.col("speaker").alias("v"))).alias("_t"))
+    both = points.select("file_id", at.alias("_place"), F.struct(*points.columns).alias("_p")).unionByName(best, allowMissingColumns=True)
+    target = F.when(F.col("_t").isNotNull(), F.struct(F.col("_place").alias("at"), "_t.o", "_t.v"))
+    last = F.last(target, True).over(Window.partitionBy("file_id").orderBy("_place").rangeBetween(Window.unboundedPreceding, 0))
+    return both.withColumn("_last", last).where("_p is not null").select("_p.*", F.col("_last").alias("_found2" if "_found" in points.columns else "_found"))
 
 
 def snap_targets(points: DataFrame, silences: DataFrame, tolerance_ms: int) -> DataFrame:
@@ -157,9 +189,48 @@ def first_container(points: DataFrame, windows: DataFrame, slack_ms: int = 500,
 
 def nearest_edges(points: DataFrame, regions: DataFrame) -> DataFrame:
     """Whether each point lies strictly inside a region, and the least distance to an edge of any region of its file."""
-    r = regions.select("file_id", "start_ms", "end_ms")
-    edge = F.least(F.abs(F.col("at_ms") - F.col("start_ms")), F.abs(F.col("at_ms") - F.col("end_ms")))
-    return points.join(r, "file_id").groupBy("file_id", "point_id").agg(F.max((F.col("at_ms") > F.col("start_ms")) & (F.col("at_ms") < F.col("end_ms"))).alias("inside"), F.min(edge).alias("edge_ms"))
+    edges = regions.select("file_id", F.explode(F.array("start_ms", "end_ms")).alias("_edge"))
+    near = nearest(points.select("file_id", "point_id", "at_ms"), F.col("at_ms"), edges, F.col("_edge"), F.col("_edge"), F.col("_edge")).where("_away is not null")
+    # Inside: a region that began before the point ends after it.
+    spans = regions.groupBy("file_id", F.col("start_ms").alias("_place")).agg(F.max("end_ms").alias("_end"))
+    both = near.select("file_id", F.col("at_ms").alias("_place"), "point_id", "_away").unionByName(spans, allowMissingColumns=True)
+    reach = F.max("_end").over(Window.partitionBy("file_id").orderBy("_place").rangeBetween(Window.unboundedPreceding, -1))
+    known = both.withColumn("_reach", reach).where("_away is not null")
+    return known.select("file_id", "point_id", F.coalesce(F.col("_reach") > F.col("_place"), F.lit(False)).alias("inside"), F.col("_away").alias("edge_ms"))
+
+
+def offset_times(rows: DataFrame, shift_ms: int, columns: tuple[str, ...] = ("start_ms", "end_ms")) -> DataFrame:
+    """Rows with their times moved, as when a window's result joins the whole file's."""
+    return rows.select(*[(F.col(c) + shift_ms).alias(c) if c in columns else F.col(c) for c in rows.columns])
+
+
+def sliding_windows(files: DataFrame, window_ms: int = 10_000, step_ms: int = 1_000) -> DataFrame:
+    """Overlapping windows that cover each file, one at least, and how much of the last ones is padding."""
+    f = files.where("duration_ms > 0")
+    last = F.when(F.col("duration_ms") <= window_ms, F.lit(0).cast("long")).otherwise(F.ceil((F.col("duration_ms") - window_ms) / step_ms))
+    w = f.select("*", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("window_idx"))
+    end = F.col("window_idx") * step_ms + window_ms
+    return w.select("file_id", "window_idx", (F.col("window_idx") * step_ms).alias("first_ms"), F.least(end, "duration_ms").alias("end_ms"), F.greatest(end - F.col("duration_ms"), F.lit(0)).alias("pad_ms"))
+
+
+def classify_chunks(chunks: DataFrame, segments: DataFrame, silences: DataFrame, least_single_ms: int = 25_000, least_silence_ms: int = 500, margin_ms: int = 5_000) -> DataFrame:
+    """Which chunks deserve a second look: trigger_cross with several speakers; trigger_silence for a long one with one
+    speaker and a silence of at least least_silence_ms in its middle part (the margins left out); skip otherwise.
+
+    chunks: file_id, chunk_idx, c_start, c_end; segments: file_id, chunk_idx, speaker; silences: file_id, start_ms, end_ms.
+    Returns file_id, chunk_idx, label, reason, n_speakers, n_segments, duration_ms.
+    """
+    said = segments.groupBy("file_id", "chunk_idx").agg(F.count_distinct("speaker").alias("n_speakers"), F.count(F.lit(1)).alias("n_segments"))
+    known = chunks.join(said, ["file_id", "chunk_idx"], "left").select("file_id", "chunk_idx", (F.col("c_end") - F.col("c_start")).alias("duration_ms"), (F.col("c_start") + margin_ms).alias("_from"), (F.col("c_end") - margin_ms).alias("_to"), F.coalesce("n_speakers", F.lit(0)).alias("n_speakers"), F.coalesce("n_segments", F.lit(0)).alias("n_segments"))
+    room, long = F.col("_to") > F.col("_from") + 1_000, F.col("duration_ms") >= least_single_ms
+    over = overlap_ms("_from", "_to", "start_ms", "end_ms")
+    heard = overlap_join(known.where(room).select("file_id", "chunk_idx", "_from", "_to"), silences.select("file_id", "start_ms", "end_ms"), "_from", "_to", "start_ms", "end_ms").where(over >= least_silence_ms)
+    found = known.join(heard.groupBy("file_id", "chunk_idx").agg(F.count(F.lit(1)).alias("_n"), F.max(over).alias("_longest")), ["file_id", "chunk_idx"], "left")
+    several = F.col("n_speakers") >= 2
+    label = F.when(several, "trigger_cross").when(long & F.col("_n").isNotNull(), "trigger_silence").otherwise("skip")
+    quiet = F.format_string("silences=%d longest=%.2fs", F.col("_n"), F.col("_longest") / 1000)
+    reason = F.when(several, F.concat(F.lit("in_chunk_speakers="), F.col("n_speakers").cast("string"))).when(~long, "single_speaker_short").when(~room, "single_speaker_too_short_for_silence").otherwise(F.coalesce(quiet, F.lit("single_speaker_no_silence")))
+    return found.select("file_id", "chunk_idx", label.alias("label"), F.when(F.col("_n").isNull() & ~several & long & room, "single_speaker_no_silence").otherwise(reason).alias("reason"), "n_speakers", "n_segments", "duration_ms")
 
 
 def clip_to_window(turns: DataFrame, start_ms: int, end_ms: int, relative: bool = True, least_ms: int = 50) -> DataFrame:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shipping import shipped
+
 # The markers and patterns of error kinds.
 NON_RETRYABLE = ("音频时长过短", "文件不存在", "不支持的文件格式", "文件太大", "认证失败")
 MODEL_ERROR = r"(?i)VAD algorithm|index .* out of bounds|list index out of range|window size|dimension"
@@ -105,11 +110,18 @@ def timed_out(tasks: DataFrame, now: Column, limit_s: int) -> DataFrame:
 def evict_terminal(tasks: DataFrame, now: Column, ttl_s: int, most: int) -> DataFrame:
     """Task ids to forget: terminal ones older than the TTL, then the oldest terminal ones while more than `most` stay."""
     done = tasks.withColumn("_age", F.unix_timestamp(now) - F.unix_timestamp("ts")).withColumn("_final", F.col("status").isin(*TERMINAL))
-    expired = done.where(F.col("_final") & (F.col("_age") > ttl_s))
-    kept = done.where(~(F.col("_final") & (F.col("_age") > ttl_s)))
-    overflow = max(0, kept.count() - most)
-    oldest = kept.where("_final").orderBy("ts", "task_id").limit(overflow)
-    return expired.select("task_id", F.lit("ttl").alias("reason")).unionByName(oldest.select("task_id", F.lit("cap").alias("reason")))
+    expired = F.col("_final") & (F.col("_age") > ttl_s)
+    kept = done.where(~expired)
+    # Others hold their places: of the terminal ones as many stay as they leave. Times are counted first, so that only
+    # tasks of the time at which the cap falls are ranked.
+    final = kept.where("_final")
+    others = kept.where("not _final").agg(F.count(F.lit(1)).alias("_others"))
+    times = final.groupBy("ts").agg(F.count(F.lit(1)).alias("_n"))
+    newer = F.coalesce(F.sum("_n").over(Window.orderBy(F.desc("ts")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    room = times.withColumn("_newer", newer).crossJoin(F.broadcast(others)).select("ts", (most - F.col("_others") - F.col("_newer")).alias("_room"))
+    place = F.row_number().over(Window.partitionBy("ts").orderBy(F.desc("task_id")))
+    oldest = final.join(room, "ts").withColumn("_place", place).where(F.col("_place") > F.col("_room"))
+    return done.where(expired).select("task_id", F.lit("ttl").alias("reason")).unionByName(oldest.select("task_id", F.lit("cap").alias("reason")))
 
 
 def status_lookup(asked: DataFrame, tasks: DataFrame, evicted: DataFrame) -> DataFrame:
@@ -132,12 +144,46 @@ def shared_files(tasks: DataFrame) -> DataFrame:
     return tasks.join(live, (tasks["file_hash"] == live["file_hash"]) & (tasks["task_id"] != live["_other"]), "left_semi")
 
 
+def admission_steps(events: Iterable[tuple[int, int, str]], most: int) -> list[tuple[int, int, bool]]:
+    """(event_id, waiting, admitted) of the pending events among (event_id, task_id, status) in order. A task that comes
+    to a full queue is rolled back: it does not wait, and its later start takes nobody out."""
+    waiting: list[int] = []
+    out = []
+    for event, task, status in events:
+        if status == "pending":
+            out.append((event, len(waiting), len(waiting) < most))
+            if len(waiting) < most:
+                waiting.append(task)
+        elif status == "processing" and task in waiting:
+            waiting.remove(task)
+    return out
+
+
 def admitted(events: DataFrame, most: int) -> DataFrame:
-    """Pending events with the number waiting before each in its queue, and whether the queue takes it."""
-    w = Window.partitionBy("queue").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    change = F.when(F.col("status") == "pending", 1).when(F.col("status") == "processing", -1).otherwise(0)
-    return events.withColumn("waiting", F.coalesce(F.sum(change).over(w), F.lit(0))).where("status = 'pending'").select("queue", "event_id", "waiting", (F.col("waiting") < most).alias("admitted"))
+    """Pending events with the number waiting before each in its queue, and whether the queue takes it: a fold over each
+    queue's log. events: queue, event_id, ts, task_id, status."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["ts", "event_id"])
+        found = admission_steps(zip(rows["event_id"], rows["task_id"], rows["status"]), most)
+        out = pd.DataFrame(found, columns=["event_id", "waiting", "admitted"])
+        out.insert(0, "queue", key[0])
+        return out
+
+    log = shipped(events).where(F.col("status").isin("pending", "processing")).select("queue", "event_id", "ts", "task_id", "status")
+    return log.groupBy("queue").applyInPandas(run, "queue long, event_id long, waiting long, admitted boolean")
 
 
 def heartbeat(ticks: Column) -> Column:
     return F.least(5 + 3 * ticks, F.lit(95))
+
+
+def health(loop_alive: Column, running: Column) -> Column:
+    """200 only if the loop is alive and the service runs; unknown counts as no."""
+    return F.when(F.coalesce(loop_alive & running, F.lit(False)), 200).otherwise(503)
+
+
+def live_sessions(chunks: DataFrame, now_s: int, ttl_s: int) -> DataFrame:
+    """Sessions not older than the time to live, and their different chunks. chunks: session, chunk_index, created_s."""
+    live = chunks.where(now_s - F.col("created_s") <= ttl_s)
+    return live.select("session", "chunk_index").distinct().groupBy("session").agg(F.count(F.lit(1)).alias("n_chunks"))

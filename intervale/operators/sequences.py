@@ -114,3 +114,40 @@ def index_percentile(values: Column, numerator: int, denominator: int) -> Column
     ordered = F.array_sort(F.collect_list(values))
     at = F.least(F.floor(F.size(ordered) * numerator / denominator), F.size(ordered) - 1)
     return F.element_at(ordered, (at + 1).cast("int"))
+
+
+# Which of three slots are active in each of the seven classes of a powerset output.
+POWERSET = ((), (0,), (1,), (2,), (0, 1), (0, 2), (1, 2))
+
+
+def powerset_active(frames: DataFrame, scores: str) -> DataFrame:
+    """frames with slot0 to slot2: whether a slot is active in the class with the highest score (a tie: the first)."""
+    best = F.array_position(scores, F.array_max(scores)) - 1
+    return frames.select("*", *[F.coalesce(best.isin(*[k for k, slots in enumerate(POWERSET) if slot in slots]), F.lit(False)).alias(f"slot{slot}") for slot in range(3)])
+
+
+def exclude_overlap(frames: DataFrame) -> DataFrame:
+    """Frames in which one speaker alone is active. frames: file_id, speaker, frame (active ones only, distinct)."""
+    return frames.groupBy("file_id", "frame").agg(F.min("speaker").alias("speaker"), F.count(F.lit(1)).alias("_n")).where("_n = 1").drop("_n")
+
+
+def sample_ranges(frames: DataFrame, frame_samples: int = 1_600, least_frames: int = 10) -> DataFrame:
+    """Sample ranges of runs of at least least_frames frames in which a speaker is alone."""
+    runs = runs_to_turns(exclude_overlap(frames), frame_samples, 0, -1)
+    return runs.where(F.col("end_ms") - F.col("start_ms") >= frame_samples * least_frames).select("file_id", "speaker", F.col("start_ms").alias("first_sample"), F.col("end_ms").alias("end_sample"))
+
+
+def speakers_per_frame(activity: DataFrame, unit: int = 1) -> DataFrame:
+    """activity with k: the mean of a frame's scores in units, rounded by adding a half and cutting."""
+    k = activity.groupBy("file_id", "frame").agg(F.floor(F.avg("score") / unit + 0.5).cast("int").alias("k"))
+    return activity.join(k, ["file_id", "frame"])
+
+
+def speaker_count_grid(frames: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Active slots of each cluster by frame; slots without a cluster drop out. clusters: speaker, cluster."""
+    return frames.join(F.broadcast(clusters), "speaker").groupBy("file_id", "frame", "cluster").agg(F.count(F.lit(1)).alias("n"))
+
+
+def sorted_speakers(segments: DataFrame) -> DataFrame:
+    """The names of a file's speakers as text, in order of text: Speaker11 before Speaker2."""
+    return segments.groupBy("file_id").agg(F.array_join(F.array_sort(F.collect_set(F.concat(F.lit("Speaker"), F.col("speaker") + 1))), ",").alias("speakers"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import extra_queries, fold_queries, interval_queries, service_queries  # noqa: F401  they register their queries
+from . import extra_queries, fold_queries, interval_queries, mapping_queries, service_queries  # noqa: F401  they register their queries
 from .registry import ORACLES, QUERIES
 
 

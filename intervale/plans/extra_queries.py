@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import clusters as cl
 from ..operators import sequences as sq
+from ..operators.lifecycle import live_sessions
+from ..sources.results import restored_name
 from ..sources.sinks import to_result_json
 from ..sources.substrate import derived
 from .registry import query, with_tables
@@ -35,9 +37,8 @@ def speech_shares(spark: SparkSession, d: str) -> DataFrame:
 
 @query("st6_session_sweep", "select conv_id as session, count(distinct turn % 3) as n_chunks from conversations where 100000 - conv_id * 700 <= 86400 group by conv_id")
 def sweep(spark: SparkSession, d: str) -> DataFrame:
-    c = spark.read.parquet(f"{d}/conversations.parquet").withColumn("created_s", F.col("conv_id") * 700)
-    live = c.where(100_000 - F.col("created_s") <= 86_400)
-    return live.select(F.col("conv_id").alias("session"), (F.col("turn") % 3).alias("chunk")).distinct().groupBy("session").agg(F.count(F.lit(1)).alias("n_chunks"))
+    c = spark.read.parquet(f"{d}/conversations.parquet").select(F.col("conv_id").alias("session"), (F.col("turn") % 3).alias("chunk_index"), (F.col("conv_id") * 700).alias("created_s"))
+    return live_sessions(c, 100_000, 86_400)
 
 
 @query("snk4_result_json", with_tables("segments") + " select file_id, count(*)::int as n_segments, array_to_string(list_sort(list(distinct 'Speaker' || (speaker + 1)::varchar)), ',') as speakers, min(start_ms) as first_ms from segments group by file_id")
@@ -49,5 +50,5 @@ def result_json(spark: SparkSession, d: str) -> DataFrame:
 
 @query("prj10_restore_file_name", "select doc_id, case when doc_id % 3 = 0 then 'upload_' || doc_id::varchar || '.wav' else source end as file_name from documents")
 def restore_name(spark: SparkSession, d: str) -> DataFrame:
-    original = F.when(F.col("doc_id") % 3 > 0, F.col("source"))
-    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.coalesce(original, F.concat(F.lit("upload_"), F.col("doc_id").cast("string"), F.lit(".wav"))).alias("file_name"))
+    kept = F.concat(F.lit("upload_"), F.col("doc_id").cast("string"), F.lit(".wav"))
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", restored_name(F.when(F.col("doc_id") % 3 > 0, F.col("source")), kept).alias("file_name"))

@@ -28,7 +28,7 @@ def absorb(spark: SparkSession, d: str) -> DataFrame:
     return fo.per_file(spoken(spark, d), lambda s: fo.absorb_tiny(s, 1500))
 
 
-_ABA = with_tables("segments") + """, t as (select file_id, seg_idx, row_number() over (partition by file_id order by seg_idx) as rn, start_ms, end_ms, speaker, case when seg_idx % 4 = 1 then '对' when seg_idx % 4 = 2 then substr(text, 1, 8) else substr(text, 1, 60) end as text from segments),
+_ABA = with_tables("segments") + """, t as (select file_id, seg_idx, row_number() over (partition by file_id order by seg_idx) as rn, start_ms, end_ms, speaker, case when seg_idx % 4 = 1 then '对' when seg_idx % 4 = 2 then 'yes well' else text end as text from segments),
 f as (select file_id, rn, speaker as now, null::bigint as before from t where rn = 1
  union all select t.file_id, t.rn, case when n.speaker is not null and f.now = n.speaker and f.now <> t.speaker and t.end_ms - t.start_ms <= 1500 and (trim(t.text) in ('对', '嗯嗯', '好的', '是的') or trim(t.text) = '' or (t.end_ms - t.start_ms <= 1000 and length(trim(t.text)) * 1000 >= 5 * (t.end_ms - t.start_ms))) then f.now else t.speaker end, f.now
  from f join t on t.file_id = f.file_id and t.rn = f.rn + 1 left join t n on n.file_id = t.file_id and n.rn = t.rn + 1)
@@ -37,14 +37,6 @@ select t.file_id, t.rn - 1 as seg_idx, t.start_ms, t.end_ms, f.now as speaker, t
 
 @query("wn7_smooth_aba", _ABA)
 def aba(spark: SparkSession, d: str) -> DataFrame:
-    """On the texts of its SQL, which are beginnings; the query below has whole ones."""
-    k = F.col("seg_idx")
-    text = F.when(k % 4 == 1, "对").when(k % 4 == 2, F.substring("text", 1, 8)).otherwise(F.substring("text", 1, 60))
-    return fo.per_file(derived(spark, d, "segments").withColumn("text", text), lambda s: fo.smooth_aba(s, 1500))
-
-
-@query("wn7_smooth_aba_whole")
-def whole_aba(spark: SparkSession, d: str) -> DataFrame:
     return fo.per_file(spoken(spark, d), lambda s: fo.smooth_aba(s, 1500))
 
 
@@ -146,17 +138,9 @@ def centroids(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("jn12_minor_to_main", with_tables("vectors") + ", t0 as (select file_id, speaker, sum(dur_ms) as dur from vectors group by all), t as (select *, dur / sum(dur) over (partition by file_id) as share from t0)" + _CENTROID + """, p as (select a.file_id, a.speaker as minor, b.speaker as main, tb.share, list_sum(list_transform(list_zip(a.c, b.c), lambda x: x[1] * x[2])) as sim from unit a join t ta using (file_id, speaker) join unit b on a.file_id = b.file_id join t tb on tb.file_id = b.file_id and tb.speaker = b.speaker where ta.share < 0.05 and tb.share >= 0.05)
-select file_id, minor, main, round(sim, 4) as similarity from p qualify row_number() over (partition by file_id, minor order by sim desc, share desc, main) = 1""")
+select file_id, minor, main, round(sim, 4) as similarity, case when sim >= 0.3 then 'minor_to_main' else 'minor_kept_isolated' end as action from p qualify row_number() over (partition by file_id, minor order by sim desc, share desc, main) = 1""")
 def minor_to_main(spark: SparkSession, d: str) -> DataFrame:
-    from ..functions.text import cosine
-
-    v = derived(spark, d, "vectors")
-    s = cl.speaker_shares(v).join(cl.centroids(v), ["file_id", "speaker"])
-    a = s.where("share < 0.05").select("file_id", F.col("speaker").alias("minor"), F.col("centroid").alias("ca"))
-    b = s.where("share >= 0.05").select("file_id", F.col("speaker").alias("main"), F.col("centroid").alias("cb"), "share")
-    sim = cosine(F.col("ca"), F.col("cb"))
-    best = a.join(b, "file_id").withColumn("sim", sim).groupBy("file_id", "minor").agg(F.max_by(F.struct("main", "sim"), F.struct("sim", "share", -F.col("main"))).alias("x"))
-    return best.select("file_id", "minor", F.col("x.main").alias("main"), F.round("x.sim", 4).alias("similarity"))
+    return cl.minor_to_main(derived(spark, d, "vectors"), 0.05, 0.3)
 
 
 @query("cl1_jn13_merge_clusters")
@@ -164,6 +148,11 @@ def merge_clusters(spark: SparkSession, d: str) -> DataFrame:
     return cl.merge_clusters(derived(spark, d, "vectors"), least_share=0.05, minor_at=0.3, main_at=0.5)
 
 
+@query("cl1_merge_log")
+def merge_log(spark: SparkSession, d: str) -> DataFrame:
+    return cl.merge_log(derived(spark, d, "vectors"), least_share=0.05, minor_at=0.3, main_at=0.5)
+
+
 @query("cl2_complete_linkage")
 def linkage(spark: SparkSession, d: str) -> DataFrame:
     return cl.cluster_vectors(derived(spark, d, "vectors"), 0.9)
@@ -176,28 +165,6 @@ def distances(spark: SparkSession, d: str) -> DataFrame:
     return cl.consecutive_distances(derived(spark, d, "vectors"))
 
 
-@query("jn6_jn7_map_local_speakers")
-def map_local(spark: SparkSession, d: str) -> DataFrame:
-    import pandas as pd
-
-    turns, s = derived(spark, d, "turns"), derived(spark, d, "segments")
-    x = s.select("file_id", F.col("start_ms").alias("s2"), F.col("end_ms").alias("e2"), F.concat(F.lit("Speaker"), F.col("speaker") + 1).alias("label"))
-    over = F.least("end_ms", "e2") - F.greatest("start_ms", "s2")
-    scores = iv.overlap_join(turns, x, "start_ms", "end_ms", "s2", "e2").where(over > 0).groupBy("file_id", "speaker", "label").agg(F.sum(over).alias("score"))
-    total = turns.groupBy("file_id", "speaker").agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("dur"))
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["speaker", "label"])
-        by: dict = {}
-        for sp, label, n in zip(rows["speaker"], rows["label"], rows["score"]):
-            if label is not None:
-                by.setdefault(sp, {})[label] = n
-        m = cl.map_local_speakers(dict(zip(rows["speaker"], rows["dur"])), by, ["Speaker1", "Speaker2", "Speaker3"])
-        return pd.DataFrame({"file_id": key[0], "speaker": list(m), "label": list(m.values())})
-
-    return total.join(scores, ["file_id", "speaker"], "left").groupBy("file_id").applyInPandas(run, "file_id long, speaker long, label string")
-
-
 @query("ag9_edit_stats")
 def edits(spark: SparkSession, d: str) -> DataFrame:
     c = spark.read.parquet(f"{d}/conversations.parquet")
@@ -213,12 +180,19 @@ def char_pairs(spark: SparkSession, d: str) -> DataFrame:
     return j.select("file_id", "seg_idx", F.concat(F.lit("h"), F.col("speaker").cast("string")).alias("hyp"), "ref")
 
 
-@query("ag10_jn14_confusion", _CHARS + " select file_id, hyp, ref, count(*) as n from chars group by all")
+@query("ag10_confusion", _CHARS + " select file_id, hyp, ref, count(*) as n from chars group by all")
 def confusion(spark: SparkSession, d: str) -> DataFrame:
     return ev.confusion_of(char_pairs(spark, d))
 
 
-@query("ag10_best_mapping")
+_BEST = _CHARS + """, n as (select file_id, hyp, ref, count(*) as n from chars group by all), h as (select file_id, hyp, row_number() over (partition by file_id order by hyp) as k, count(*) over (partition by file_id) as hyps from (select distinct file_id, hyp from n)), r as (select file_id, ref, count(*) over (partition by file_id) as refs from (select distinct file_id, ref from n)),
+m as (select file_id, 0::bigint as k, []::varchar[] as used, 0::bigint as score from (select distinct file_id from n)
+ union all select m.file_id, h.k, list_append(m.used, r.ref), m.score + coalesce(n.n, 0) from m join h on h.file_id = m.file_id and h.k = m.k + 1 join r on r.file_id = m.file_id left join n on n.file_id = m.file_id and n.hyp = h.hyp and n.ref = r.ref where h.hyps > r.refs or not list_contains(m.used, r.ref)),
+best as (select m.* from m join (select distinct file_id, hyps from h) x on x.file_id = m.file_id and x.hyps = m.k qualify row_number() over (partition by m.file_id order by score desc, used) = 1)
+select h.file_id, h.hyp, best.used[h.k] as mapped, best.score as correct, t.total from h join best on best.file_id = h.file_id join (select file_id, sum(n)::bigint as total from n group by all) t on t.file_id = h.file_id"""
+
+
+@query("ag10_best_mapping", _BEST)
 def mapping(spark: SparkSession, d: str) -> DataFrame:
     return ev.speaker_accuracy(ev.confusion_of(char_pairs(spark, d)))
 
@@ -251,14 +225,14 @@ def iou(spark: SparkSession, d: str) -> DataFrame:
 
 
 _Q, _A = ("|".join(("你觉得", "是什么", "吗")), "我觉得")
-_TEXTED = ", s as (select file_id, seg_idx, start_ms * 4 as start_ms, end_ms * 4 as end_ms, speaker, case seg_idx % 5 when 0 then '你觉得 ' when 1 then '我觉得 ' when 2 then '我觉得 是什么 ' else '' end || substr(text, 1, 40) as text from segments)"
+_TEXTED = ", s as (select file_id, seg_idx, start_ms * 4 as start_ms, end_ms * 4 as end_ms, speaker, case seg_idx % 5 when 0 then '你觉得 ' when 1 then '我觉得 ' when 2 then '我觉得 是什么 ' else '' end || text as text from segments)"
 
 
-def cued(spark: SparkSession, d: str, most: int | None = None) -> DataFrame:
-    """Segments with a cue before the text, or before its first `most` characters (as the SQL has them)."""
+def cued(spark: SparkSession, d: str) -> DataFrame:
+    """Segments with a cue before some of the texts."""
     k = F.col("seg_idx") % 5
     cue = F.when(k == 0, "你觉得 ").when(k == 1, "我觉得 ").when(k == 2, "我觉得 是什么 ").otherwise("")
-    return derived(spark, d, "segments").select("file_id", "seg_idx", (F.col("start_ms") * 4).alias("start_ms"), (F.col("end_ms") * 4).alias("end_ms"), "speaker", F.concat(cue, F.col("text") if most is None else F.substring("text", 1, most)).alias("text"))
+    return derived(spark, d, "segments").select("file_id", "seg_idx", (F.col("start_ms") * 4).alias("start_ms"), (F.col("end_ms") * 4).alias("end_ms"), "speaker", F.concat(cue, F.col("text")).alias("text"))
 
 
 _FEATURES = with_tables("segments") + _TEXTED + f""", w as (select *, start_ms // 40000 as window_idx, max(end_ms) over (partition by file_id) as last, end_ms - start_ms as dur, length(text) as chars, (case when contains(text, '你觉得') then 1 else 0 end + case when contains(text, '是什么') then 1 else 0 end) as q, (case when contains(text, '我觉得') then 1 else 0 end) as a from s),
@@ -270,11 +244,6 @@ g as (select *, speakers = 1 and question_cues > 0 and answer_cues > 0 as single
 
 @query("ag17_window_features", _FEATURES + " select * from g")
 def features(spark: SparkSession, d: str) -> DataFrame:
-    return ev.window_features(cued(spark, d, 40))
-
-
-@query("ag17_window_features_whole")
-def whole_features(spark: SparkSession, d: str) -> DataFrame:
     return ev.window_features(cued(spark, d))
 
 
@@ -284,35 +253,20 @@ _RISK = _FEATURES + """, risk as (select file_id, window_idx, (case when single_
 
 @query("ag19_risk_score", _RISK + " select * from risk")
 def risk(spark: SparkSession, d: str) -> DataFrame:
-    return ev.risk_score(ev.window_features(cued(spark, d, 40))).select("file_id", "window_idx", "score")
-
-
-@query("ag19_risk_score_whole")
-def whole_risk(spark: SparkSession, d: str) -> DataFrame:
-    return ev.risk_score(whole_features(spark, d)).select("file_id", "window_idx", "score")
+    return ev.risk_score(features(spark, d)).select("file_id", "window_idx", "score")
 
 
 @query("so3_top_risks", _RISK + " select * from risk where score >= 1 order by score desc, file_id, window_idx limit 20")
 def top_risks(spark: SparkSession, d: str) -> DataFrame:
-    return ev.top_risks(ev.risk_score(ev.window_features(cued(spark, d, 40))), 20).select("file_id", "window_idx", "score")
-
-
-@query("so3_top_risks_whole")
-def whole_top_risks(spark: SparkSession, d: str) -> DataFrame:
-    return ev.top_risks(ev.risk_score(whole_features(spark, d)), 20).select("file_id", "window_idx", "score")
+    return ev.top_risks(ev.risk_score(features(spark, d)), 20).select("file_id", "window_idx", "score")
 
 
 @query("flt9_quality_gate", """with g as (select event_id as window_id, event_id % 11 as items, event_id % 5 as low_conf, event_id % 4 as src_switches, event_id % 13 as out_switches, event_id % 6 as src_segments, event_id % 31 as out_segments, event_id % 5 as very_short, (event_id % 20) / 10.0 as drift, event_id % 2 = 0 as both_two,
- case when event_id % 3 > 0 then (event_id % 10) / 10.0 end as max_sim, case when event_id % 7 > 0 then (event_id % 9) / 100.0 end as max_margin from events where event_id < 3000),
+ case when event_id % 3 > 0 then (event_id % 10) / 10.0 end as max_sim, case when event_id % 7 > 0 then (event_id % 9) / 100.0 end as max_margin from events),
 r as (select window_id, case when out_segments = 0 then ['empty_aligned_output'] else list_filter([case when low_conf / greatest(items, 1) > 0.35 then 'low_conf_ratio' end, case when out_switches > greatest(8, src_switches + 5) then 'too_many_switches' end, case when out_segments > greatest(10, 4 * src_segments + 4) then 'too_many_output_segments' end,
  case when very_short >= 4 then 'too_many_very_short_segments' end, case when both_two and drift > 1.25 and src_switches <= 1 then 'speaker_duration_drift' end, case when max_sim < 0.25 then 'low_centroid_similarity' end, case when max_margin < 0.03 then 'low_centroid_margin' end], lambda x: x is not null) end as reasons from g)
 select window_id, len(reasons) = 0 as accepted, array_to_string(reasons, ',') as reasons from r""")
 def quality_gate(spark: SparkSession, d: str) -> DataFrame:
-    return all_gates(spark, d).where("window_id < 3000")
-
-
-@query("flt9_quality_gate_whole")
-def all_gates(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("event_id")
     g = spark.read.parquet(f"{d}/events.parquet").select(
         k.alias("window_id"), (k % 11).alias("items"), (k % 5).alias("low_conf"), (k % 4).alias("src_switches"), (k % 13).alias("out_switches"), (k % 6).alias("src_segments"), (k % 31).alias("out_segments"), (k % 5).alias("very_short"),
@@ -321,7 +275,7 @@ def all_gates(spark: SparkSession, d: str) -> DataFrame:
     return ev.gate(g).select("window_id", "accepted", F.array_join("reasons", ",").alias("reasons"))
 
 
-@query("ag15_ag16_ag24_timing_report", "select user_id % 4 as tag, event_type as stage, count(*) as n, round(sum(value), 3) as total, round(avg(value), 3) as mean, min(value) as least, max(value) as most, round(coalesce(stddev_samp(value), 0), 3) as stdev from events group by all")
+@query("ag16_stage_timing", "select user_id % 4 as tag, event_type as stage, count(*) as n, round(sum(value), 3) as total, round(avg(value), 3) as mean, min(value) as least, max(value) as most, round(coalesce(stddev_samp(value), 0), 3) as stdev from events group by all")
 def timing(spark: SparkSession, d: str) -> DataFrame:
     e = spark.read.parquet(f"{d}/events.parquet")
     return ev.timing_report(e.select((F.col("user_id") % 4).alias("tag"), F.col("event_type").alias("stage"), F.col("value").alias("seconds")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import evaluation as ev
 from ..operators import intervals as iv
 from ..operators import sequences as sq
 from ..sources.substrate import derived
@@ -236,13 +237,11 @@ def frames_to_turns(spark: SparkSession, d: str) -> DataFrame:
     return sq.runs_to_turns(frames_of(spark, d), 100, 500, 300)
 
 
-@query("wn12_wn14_exclude_overlap", with_tables("turns") + _FRAMES + """, one as (select file_id, frame, min(speaker) as speaker from fr group by file_id, frame having count(*) = 1),
+@query("wn12_sample_ranges", with_tables("turns") + _FRAMES + """, one as (select file_id, frame, min(speaker) as speaker from fr group by file_id, frame having count(*) = 1),
 r as (select file_id, speaker, min(frame) * 1600 as first_sample, max(frame) * 1600 + 1600 as end_sample, count(*) as n from (select *, frame - row_number() over (partition by file_id, speaker order by frame) as g from one) group by file_id, speaker, g)
 select file_id, speaker, first_sample, end_sample from r where n >= 10""")
 def sample_ranges(spark: SparkSession, d: str) -> DataFrame:
-    alone = frames_of(spark, d).groupBy("file_id", "frame").agg(F.min("speaker").alias("speaker"), F.count(F.lit(1)).alias("_n")).where("_n = 1").drop("_n")
-    runs = sq.runs_to_turns(alone, 1600, 0, -1)
-    return runs.where(F.col("end_ms") - F.col("start_ms") >= 16000).select("file_id", "speaker", F.col("start_ms").alias("first_sample"), F.col("end_ms").alias("end_sample"))
+    return sq.sample_ranges(frames_of(spark, d))
 
 
 _ACTIVITY = """, act as (select file_id, (start_ms // 1000)::bigint as frame, speaker, sum(end_ms - start_ms)::bigint as score from turns group by all),
@@ -252,70 +251,50 @@ cnt as (select file_id, frame, floor(avg(score) / 1000.0 + 0.5)::int as k from a
 @query("ag20_wn13_top_speakers_per_frame", with_tables("turns") + _ACTIVITY + """ select file_id, frame, speaker, score, k from act join cnt using (file_id, frame) qualify row_number() over (partition by file_id, frame order by score desc, speaker) <= k""")
 def top_per_frame(spark: SparkSession, d: str) -> DataFrame:
     act = derived(spark, d, "turns").groupBy("file_id", F.floor(F.col("start_ms") / 1000).alias("frame"), "speaker").agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("score"))
-    k = act.groupBy("file_id", "frame").agg(F.floor(F.avg("score") / 1000 + 0.5).cast("int").alias("k"))
-    return sq.top_speakers_per_frame(act.join(k, ["file_id", "frame"]))
+    return sq.top_speakers_per_frame(sq.speakers_per_frame(act, 1000))
 
 
-@query("ag21_jn21_speaker_count_grid", with_tables("turns") + _FRAMES + """ select f.file_id, f.frame, m.cluster, count(*) as n from fr f join (values (0, 0), (1, 1), (2, 0)) m(speaker, cluster) using (speaker) where frame < 200 group by all""")
+@query("ag21_jn21_speaker_count_grid", with_tables("turns") + _FRAMES + """ select f.file_id, f.frame, m.cluster, count(*) as n from fr f join (values (0, 0), (1, 1), (2, 0)) m(speaker, cluster) using (speaker) group by all""")
 def count_grid(spark: SparkSession, d: str) -> DataFrame:
-    return whole_grid(spark, d).where("frame < 200")
-
-
-@query("ag21_jn21_speaker_count_grid_whole")
-def whole_grid(spark: SparkSession, d: str) -> DataFrame:
     mapped = spark.createDataFrame([(0, 0), (1, 1), (2, 0)], "speaker int, cluster int")
-    return frames_of(spark, d).join(mapped, "speaker").groupBy("file_id", "frame", "cluster").agg(F.count(F.lit(1)).alias("n"))
+    return sq.speaker_count_grid(frames_of(spark, d), mapped)
 
 
 @query("src5_st11_sliding_windows", with_tables("segments", "files") + """ select file_id, k as window_idx, k * 1000 as first_ms, least(k * 1000 + 10000, duration_ms) as end_ms, greatest(k * 1000 + 10000 - duration_ms, 0) as pad_ms from (select *, unnest(range(case when duration_ms <= 10000 then 1 else (duration_ms - 10000 + 999) // 1000 + 1 end)) as k from files where duration_ms > 0)""")
 def sliding(spark: SparkSession, d: str) -> DataFrame:
-    f = derived(spark, d, "files").where("duration_ms > 0")
-    last = F.when(F.col("duration_ms") <= 10000, F.lit(0).cast("long")).otherwise(F.ceil((F.col("duration_ms") - 10000) / 1000))
-    w = f.select("*", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("window_idx"))
-    return w.select("file_id", "window_idx", (F.col("window_idx") * 1000).alias("first_ms"), F.least(F.col("window_idx") * 1000 + 10000, "duration_ms").alias("end_ms"), F.greatest(F.col("window_idx") * 1000 + 10000 - F.col("duration_ms"), F.lit(0)).alias("pad_ms"))
+    return iv.sliding_windows(derived(spark, d, "files"))
 
 
 @query("ag12_alignment_in_silence", with_tables("segments", "silences") + """, b as (select distinct file_id, end_ms as ts from segments),
 m as (select b.file_id, b.ts, bool_or(ts between start_ms and end_ms) as inside, min(least(abs(ts - start_ms), abs(ts - end_ms))) as edge from b left join silences x on x.file_id = b.file_id group by all)
 select file_id, count(*) as n, count(*) filter (inside) as n_inside, count(*) filter (not inside and edge <= 300) as n_near, (count(*) filter (inside or edge <= 300) * 1000 // count(*))::bigint as ratio_milli from m group by file_id""")
 def alignment(spark: SparkSession, d: str) -> DataFrame:
-    b = derived(spark, d, "segments").select("file_id", F.col("end_ms").alias("ts")).distinct()
-    m = b.join(derived(spark, d, "silences"), "file_id", "left").groupBy("file_id", "ts").agg(F.coalesce(F.max(F.col("ts").between(F.col("start_ms"), F.col("end_ms"))), F.lit(False)).alias("inside"), F.min(F.least(F.abs(F.col("ts") - F.col("start_ms")), F.abs(F.col("ts") - F.col("end_ms")))).alias("edge"))
-    near = ~F.col("inside") & (F.col("edge") <= 300)
-    return m.groupBy("file_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("inside").alias("n_inside"), F.coalesce(F.count_if(near), F.lit(0)).alias("n_near")).withColumn("ratio_milli", F.floor((F.col("n_inside") + F.col("n_near")) * 1000 / F.col("n")))
+    return ev.alignment_in_silence(derived(spark, d, "segments"), derived(spark, d, "silences"))
 
 
 @query("ag13_output_analysis", with_tables("segments") + """, b as (select *, end_ms - start_ms as dur, lag(speaker) over (partition by file_id order by seg_idx) as p from segments)
 select file_id, count(*) as n, (list_sort(list(dur)))[count(*) // 2 + 1] as median_ms, max(dur) as max_ms, sum(dur)::bigint as total_ms, count(*) filter (dur < 500) as b0, count(*) filter (dur >= 500 and dur < 1500) as b1, count(*) filter (dur >= 1500 and dur < 3000) as b2, count(*) filter (dur >= 3000) as b3,
   (count(*) filter (p <> speaker) * 60000000 // greatest(max(end_ms), 1))::bigint as switches_per_1000_min from b group by file_id""")
 def output_analysis(spark: SparkSession, d: str) -> DataFrame:
-    s = derived(spark, d, "segments")
-    dur = F.col("end_ms") - F.col("start_ms")
-    b = s.withColumn("dur", dur).withColumn("p", F.lag("speaker").over(Window.partitionBy("file_id").orderBy("seg_idx")))
-    agg = [F.count(F.lit(1)).alias("n"), sq.index_percentile(F.col("dur"), 1, 2).alias("median_ms"), F.max("dur").alias("max_ms"), F.sum("dur").alias("total_ms")]
-    agg += [F.count_if(c).alias(f"b{k}") for k, c in enumerate((F.col("dur") < 500, F.col("dur").between(500, 1499), F.col("dur").between(1500, 2999), F.col("dur") >= 3000))]
-    return b.groupBy("file_id").agg(*agg, F.floor(F.coalesce(F.count_if(F.col("p") != F.col("speaker")), F.lit(0)) * 60_000_000 / F.greatest(F.max("end_ms"), F.lit(1))).alias("switches_per_1000_min"))
+    return ev.output_analysis(derived(spark, d, "segments"))
 
 
 @query("ag14_drift_report", with_tables("segments", "turns") + """, d as (select s.file_id, abs(s.start_ms - t.start_ms) as x from segments s join turns t on s.file_id = t.file_id and s.seg_idx = t.turn_idx)
 select file_id, count(*) as n, sum(x)::bigint as sum_ms, (list_sort(list(x)))[count(*) // 2 + 1] as p50, (list_sort(list(x)))[count(*) * 9 // 10 + 1] as p90, count(*) filter (x <= 100) as hit_100, count(*) filter (x <= 200) as hit_200, count(*) filter (x <= 500) as hit_500, max(x) as max_ms from d group by file_id""")
 def drift(spark: SparkSession, d: str) -> DataFrame:
     t = derived(spark, d, "turns").select("file_id", F.col("turn_idx").alias("seg_idx"), F.col("start_ms").alias("t"))
-    x = derived(spark, d, "segments").join(t, ["file_id", "seg_idx"]).select("file_id", F.abs(F.col("start_ms") - F.col("t")).alias("x"))
-    hits = [F.count_if(F.col("x") <= k).alias(f"hit_{k}") for k in (100, 200, 500)]
-    return x.groupBy("file_id").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("sum_ms"), sq.index_percentile(F.col("x"), 1, 2).alias("p50"), sq.index_percentile(F.col("x"), 9, 10).alias("p90"), *hits, F.max("x").alias("max_ms"))
+    return ev.drift_report(derived(spark, d, "segments").join(t, ["file_id", "seg_idx"]).select("file_id", F.abs(F.col("start_ms") - F.col("t")).alias("x")))
 
 
 @query("ag22_role_by_text_mass", with_tables("segments") + """, m as (select file_id, speaker, sum(length(text))::bigint as chars from segments group by all)
 select *, case when row_number() over (partition by file_id order by chars desc, speaker) = 1 then 'dominant' else 'minority' end as role from m""")
 def roles(spark: SparkSession, d: str) -> DataFrame:
-    m = derived(spark, d, "segments").groupBy("file_id", "speaker").agg(F.sum(F.length("text")).alias("chars"))
-    return m.withColumn("role", F.when(F.row_number().over(Window.partitionBy("file_id").orderBy(F.desc("chars"), "speaker")) == 1, "dominant").otherwise("minority"))
+    return ev.roles_by_text(derived(spark, d, "segments"))
 
 
 @query("ag23_se3_sorted_speakers", with_tables("segments") + """ select file_id, array_to_string(list_sort(list(distinct 'Speaker' || (speaker * 5 + 1))), ',') as speakers from segments group by file_id""")
 def sorted_speakers(spark: SparkSession, d: str) -> DataFrame:
-    return derived(spark, d, "segments").groupBy("file_id").agg(F.array_join(F.array_sort(F.collect_set(F.concat(F.lit("Speaker"), F.col("speaker") * 5 + 1))), ",").alias("speakers"))
+    return sq.sorted_speakers(derived(spark, d, "segments").withColumn("speaker", F.col("speaker") * 5))
 
 
 @query("so1_so2_longest_per_speaker", with_tables("segments") + """ select file_id, speaker, seg_idx, end_ms - start_ms as dur_ms from segments qualify row_number() over (partition by file_id, speaker order by end_ms - start_ms desc, seg_idx) <= 2""")
@@ -326,13 +305,30 @@ def longest(spark: SparkSession, d: str) -> DataFrame:
 @query("se1_union_rewritten", with_tables("segments", "turns") + """ select file_id, seg_idx, start_ms, end_ms from segments where (file_id, seg_idx) not in (select (file_id, turn_idx) from turns where speaker = 1) union all select file_id, turn_idx, start_ms, end_ms from turns where speaker = 1""")
 def union_rewritten(spark: SparkSession, d: str) -> DataFrame:
     new = derived(spark, d, "turns").where("speaker = 1").select("file_id", F.col("turn_idx").alias("seg_idx"), "start_ms", "end_ms")
-    return derived(spark, d, "segments").select("file_id", "seg_idx", "start_ms", "end_ms").join(new, ["file_id", "seg_idx"], "left_anti").unionByName(new)
+    return ev.rewritten(derived(spark, d, "segments").select("file_id", "seg_idx", "start_ms", "end_ms"), new)
 
 
 @query("jn23_parity_with_golden", with_tables("segments", "turns") + """ select coalesce(s.file_id, t.file_id) as file_id, count(*) as n, count(*) filter (s.seg_idx is null or t.turn_idx is null) as n_unmatched, count(*) filter (abs(s.start_ms - t.start_ms) <= 50 and abs(s.end_ms - t.end_ms) <= 50) as n_close
 from segments s full join turns t on s.file_id = t.file_id and s.seg_idx = t.turn_idx group by 1""")
 def parity(spark: SparkSession, d: str) -> DataFrame:
-    t = derived(spark, d, "turns").select("file_id", F.col("turn_idx").alias("seg_idx"), F.col("start_ms").alias("ts"), F.col("end_ms").alias("te"), F.lit(1).alias("right"))
-    j = derived(spark, d, "segments").withColumn("left", F.lit(1)).join(t, ["file_id", "seg_idx"], "full")
-    close = (F.abs(F.col("start_ms") - F.col("ts")) <= 50) & (F.abs(F.col("end_ms") - F.col("te")) <= 50)
-    return j.groupBy("file_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("left").isNull() | F.col("right").isNull()).alias("n_unmatched"), F.coalesce(F.count_if(close), F.lit(0)).alias("n_close"))
+    t = derived(spark, d, "turns").withColumnRenamed("turn_idx", "seg_idx")
+    return ev.parity(derived(spark, d, "segments"), t)
+
+
+@query("prj6_offset_segments", with_tables("segments") + " select file_id, seg_idx, start_ms + 90000 as start_ms, end_ms + 90000 as end_ms, speaker, text from segments")
+def offset(spark: SparkSession, d: str) -> DataFrame:
+    return iv.offset_times(derived(spark, d, "segments"), 90_000)
+
+
+_POWERSET = """ select vec_id as frame, coalesce(c in (2, 5, 6), false) as slot0, coalesce(c in (3, 5, 7), false) as slot1, coalesce(c in (4, 6, 7), false) as slot2 from (select vec_id, list_position(embedding[1:7], list_max(embedding[1:7])) as c from embeddings)"""
+
+
+@query("wn14_powerset", _POWERSET)
+def powerset(spark: SparkSession, d: str) -> DataFrame:
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("frame"), F.slice("embedding", 1, 7).alias("scores"))
+    return sq.powerset_active(e, "scores").drop("scores")
+
+
+@query("wn14_exclude_overlap", with_tables("turns") + _FRAMES + " select file_id, frame, min(speaker) as speaker from fr group by file_id, frame having count(*) = 1")
+def without_overlap(spark: SparkSession, d: str) -> DataFrame:
+    return sq.exclude_overlap(frames_of(spark, d))

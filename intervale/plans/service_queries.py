@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -10,6 +10,7 @@ from ..operators import cache as ca
 from ..operators import lifecycle as lc
 from ..sources import metrics as mt
 from ..sources.substrate import derived
+from ..streaming import uploads as up
 from .registry import query, with_tables
 
 _CONV = "(select conv_id, turn, role, text from conversations)"
@@ -39,24 +40,19 @@ def variant_keys(spark: SparkSession, d: str) -> DataFrame:
     return r.withColumn("key", key).select("doc_id", "key", (F.col("key") == F.col("engine")).alias("allow_cross"), ca.saved_key(F.col("key"), F.col("has_words")).alias("saved"))
 
 
-@query("prj2_prj3_prj8_metadata", "with" + _REQ[1:] + """ select doc_id, engine = 'qwen3' and wa and fmt = 'json' and has_words as word_align, case when engine = 'qwen3' and wa and fmt = 'json' then coalesce(nullif(trim(lang), ''), 'zh') else nullif(trim(lang), '') end as language from req""")
+@query("prj2_metadata", "with" + _REQ[1:] + """ select doc_id, engine = 'qwen3' and wa and fmt = 'json' and has_words as word_align, case when engine = 'qwen3' and wa and fmt = 'json' then coalesce(nullif(trim(lang), ''), 'zh') else nullif(trim(lang), '') end as language from req""")
 def metadata(spark: SparkSession, d: str) -> DataFrame:
     words, lang = ca.delivered_metadata(F.col("engine"), F.col("wa"), F.col("lang"), F.col("fmt"), F.col("has_words"))
     return requests(spark, d).select("doc_id", words.alias("word_align"), lang.alias("language"))
 
 
-_LOOK = """, asked as (select doc_id as req_id, 'h' || (doc_id % 260)::varchar as file_hash, case doc_id % 3 when 0 then 'qwen3+wa:zh+nospk' when 1 then 'qwen3+nospk' else 'qwen3' end as key, doc_id % 3 = 2 as allow_cross from documents where doc_id % 2 = 0)"""
+_LOOK = """, asked as (select doc_id as req_id, 'h' || (doc_id % 260)::varchar as file_hash, case doc_id % 3 when 0 then 'qwen3+wa:zh+nospk' when 1 then 'qwen3+nospk' else 'qwen3' end as key, doc_id % 3 = 2 as allow_cross from documents)"""
 
 
 @query("jn17_cache_lookup", with_tables("cache_rows") + _LOOK + """, c as (select a.*, r.id, r.created_s, case when r.engine = key then 1 when key like '%+nospk' and r.engine = regexp_replace(key, '\\+nospk$', '') then 2 when allow_cross and not contains(r.engine, '+') then 3 end as tier from asked a join cache_rows r using (file_hash)),
 b as (select req_id, id, tier from c where tier is not null qualify row_number() over (partition by req_id order by tier, created_s desc, id desc) = 1)
 select a.*, b.id as row_id, coalesce(b.tier = 2, false) as projected from asked a left join b using (req_id)""")
 def cache_lookup(spark: SparkSession, d: str) -> DataFrame:
-    return all_lookups(spark, d).where("req_id % 2 = 0")
-
-
-@query("jn17_cache_lookup_whole")
-def all_lookups(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("doc_id")
     asked = documents(spark, d).select(i.alias("req_id"), F.concat(F.lit("h"), (i % 260).cast("string")).alias("file_hash"), F.when(i % 3 == 0, "qwen3+wa:zh+nospk").when(i % 3 == 1, "qwen3+nospk").otherwise("qwen3").alias("key"), (i % 3 == 2).alias("allow_cross"))
     return ca.lookup(asked, derived(spark, d, "cache_rows"))
@@ -127,14 +123,9 @@ def counters(spark: SparkSession, d: str) -> DataFrame:
     return lc.terminal_counters(derived(spark, d, "task_events"))
 
 
-@query("ag7_ag8_moving_average", with_tables("task_events") + """, s as (select task_id, list(value - 20 order by ts, event_id) filter (value > 20) as v from task_events where task_id % 5 = 0 group by task_id),
+@query("ag7_ag8_moving_average", with_tables("task_events") + """, s as (select task_id, list(value - 20 order by ts, event_id) filter (value > 20) as v from task_events group by task_id),
 e as (select task_id, case when v is null then 90.0 else round(list_reduce(v, lambda a, x: 0.3 * x + 0.7 * a), 6) end as ema from s) select task_id, ema, greatest(1, floor(ema / 3))::int as retry_after, floor(6 / 3.0 * ema)::int as wait_s from e""")
 def averages(spark: SparkSession, d: str) -> DataFrame:
-    return all_averages(spark, d).where("task_id % 5 = 0")
-
-
-@query("ag7_ag8_moving_average_whole")
-def all_averages(spark: SparkSession, d: str) -> DataFrame:
     e = derived(spark, d, "task_events").withColumn("v", F.col("value") - 20)
     m = lc.moving_average(e, "task_id", "v", ["ts", "event_id"])
     return m.select("task_id", "ema", lc.retry_after(F.col("ema"), 3).alias("retry_after"), lc.estimated_wait(F.lit(7), F.col("ema"), 3).alias("wait_s"))
@@ -182,29 +173,34 @@ def shared(spark: SparkSession, d: str) -> DataFrame:
     return lc.shared_files(t).select("task_id")
 
 
-@query("st2_admission", with_tables("task_events") + """, q as (select task_id % 10 as queue, *, coalesce(sum(case status when 'pending' then 1 when 'processing' then -1 else 0 end) over (partition by task_id % 10 order by ts, event_id rows between unbounded preceding and 1 preceding), 0) as waiting from task_events)
-select queue, event_id, waiting::bigint as waiting, waiting < 5 as admitted from q where status = 'pending'""")
+@query("st2_admission", with_tables("task_events") + """, q as (select task_id % 10 as queue, event_id, task_id, status, row_number() over (partition by task_id % 10 order by ts, event_id) as rn from task_events where status in ('pending', 'processing')),
+f as (select queue, 0::bigint as rn, null::bigint as event_id, 0::bigint as waiting, false as admitted, []::bigint[] as line from (select distinct queue from q)
+ union all select q.queue, q.rn, case when q.status = 'pending' then q.event_id end, len(f.line), q.status = 'pending' and len(f.line) < 5,
+ case when q.status = 'pending' and len(f.line) < 5 then list_append(f.line, q.task_id) when q.status = 'processing' and list_contains(f.line, q.task_id) then list_concat(f.line[:list_position(f.line, q.task_id) - 1], f.line[list_position(f.line, q.task_id) + 1:]) else f.line end
+ from f join q on q.queue = f.queue and q.rn = f.rn + 1)
+select queue, event_id, waiting, admitted from f where event_id is not null""")
 def admission(spark: SparkSession, d: str) -> DataFrame:
     return lc.admitted(derived(spark, d, "task_events").withColumn("queue", F.col("task_id") % 10), 5)
 
 
-@query("st8_st10_health_heartbeat", "select k as ticks, least(5 + 3 * k, 95) as progress, case when k % 2 = 0 and k % 3 = 0 then 200 else 503 end as health from (select unnest(range(40)) as k)")
+@query("st8_health", "select event_id, case when event_id % 3 > 0 and event_id % 7 > 0 and event_id % 5 > 0 then 200 else 503 end as health from events")
 def health(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("id")
-    return spark.range(40).select(k.alias("ticks"), lc.heartbeat(k).alias("progress"), F.when((k % 2 == 0) & (k % 3 == 0), 200).otherwise(503).alias("health"))
+    k = F.col("event_id")
+    probes = spark.read.parquet(f"{d}/events.parquet").select("event_id", (k % 3 > 0).alias("alive"), F.when(k % 7 > 0, k % 5 > 0).alias("running"))
+    return probes.select("event_id", lc.health(F.col("alive"), F.col("running")).alias("health"))
 
 
-_PROM = """(select event_id as probe_id, unnest(['# HELP x y', 'svc_queue_size ' || (event_id % 20)::varchar, 'svc_errors_total{kind="a",x="b"} ' || (event_id * 2)::varchar, 'svc_errors_total{kind="c"} 7', 'broken line here now', 'svc_bad abc', '']) as line from events where event_id < 500)"""
+@query("st10_heartbeat", "select event_id, least(5 + 3 * (event_id % 40), 95) as progress from events")
+def heartbeats(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", lc.heartbeat(F.col("event_id") % 40).alias("progress"))
+
+
+_PROM = """(select event_id as probe_id, unnest(['# HELP x y', 'svc_queue_size ' || (event_id % 20)::varchar, 'svc_errors_total{kind="a",x="b"} ' || (event_id * 2)::varchar, 'svc_errors_total{kind="c"} 7', 'broken line here now', 'svc_bad abc', '']) as line from events)"""
 
 
 @query("src9_parse_prometheus", f"""select probe_id, regexp_extract(line, '^([a-zA-Z_:][a-zA-Z0-9_:]*)', 1) as name, nullif(regexp_extract(line, '="([^"]*)"', 1), '') as label, try_cast(regexp_extract(line, '(\\S+)$', 1) as double) as value
 from {_PROM} where regexp_matches(line, '^[a-zA-Z_:][a-zA-Z0-9_:]*([{{][^}}]*[}}])?\\s+[^\\s]+\\s*$') and try_cast(regexp_extract(line, '(\\S+)$', 1) as double) is not null""")
 def prometheus(spark: SparkSession, d: str) -> DataFrame:
-    return all_prometheus(spark, d).where("probe_id < 500")
-
-
-@query("src9_parse_prometheus_whole")
-def all_prometheus(spark: SparkSession, d: str) -> DataFrame:
     e = spark.read.parquet(f"{d}/events.parquet")
     lines = F.array(F.lit("# HELP x y"), F.concat(F.lit("svc_queue_size "), (F.col("event_id") % 20).cast("string")), F.concat(F.lit('svc_errors_total{kind="a",x="b"} '), (F.col("event_id") * 2).cast("string")), F.lit('svc_errors_total{kind="c"} 7'), F.lit("broken line here now"), F.lit("svc_bad abc"), F.lit(""))
     return mt.parse_prometheus(e.select(F.col("event_id").alias("probe_id"), F.posexplode(lines).alias("line_no", "line")))
@@ -252,7 +248,7 @@ def reference(spark: SparkSession, d: str) -> DataFrame:
     return mt.parse_reference(body.unionByName(marks))
 
 
-_SRT = """, s as (select *, start_ms * 7 + 350 as a, end_ms * 7 + 351 as b, case when seg_idx % 5 = 3 then '  ' else substr(text, 1, 20) end as t from segments)"""
+_SRT = """, s as (select *, start_ms * 7 + 350 as a, end_ms * 7 + 351 as b, case when seg_idx % 5 = 3 then '  ' else text end as t from segments)"""
 
 
 def _srt_time(x: str, truncated: bool = False) -> str:
@@ -269,18 +265,9 @@ select * from x"""
 
 @query("snk2_srt_variants", _SRT_SQL)
 def srt(spark: SparkSession, d: str) -> DataFrame:
-    return _subtitles(spark, d, F.substring("text", 1, 20))
-
-
-@query("snk2_srt_variants_whole")
-def whole_srt(spark: SparkSession, d: str) -> DataFrame:
-    return _subtitles(spark, d, F.col("text"))
-
-
-def _subtitles(spark: SparkSession, d: str, text: Column) -> DataFrame:
     from ..sources.sinks import to_srt
 
-    s = derived(spark, d, "segments").select("file_id", "seg_idx", "speaker", (F.col("start_ms") * 7 + 350).alias("start_ms"), (F.col("end_ms") * 7 + 351).alias("end_ms"), F.when(F.col("seg_idx") % 5 == 3, "  ").otherwise(text).alias("text"))
+    s = derived(spark, d, "segments").select("file_id", "seg_idx", "speaker", (F.col("start_ms") * 7 + 350).alias("start_ms"), (F.col("end_ms") * 7 + 351).alias("end_ms"), F.when(F.col("seg_idx") % 5 == 3, "  ").otherwise(F.col("text")).alias("text"))
     out = None
     for v in "ABC":
         part = to_srt(s, v).select("file_id", F.lit(v).alias("variant"), "srt")
@@ -322,8 +309,17 @@ def hashes(spark: SparkSession, d: str) -> DataFrame:
 
 @query("src11_chunk_dedup", "select conv_id as session, turn % 3 as chunk_index, count(*) as n_sent, md5(arg_min(text, turn)) as md5 from conversations group by all")
 def chunks(spark: SparkSession, d: str) -> DataFrame:
-    c = conversations(spark, d).select(F.col("conv_id").alias("session"), (F.col("turn") % 3).alias("chunk_index"), "turn", "text")
-    return c.groupBy("session", "chunk_index").agg(F.count(F.lit(1)).alias("n_sent"), F.md5(F.min_by("text", "turn").cast("binary")).alias("md5"))
+    c = conversations(spark, d).select(F.col("conv_id").alias("session"), (F.col("turn") % 3).alias("chunk_index"), F.col("turn").alias("arrival"), F.col("text").cast("binary").alias("data"))
+    return up.first_chunks(c).select("session", "chunk_index", "n_sent", F.md5("data").alias("md5"))
+
+
+@query("src11_assembled_uploads", "with c as (select conv_id as session, turn as chunk_index, arg_min(text, turn) as t from conversations group by all) select session, count(*) as n_chunks, sum(octet_length(encode(t)))::bigint as size, md5(string_agg(t, '' order by chunk_index)) as md5, session % 3 > 0 as complete, session % 3 > 0 and session % 4 > 0 as accepted from c group by session")
+def uploads(spark: SparkSession, d: str) -> DataFrame:
+    c = conversations(spark, d).select(F.col("conv_id").alias("session"), F.col("turn").alias("chunk_index"), F.col("turn").alias("arrival"), F.col("text").cast("binary").alias("data"))
+    whole = up.assembled(c)
+    k = F.col("session")
+    told = whole.select("session", (F.col("n_chunks") + F.when(k % 3 == 0, 1).otherwise(0)).alias("chunks"), "size", F.when(k % 4 == 0, "x").otherwise(F.col("md5")).alias("md5"))
+    return up.checked(whole, told).select("session", "n_chunks", "size", "md5", "complete", "accepted")
 
 
 @query("prj4_prj5_sentence_info", with_tables("segments") + " select file_id, seg_idx, round_even(start_ms / 10.0, 0)::bigint as start_cs, round_even(end_ms / 10.0, 0)::bigint as end_cs, trim(text) as text, 'Speaker' || (speaker + 1)::varchar as speaker from segments where trim(text) <> ''")

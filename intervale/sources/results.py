@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -24,3 +24,8 @@ def parse_turns(payloads: DataFrame) -> DataFrame:
     speaker = F.when(F.col("_t.speaker").startswith("Speaker"), F.expr("cast(substring(_t.speaker, 8) as bigint)") - 1).otherwise(F.expr("try_cast(_t.speaker as bigint)"))
     t = rows.select("file_id", "_pos", ms("start").alias("start_ms"), ms("end").alias("end_ms"), speaker.alias("speaker"))
     return t.withColumn("turn_idx", F.row_number().over(Window.partitionBy("file_id").orderBy("start_ms", "_pos")) - 1).drop("_pos")
+
+
+def restored_name(original: Column, stored: Column) -> Column:
+    """The name under which a file came in, where it is known, in place of that of its stored copy."""
+    return F.coalesce(original, stored)

@@ -93,7 +93,6 @@ def test_cosine_and_merges():
     assert set(to.values()) == {0} and len(events) == 2
     assert cl.complete_linkage(np.zeros((0, 2)), 0.5) == [] and cl.complete_linkage(np.ones((1, 2)), 0.5) == [0]
     assert cl.complete_linkage(np.array([[1.0, 0], [1, 0.01], [0, 1], [0.01, 1]]), 0.5) == [0, 0, 1, 1]
-    assert cl.map_local_speakers({0: 5, 1: 9}, {0: {"A": 2}, 1: {"A": 7}}, ["A", "B"]) == {1: "A", 0: "B"}
 
 
 def test_edit_counts_and_mapping():
