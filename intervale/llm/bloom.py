@@ -1,4 +1,4 @@
-"""Membership filters of a fixed number of bits, built by aggregation: no false negatives, a bounded broadcast."""
+"""Membership filters of a bounded number of bits, built by aggregation: no false negatives, a bounded broadcast."""
 
 from __future__ import annotations
 
@@ -13,6 +13,12 @@ from .common import by_text_batches
 from .words import mix
 
 
+def bits_for(keys: DataFrame, most: int = 28) -> int:
+    """log2 of the bits that let few other keys pass: 64 to 128 for each key, at most 2**most (32 MB by default). Beyond
+    that more other keys pass, which costs time and loses nothing."""
+    return min(most, max(16, keys.count().bit_length() + 6))
+
+
 def filter_of(keys: DataFrame, bits: int) -> np.ndarray:
     """2**bits bits as int64 words, of the first column (long) of keys; nulls are left out."""
 
@@ -23,8 +29,8 @@ def filter_of(keys: DataFrame, bits: int) -> np.ndarray:
 
     by_text_batches(keys.sparkSession)
     out = np.zeros(1 << (bits - 6), np.int64)
-    for r in keys.mapInArrow(run, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bit")).toLocalIterator():
-        out[r["word"]] = r["bit"]
+    rows = keys.mapInArrow(run, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
+    out[rows.column("word").to_numpy()] = rows.column("bit").to_numpy()
     return out
 
 

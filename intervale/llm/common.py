@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
@@ -18,6 +18,8 @@ from ..shipping import ship
 SLICE_BYTES = 1 << 20
 #: The same for kernels that step through all texts of a slice together.
 STEPPED_BYTES = 2 << 20
+#: Short rows that one task takes at a time.
+TINY = 1 << 15
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,20 +27,52 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder of the session's spark.checkpoint.dir; only where that is unset (local runs), a new temporary folder."""
+    """The shared folder of the session's spark.checkpoint.dir. Only a session in one process may do without: it gets a
+    new temporary folder; executors elsewhere would not see that."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not where:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="intervale-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it again: cuts lineage, and a lost executor costs nothing."""
+def written(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it again: cuts lineage, and a lost executor costs nothing.
+
+    narrow: rows are short, so a table of at most TINY of them comes back as one partition; joins and groupings among
+    such tables then need no exchange. Rows are counted while they are written."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if narrow:
+        # Spark estimates a join by the product of its sides' sizes, and would deal out anew what is one small partition.
+        key, seen = "spark.sql.maxSinglePartitionBytes", Observation()
+        before = spark.conf.get(key)
+        spark.conf.set(key, str((1 << 63) - 1))
+        try:
+            df.observe(seen, F.count(F.lit(1)).alias("n")).write.option("compression", "zstd").parquet(path)
+        finally:
+            spark.conf.set(key, before)
+    else:
+        df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    tiny = narrow and seen.get["n"] <= TINY
+    out = out.coalesce(1) if tiny else out
+    out.written_path, out.tiny = path, tiny
+    return out
+
+
+def of_tiny(df: DataFrame, *tables: DataFrame) -> DataFrame:
+    """df, a join of the tables, in one partition if they all are tables that `written` gave back as one."""
+    return df.coalesce(1) if all(getattr(x, "tiny", False) for x in tables) else df
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of `written` that nothing will read again; Spark's own file system reaches the shared folder."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fresh(df: DataFrame, name: str) -> str:
