@@ -275,6 +275,78 @@ def risk_score(f: DataFrame) -> DataFrame:
     return f.withColumn("score", total.cast("long")).withColumn("reasons", F.array_compact(F.array(*[F.when(when, F.lit(reason)) for _, when, reason in rules])))
 
 
+def audio_features(windows: DataFrame, turns: DataFrame, pieces: DataFrame, silences: DataFrame) -> DataFrame:
+    """Features of windows from what models heard in them, one row for each of windows (file_id, window_idx, win_start,
+    win_end).
+
+    turns: file_id, window_idx, turn_idx, start_ms, end_ms, speaker (local clusters); pieces: file_id, window_idx, seg_idx,
+    role (dominant, minority or another), to_dominant, to_minority (cosines with the two centroids; null: unknown) and
+    embedding; silences: file_id, start_ms, end_ms. A piece disagrees where the other centroid is nearer by more than
+    0.05, surely by more than 0.10; neighbours of one role more than 0.4 apart count as far.
+    """
+    from ..functions.text import cosine
+    from .intervals import window_overlaps
+
+    key = ["file_id", "window_idx"]
+    dur = F.greatest(F.col("end_ms") - F.col("start_ms"), F.lit(0))
+    prev = F.lag("speaker").over(Window.partitionBy(*key).orderBy("start_ms", "turn_idx"))
+    t = turns.select(*key, "speaker", dur.alias("dur"), F.coalesce((prev != F.col("speaker")).cast("int"), F.lit(0)).alias("switch"))
+    local = t.groupBy(*key).agg(F.count(F.lit(1)).alias("local_turns"), F.sum("switch").alias("local_switches"), F.sum("dur").alias("speech_ms"), F.min("dur").alias("least_turn_ms"), F.max("dur").alias("most_turn_ms"))
+    by = t.groupBy(*key, "speaker").agg(F.sum("dur").alias("d")).groupBy(*key).agg(F.count(F.lit(1)).alias("local_speakers"), F.min("d").alias("_least"))
+    order = Window.partitionBy(*key).orderBy("seg_idx")
+    margin = F.col("to_dominant") - F.col("to_minority")
+    away = F.when(F.lag("embedding").over(order).isNotNull() & F.col("embedding").isNotNull(), 1 - cosine(F.lag("embedding").over(order), F.col("embedding")))
+    dominant, minority = F.col("role") == "dominant", F.col("role") == "minority"
+    yes = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    p = pieces.select(*key, "role", "to_dominant", "to_minority", margin.alias("m"), away.alias("away"), (F.lag("role").over(order) == F.col("role")).alias("same"))
+    heard = p.groupBy(*key).agg(
+        yes((dominant & (F.col("m") < -0.05)) | (minority & (F.col("m") > 0.05))).alias("disagreements"), yes(dominant & (F.col("m") < -0.10)).alias("sure_minority"), yes(minority & (F.col("m") > 0.10)).alias("sure_dominant"),
+        F.round(F.min(F.when(dominant, F.col("to_dominant"))), 4).alias("dominant_least"), F.round(F.min(F.when(minority, F.col("to_minority"))), 4).alias("minority_least"),
+        F.round(F.greatest(F.coalesce(F.max("away"), F.lit(0.0)), F.lit(0.0)), 4).alias("most_away"), yes(F.col("same") & (F.col("away") > 0.4)).alias("far_pairs"),
+    )
+    quiet = window_overlaps(windows, silences).select(*key, F.col("n").alias("silences"), F.col("overlap_ms").alias("silence_ms"))
+    j = windows.join(local, key, "left").join(by, key, "left").join(heard, key, "left").join(quiet, key, "left")
+    share = F.when((F.col("local_speakers") >= 2) & (F.col("speech_ms") > 0), F.round(F.col("_least") / F.col("speech_ms"), 3)).otherwise(F.lit(0.0))
+    zero = ["local_turns", "local_switches", "local_speakers", "least_turn_ms", "most_turn_ms", "disagreements", "sure_minority", "sure_dominant", "most_away", "far_pairs", "silences", "silence_ms"]
+    length = F.greatest(F.col("win_end") - F.col("win_start"), F.lit(1))
+    return j.select(*key, F.round(F.coalesce("speech_ms", F.lit(0)) / length, 3).alias("speech_share"), share.alias("minority_share"), "dominant_least", "minority_least", *zero).fillna(0, zero)
+
+
+def risk_score_audio(f: DataFrame) -> DataFrame:
+    """score in hundredths and reasons from window_features and audio_features together (and mixed_hints): disagreement
+    of centroids, far neighbours of one label and surplus switches weigh most, what the text alone says less."""
+    c = F.col
+    upto = lambda name, points, most: F.least(c(name), F.lit(most)) * points
+    surplus = c("local_switches") - c("switches")
+    single, two = c("speakers") <= 1, c("local_speakers") >= 2
+    strict = single & two & (c("minority_share") >= 0.25) & (c("silence_ms") < 6000)
+    rules: list[tuple[Column, Column, str]] = [
+        (upto("sure_minority", 400, 3), c("sure_minority") >= 1, "confident_minority_audio_in_dominant_label"),
+        (upto("sure_dominant", 400, 3), c("sure_dominant") >= 1, "confident_dominant_audio_in_minority_label"),
+        (upto("disagreements", 100, 3), (c("disagreements") >= 1) & (c("sure_minority") + c("sure_dominant") == 0), "soft_label_audio_disagreement"),
+        (upto("far_pairs", 300, 3), c("far_pairs") >= 1, "same_label_adjacent_far_embeddings"),
+        (F.lit(300), surplus >= 3, "local_switches_far_exceed_hyp"),
+        (F.lit(150), surplus == 2, "local_switches_exceed_hyp"),
+        (F.lit(200), c("dominant_least") < 0.40, "dominant_self_cos_below_0.40"),
+        (F.lit(100), (c("dominant_least") >= 0.40) & (c("dominant_least") < 0.55), "dominant_self_cos_below_0.55"),
+        (F.lit(300), strict, "single_hyp_but_audio_two_speakers_strict"),
+        (F.lit(100), ~strict & single & two & (c("minority_share") >= 0.15), "single_hyp_but_audio_two_speakers"),
+        (F.lit(150), c("single_qa"), "single_speaker_with_question_and_answer_cues"),
+        (upto("qa_mixed", 150, 2), c("qa_mixed") > 0, "same_segment_question_answer_cues"),
+        (upto("mixed_hints", 100, 3), c("mixed_hints") > 0, "mixed_or_confidence_debug"),
+        (upto("tight", 75, 4), c("tight") > 0, "tight_speaker_boundaries"),
+        (upto("very_short", 50, 4), c("very_short") > 0, "very_short_turns"),
+        (F.lit(150), c("aba"), "aba_short_turn"),
+        (c("long_cross") * 100, c("long_cross") > 0, "long_segment_crosses_window_boundary"),
+        (upto("odd_rate", 50, 3), c("odd_rate") > 0, "abnormal_chars_per_second"),
+        (F.lit(30), (c("question_cues") > 0) & (c("answer_cues") > 0) & (c("speakers") <= 2), "question_answer_cues_in_window"),
+        (F.lit(50), (c("silence_ms") < 500) & two & (c("speakers") >= 2), "very_low_silence_with_two_speakers_both_in_hyp"),
+    ]
+    known = [(points, F.coalesce(when, F.lit(False)), reason) for points, when, reason in rules]
+    total = sum((F.when(when, points).otherwise(F.lit(0)) for points, when, _ in known), F.lit(0))
+    return f.withColumn("score", total.cast("long")).withColumn("reasons", F.array_compact(F.array(*[F.when(when, F.lit(reason)) for _, when, reason in known])))
+
+
 def top_risks(scored: DataFrame, k: int, least: int = 1) -> DataFrame:
     """The k windows with most risk (a tie: the first)."""
     return scored.where(F.col("score") >= least).orderBy(F.desc("score"), "file_id", "window_idx").limit(k)
@@ -323,6 +395,36 @@ def timing_report(stages: DataFrame) -> DataFrame:
     return stages.groupBy("tag", "stage").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(s), 3).alias("total"), F.round(F.avg(s), 3).alias("mean"), F.min(s).alias("least"), F.max(s).alias("most"), F.round(F.coalesce(F.stddev_samp(s), F.lit(0.0)), 3).alias("stdev"))
 
 
+#: The switch sets that an ablation goes through: name, cluster merge, short-segment guard, silence alignment.
+SWITCHES = (("default", True, True, True), ("no_cluster_merge", False, True, True), ("no_short_guard", True, False, True), ("no_silence_align", True, True, False), ("all_off", False, False, False))
+
+
+def ablation(segments: DataFrame, merged: DataFrame, silences: DataFrame, truth: DataFrame, switches: tuple = SWITCHES) -> DataFrame:
+    """One result of recognition and diarization after-treated under each switch set, held against the truth: config,
+    file_id, n_speakers, n_segments, speech_ms, delta (speakers found less expected) and verdict (OK, over, under).
+
+    segments: file_id, seg_idx, start_ms, end_ms, speaker, text; merged: file_id, speaker, merged_into; silences: file_id,
+    start_ms, end_ms; truth: file_id, expected.
+    """
+    from .folds import per_file, short_guard
+    from .intervals import snap_segments
+
+    to = merged.select("file_id", "speaker", F.col("merged_into").alias("_to"))
+    out = None
+    for name, merge, guard, align in switches:
+        s = segments
+        if merge:
+            s = s.join(to, ["file_id", "speaker"], "left").withColumn("speaker", F.coalesce("_to", "speaker")).select(*segments.columns)
+        s = per_file(s, short_guard) if guard else s
+        if align:
+            at = snap_segments(s, silences)
+            s = s.drop("start_ms", "end_ms").join(at.withColumnsRenamed({"new_start": "start_ms", "new_end": "end_ms"}), ["file_id", "seg_idx"])
+        part = s.groupBy("file_id").agg(F.count_distinct("speaker").alias("n_speakers"), F.count(F.lit(1)).alias("n_segments"), F.sum(F.col("end_ms") - F.col("start_ms")).alias("speech_ms")).withColumn("config", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    delta = F.col("n_speakers") - F.col("expected")
+    return out.join(truth, "file_id").select("config", "file_id", "n_speakers", "n_segments", "speech_ms", delta.alias("delta"), F.when(delta == 0, "OK").when(delta > 0, "over").otherwise("under").alias("verdict"))
+
+
 def _spread(seconds: Column) -> list[Column]:
     return [F.round(F.avg(seconds), 3).alias("mean"), F.min(seconds).alias("least"), F.max(seconds).alias("most"), F.round(F.coalesce(F.stddev_samp(seconds), F.lit(0.0)), 3).alias("stdev")]
 

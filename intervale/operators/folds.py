@@ -32,9 +32,12 @@ def filler(text: str) -> bool:
     return not text or text.strip() in BACKCHANNELS or bool(_PURE.match(text))
 
 
-def absorb_tiny(segments: Iterable[Segment], least_ms: int) -> list[Segment]:
+def absorb_tiny(segments: Iterable[Segment], least_ms: int, joined: dict[str, int] | None = None) -> list[Segment]:
     """Segments shorter than least_ms that have text join the neighbour with the smaller gap (a tie: the one before, as
-    it stands after earlier joins). What a join with the one after makes is not tested again."""
+    it stands after earlier joins). What a join with the one after makes is not tested again. joined: gets the numbers of
+    joins with the one before (into_prev) and after (into_next)."""
+    joined = {} if joined is None else joined
+    joined |= {"into_prev": 0, "into_next": 0}
     todo = [dict(s) for s in segments]
     done: list[Segment] = []
     k = 0
@@ -50,7 +53,9 @@ def absorb_tiny(segments: Iterable[Segment], least_ms: int) -> list[Segment]:
         if backwards:
             before["text"] = (before["text"] or "") + now["text"]
             before["end_ms"] = max(before["end_ms"], now["end_ms"])
+            joined["into_prev"] += 1
         elif after is not None:
+            joined["into_next"] += 1
             done.append(after | {"text": now["text"] + (after["text"] or ""), "start_ms": min(now["start_ms"], after["start_ms"])})
             k += 1
         else:
@@ -89,6 +94,26 @@ def short_guard(segments: Iterable[Segment], least_ms: int = 1500, most_mid_ms:
     return join_same(smooth_aba(absorb_tiny(segments, least_ms), most_mid_ms), gap_ms)
 
 
+def guard_counts(segments: Iterable[Segment], least_ms: int = 1500, most_mid_ms: int = 1500, gap_ms: int = 50) -> dict[str, int]:
+    """What short_guard does: tiny segments joined with the one before or after, speakers smoothed, neighbours merged."""
+    counts: dict[str, int] = {}
+    whole = absorb_tiny(segments, least_ms, counts)
+    smooth = smooth_aba(whole, most_mid_ms)
+    changed = sum(a["speaker"] != b["speaker"] for a, b in zip(whole, smooth, strict=True))
+    return counts | {"smoothed": changed, "merged": len(smooth) - len(join_same(smooth, gap_ms))}
+
+
+def guard_stats(segments: DataFrame, **limits: int) -> DataFrame:
+    """guard_counts of each file."""
+    names = ("into_prev", "into_next", "smoothed", "merged")
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        found = guard_counts(rows.sort_values("seg_idx")[["start_ms", "end_ms", "speaker", "text"]].to_dict("records"), **limits)
+        return pd.DataFrame([(key[0], *(found[c] for c in names))], columns=["file_id", *names])
+
+    return shipped(segments).select("file_id", "seg_idx", "start_ms", "end_ms", "speaker", "text").groupBy("file_id").applyInPandas(run, "file_id long, " + ", ".join(f"{c} long" for c in names))
+
+
 def smooth_roles(segments: Iterable[Segment], guard: bool = False, most_question_ms: int = 10_000, most_answer_ms: int = 12_000) -> list[Segment]:
     """Two speakers: the one with more text answers, the other asks; short segments whose cues say otherwise change
     sides. With the guard an answer needs an answering neighbour, the one before as already rewritten."""

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ..operators import cache as ca
 from ..operators import clusters as cl
 from ..operators import evaluation as ev
+from ..operators import folds as fo
 from ..operators import intervals as iv
 from ..sources.substrate import derived
-from .fold_queries import _CENTROID
+from .fold_queries import _CENTROID, spoken
 from .registry import query, with_tables
 from .service_queries import _REQ, requests
 
@@ -167,3 +168,48 @@ def hits(spark: SparkSession, d: str) -> DataFrame:
     row_projected = F.when(k % 10 < 7, k % 10 < 4)
     h = requests(spark, d).select("doc_id", ca.hit_metadata(F.col("engine"), F.col("wa"), F.col("lang"), F.col("diarize"), F.col("fmt"), row_format, row_projected).alias("h"))
     return h.select("doc_id", "h.usable", "h.projected", *[F.col(f"h.metadata.{c}").alias(c) for c in ("engine", "diarize", "word_align", "language")])
+
+
+@query("wn8_guard_stats")
+def guard_stats(spark: SparkSession, d: str) -> DataFrame:
+    return fo.guard_stats(spoken(spark, d))
+
+
+@query("ag25_ablation_switches")
+def ablation_switches(spark: SparkSession, d: str) -> DataFrame:
+    s = spoken(spark, d)
+    merged = s.select("file_id", "speaker").distinct().where("speaker = 2").select("file_id", "speaker", F.lit(0).cast("long").alias("merged_into"))
+    truth = s.select("file_id").distinct().select("file_id", (F.col("file_id") % 3 + 1).alias("expected"))
+    return ev.ablation(s, merged, derived(spark, d, "silences"), truth)
+
+
+def review_windows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Windows of 10 s, local turns in them, vectors as pieces with roles, and silences."""
+    k = F.col("seg_idx")
+    w = F.floor(F.col("start_ms") / 10_000).alias("window_idx")
+    turns = derived(spark, d, "turns").select("file_id", w, "turn_idx", "start_ms", "end_ms", "speaker")
+    windows = turns.select("file_id", "window_idx").distinct().select("file_id", "window_idx", (F.col("window_idx") * 10_000).alias("win_start"), ((F.col("window_idx") + 1) * 10_000).alias("win_end"))
+    v = derived(spark, d, "vectors").select((F.col("file_id") + 1).alias("file_id"), (k % 4).alias("window_idx"), "seg_idx", F.expr("case seg_idx div 60 % 3 when 0 then 'minority' when 1 then 'dominant' else 'other' end").alias("role"), (k % 101 / 100).alias("to_dominant"), F.when(k % 10 > 0, k % 97 / 100).alias("to_minority"), "embedding")
+    return windows, turns, v, derived(spark, d, "silences")
+
+
+@query("ag18_audio_features")
+def audio(spark: SparkSession, d: str) -> DataFrame:
+    return ev.audio_features(*review_windows(spark, d))
+
+
+_N = ("sure_minority", "sure_dominant", "disagreements", "far_pairs", "local_switches", "switches", "speakers", "local_speakers", "qa_mixed", "mixed_hints", "tight", "very_short", "long_cross", "odd_rate", "question_cues", "answer_cues")
+_FEATURES_OF = ", ".join(f"event_id // {k + 1} % {k % 4 + 2} as {n}" for k, n in enumerate(_N))
+
+
+@query("ag19_risk_score_audio", f"""with f as (select event_id as window_idx, {_FEATURES_OF}, case when event_id % 4 > 0 then event_id % 71 / 100.0::double end as dominant_least, event_id % 37 / 100.0::double as minority_share, event_id * 13 % 9000 as silence_ms, event_id % 6 = 0 as single_qa, event_id % 7 = 0 as aba from events),
+s as (select *, speakers <= 1 and local_speakers >= 2 and minority_share >= 0.25 and silence_ms < 6000 as strict from f)
+select window_idx, (least(sure_minority, 3) * 400 + least(sure_dominant, 3) * 400 + case when sure_minority + sure_dominant = 0 then least(disagreements, 3) * 100 else 0 end + least(far_pairs, 3) * 300
+ + case when local_switches - switches >= 3 then 300 when local_switches - switches = 2 then 150 else 0 end + case when dominant_least < 0.40 then 200 when dominant_least < 0.55 then 100 else 0 end
+ + case when strict then 300 when speakers <= 1 and local_speakers >= 2 and minority_share >= 0.15 then 100 else 0 end + case when single_qa then 150 else 0 end + least(qa_mixed, 2) * 150 + least(mixed_hints, 3) * 100 + least(tight, 4) * 75 + least(very_short, 4) * 50
+ + case when aba then 150 else 0 end + long_cross * 100 + least(odd_rate, 3) * 50 + case when question_cues > 0 and answer_cues > 0 and speakers <= 2 then 30 else 0 end + case when silence_ms < 500 and local_speakers >= 2 and speakers >= 2 then 50 else 0 end)::bigint as score from s""")
+def risk_audio(spark: SparkSession, d: str) -> DataFrame:
+    e = F.col("event_id")
+    counts = [F.expr(f"event_id div {k + 1} % {k % 4 + 2}").alias(n) for k, n in enumerate(_N)]
+    f = spark.read.parquet(f"{d}/events.parquet").select(e.alias("window_idx"), *counts, F.when(e % 4 > 0, e % 71 / 100).alias("dominant_least"), (e % 37 / 100).alias("minority_share"), (e * 13 % 9000).alias("silence_ms"), (e % 6 == 0).alias("single_qa"), (e % 7 == 0).alias("aba"))
+    return ev.risk_score_audio(f).select("window_idx", "score")

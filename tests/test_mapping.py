@@ -163,3 +163,69 @@ def test_queries_do_something(spark, name):
     rows = catalog.queries()[name](spark, "/root/testdata/sf0.01").toPandas()
     column = {"jn6_map_by_overlap": "label", "jn7_map_by_centroid": "label", "jn16_match_speakers": "r", "ds4_classify_chunks": "label", "st2_admission": "admitted", "jn12_minor_to_main": "main", "ag10_best_mapping": "mapped"}[name]
     assert rows[column].nunique() > 1
+
+
+def test_guard_counts_add_up():
+    from intervale.operators import folds as fo
+
+    r = random.Random(5)
+    seen = {}
+    for _ in range(200):
+        rows, at = [], 0
+        for _ in range(r.randrange(12)):
+            at += r.randrange(300)
+            rows.append({"start_ms": at, "end_ms": (at := at + r.choice([300, 900, 2000])), "speaker": r.randrange(2), "text": r.choice(["对", "yes well", "a much longer text than that", ""])})
+        n = fo.guard_counts(rows)
+        assert len(fo.short_guard(rows)) == len(rows) - n["into_prev"] - n["into_next"] - n["merged"]
+        seen = {k: seen.get(k, 0) + v for k, v in n.items()}
+    assert all(seen.values())
+
+
+def test_ablation_against_its_steps(spark):
+    from intervale.operators import folds as fo
+    from intervale.plans.fold_queries import spoken
+
+    rows = {(x["config"], x["file_id"]): x for x in catalog.queries()["ag25_ablation_switches"](spark, SMALL).collect()}
+    files: dict = {}
+    for x in spoken(spark, SMALL).orderBy("file_id", "seg_idx").collect():
+        files.setdefault(x["file_id"], []).append({"start_ms": x["start_ms"], "end_ms": x["end_ms"], "speaker": x["speaker"], "text": x["text"]})
+    assert len(rows) == 5 * len(files)
+    for f, segments in files.items():
+        for name, merge, guard, align in ev.SWITCHES:
+            s = [x | {"speaker": 0 if merge and x["speaker"] == 2 else x["speaker"]} for x in segments]
+            s = fo.short_guard(s) if guard else s
+            got, n = rows[name, f], len({x["speaker"] for x in s})
+            assert (got["n_speakers"], got["n_segments"]) == (n, len(s)) and got["delta"] == n - (f % 3 + 1) and got["verdict"] == ("OK" if got["delta"] == 0 else "over" if got["delta"] > 0 else "under")
+            if not align:
+                assert got["speech_ms"] == sum(x["end_ms"] - x["start_ms"] for x in s)
+    assert len({(x["n_segments"], x["n_speakers"]) for x in rows.values()}) > 2
+
+
+def test_audio_features_against_loops(spark):
+    from intervale.plans.mapping_queries import review_windows
+
+    windows, turns, pieces, silences = (x.collect() for x in review_windows(spark, SMALL))
+    got = {(x["file_id"], x["window_idx"]): x for x in ev.audio_features(*review_windows(spark, SMALL)).collect()}
+    assert len(got) == len(windows)
+    cos = lambda a, b: float(np.dot(a, b) / (np.linalg.norm(a) * np.linalg.norm(b)))
+    far = 0
+    for w in windows:
+        key = (w["file_id"], w["window_idx"])
+        row = got[key]
+        t = sorted((x for x in turns if (x["file_id"], x["window_idx"]) == key), key=lambda x: (x["start_ms"], x["turn_idx"]))
+        p = sorted((x for x in pieces if (x["file_id"], x["window_idx"]) == key), key=lambda x: x["seg_idx"])
+        by: dict = {}
+        for x in t:
+            by[x["speaker"]] = by.get(x["speaker"], 0) + x["end_ms"] - x["start_ms"]
+        speech = sum(by.values())
+        assert (row["local_turns"], row["local_speakers"], row["local_switches"]) == (len(t), len(by), sum(a["speaker"] != b["speaker"] for a, b in zip(t, t[1:])))
+        assert row["minority_share"] == pytest.approx(min(by.values()) / speech if len(by) > 1 else 0, abs=6e-4) and row["speech_share"] == pytest.approx(speech / 10_000, abs=6e-4)
+        m = [(x["role"], x["to_dominant"] - x["to_minority"]) for x in p if x["to_minority"] is not None]
+        assert row["sure_minority"] == sum(r == "dominant" and d < -0.10 for r, d in m) and row["sure_dominant"] == sum(r == "minority" and d > 0.10 for r, d in m)
+        assert row["disagreements"] == sum((r == "dominant" and d < -0.05) or (r == "minority" and d > 0.05) for r, d in m)
+        away = [(1 - cos(a["embedding"], b["embedding"]), a["role"] == b["role"]) for a, b in zip(p, p[1:])]
+        assert row["most_away"] == pytest.approx(max((a for a, _ in away), default=0), abs=1e-4) and row["far_pairs"] == sum(a > 0.4 and s for a, s in away)
+        far += row["far_pairs"]
+        over = [min(x["end_ms"], w["win_end"]) - max(x["start_ms"], w["win_start"]) for x in silences if x["file_id"] == w["file_id"]]
+        assert (row["silences"], row["silence_ms"]) == (sum(x > 0 for x in over), sum(x for x in over if x > 0))
+    assert far
