@@ -153,6 +153,12 @@ def merge_log(spark: SparkSession, d: str) -> DataFrame:
     return cl.merge_log(derived(spark, d, "vectors"), least_share=0.05, minor_at=0.3, main_at=0.5)
 
 
+@query("cl3_merge_without_folds")
+def merge_without_folds(spark: SparkSession, d: str) -> DataFrame:
+    """The variant that never folds minor speakers into a dominant one: no similarity reaches its threshold."""
+    return cl.merge_clusters(derived(spark, d, "vectors"), least_share=0.05, minor_at=0.3, main_at=0.5, dominant_minor_at=2.0)
+
+
 @query("cl2_complete_linkage")
 def linkage(spark: SparkSession, d: str) -> DataFrame:
     return cl.cluster_vectors(derived(spark, d, "vectors"), 0.9)
