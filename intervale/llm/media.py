@@ -1,7 +1,8 @@
 """Media columns: Netpbm and BMP bytes to numpy arrays, area-resized by integral images, NPY tiles, difference hashes.
 
 Images are uint8 arrays of shape (height, width) or (height, width, 3). Defined results: null or undecodable bytes
-give no image (None); an image of any size resizes; equal bytes give equal hashes.
+give no image (None), and so do samples that are no numbers or lie outside their range; an image of any size resizes;
+equal bytes give equal hashes.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_slices, table, text_of
+from .common import by_text_batches, map_slices, table, text_of
 
 #: Bytes in a row of the stored payload images; payloads are multiples of it.
 ROW = 64
@@ -46,12 +47,14 @@ def decode_netpbm(data: bytes) -> np.ndarray:
     if width < 1 or height < 1 or not 1 <= most <= 65535:
         raise ValueError("bad Netpbm header")
     shape = (height, width, 3) if kind in (b"P3", b"P6") else (height, width)
-    count = int(np.prod(shape))
+    count = width * height * (3 if kind in (b"P3", b"P6") else 1)
     if kind == b"P1":
-        plain = re.sub(rb"#[^\n\r]*|\s", b"", data[at:])
-        values = (1 - (np.frombuffer(plain, np.uint8)[:count].astype(np.int64) - 48)) * 255
+        plain = np.frombuffer(re.sub(rb"#[^\n\r]*|\s", b"", data[at:]), np.uint8)[:count].astype(np.int64) - 48
+        if ((plain != 0) & (plain != 1)).any():
+            raise ValueError("bad bitmap")
+        values = (1 - plain) * 255
     elif kind in (b"P2", b"P3"):
-        values = np.array(re.sub(rb"#[^\n\r]*", b" ", data[at:]).split()[:count], np.int64)
+        values = np.array([int(x) for x in re.sub(rb"#[^\n\r]*", b" ", data[at:]).split()[:count]], np.int64)
     elif kind == b"P4":
         stride = (width + 7) // 8
         bits = np.unpackbits(np.frombuffer(data, np.uint8, stride * height, at + 1).reshape(height, stride), axis=1)
@@ -63,6 +66,8 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         values = raw.astype(np.int64)
     if len(values) != count:
         raise ValueError("short Netpbm data")
+    if kind not in (b"P1", b"P4") and ((values < 0) | (values > most)).any():
+        raise ValueError("sample out of range")
     if kind not in (b"P1", b"P4") and most != 255:
         values = values * 255 // most
     return values.astype(np.uint8).reshape(shape)
@@ -115,7 +120,7 @@ def decode(data: bytes | None) -> np.ndarray | None:
         return None
     try:
         return decode_bmp(data) if data[:2] == b"BM" else decode_netpbm(data)
-    except (ValueError, struct.error, IndexError):
+    except (ValueError, struct.error, IndexError, OverflowError, MemoryError):
         return None
 
 
@@ -160,23 +165,35 @@ def difference_hash(image: np.ndarray) -> str:
     return np.packbits(small[:, :-1] < small[:, 1:]).tobytes().hex()
 
 
-def media_features(df: DataFrame, column: str = "media", key: str = "doc_id", side: int = 32, tile: int = 16) -> DataFrame:
+_TILES = pa.list_(pa.struct([("row", pa.int32()), ("column", pa.int32()), ("npy", pa.binary())]))
+SIDE, TILE = 32, 16
+
+
+def described(image: np.ndarray | None, side: int = SIDE, tile: int = TILE) -> tuple[list[dict] | None, str | None]:
+    """The NPY tiles of the image resized to side x side, and its difference hash."""
+    if image is None:
+        return None, None
+    return [{"row": y, "column": x, "npy": b} for y, x, b in tiles(area_resize(image, side, side), tile)], difference_hash(image)
+
+
+def media_features(df: DataFrame, column: str = "media", key: str = "doc_id", side: int = SIDE, tile: int = TILE) -> DataFrame:
     """For each row: key, height, width, tiles (array of row, column, npy) of the image resized to side x side, dhash.
 
     Null or undecodable media give nulls; rows are never dropped; other columns are left out.
     """
     schema = df.select(key).schema.simpleString()[7:-1] + ", height int, width int, tiles array<struct<row:int,column:int,npy:binary>>, dhash string"
-    kind = pa.list_(pa.struct([("row", pa.int32()), ("column", pa.int32()), ("npy", pa.binary())]))
 
     def work(batches):
         for batch in batches:
-            images = [decode(x.as_py()) for x in batch.column(1)]
-            cut = [None if x is None else [{"row": y, "column": z, "npy": b} for y, z, b in tiles(area_resize(x, side, side), tile)] for x in images]
-            yield pa.record_batch(
-                [batch.column(0), pa.array([None if x is None else x.shape[0] for x in images], pa.int32()), pa.array([None if x is None else x.shape[1] for x in images], pa.int32()), pa.array(cut, kind), pa.array([None if x is None else difference_hash(x) for x in images], pa.string())],
-                names=[key, "height", "width", "tiles", "dhash"],
-            )
-
+            rows = []
+            for x in batch.column(1):  # one image at a time: what a batch holds is bounded by Spark, by rows and bytes
+                image = decode(x.as_py())
+                rows.append((*((None, None) if image is None else image.shape[:2]), *described(image, side, tile)))
+            columns = zip(*rows, strict=True) if rows else ((),) * 4
+            kinds = (pa.int32(), pa.int32(), _TILES, pa.string())
+            yield pa.record_batch([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=[key, "height", "width", "tiles", "dhash"])
+
+    by_text_batches(df.sparkSession)
     return df.select(key, F.col(column).cast("binary").alias("media")).mapInArrow(work, schema)
 
 
@@ -185,28 +202,34 @@ def payload_of(raw: bytes) -> bytes:
     return raw + bytes((-len(raw)) % ROW or (0 if raw else ROW))
 
 
+def stored_form(payload: bytes) -> bytes:
+    """The payload as a grey image ROW pixels wide: Netpbm, or BMP where its number of rows is odd."""
+    image = np.frombuffer(payload, np.uint8).reshape(-1, ROW)
+    return encode_bmp(image) if len(image) % 2 else encode_pgm(image)
+
+
 def media_digest(df: DataFrame) -> DataFrame:
-    """Store each text's padded bytes as a grey Netpbm image, read the stored bytes back, describe both.
+    """Store each text's padded bytes as a grey image (stored_form), read the stored bytes back, describe both: digests,
+    the image's difference hash as feature, and its NPY tiles.
 
     A null text counts as empty; rows are never dropped; repeated rows give repeated results.
     """
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile_npy binary"
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tiles array<struct<row:int,column:int,npy:binary>>"
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def work(part: pa.RecordBatch) -> pa.RecordBatch:
         out = []
-        for text in text_of(batch.column(1)).cast(pa.large_binary()):
+        for text in text_of(part.column(1)).cast(pa.large_binary()):
             raw = text.as_py()
-            padded = payload_of(raw)
-            media = encode_pgm(np.frombuffer(padded, np.uint8).reshape(-1, ROW))
-            image = decode_netpbm(media)
+            media = stored_form(payload_of(raw))
+            image = decode(media)
             back = image.tobytes()
-            tile = area_resize(image, 8, 9)
-            out.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-ROW:]), len(media), hashlib.sha256(media).hexdigest(), np.packbits(tile[:, :-1] < tile[:, 1:]).tobytes().hex(), npy_bytes(tile)))
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary())
-        return pa.record_batch([batch.column(0), *(pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True))], names=[x.split()[0] for x in schema.split(", ")])
+            cut, feature = described(image)
+            out.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-ROW:]), len(media), hashlib.sha256(media).hexdigest(), feature, cut))
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), _TILES)
+        return pa.record_batch([part.column(0), *(pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True))], names=[x.split()[0] for x in schema.split(", ")])
 
     return map_slices(df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), work, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_digest(table(spark, sf_dir, "documents")).drop("tile_npy")
+    return media_digest(table(spark, sf_dir, "documents"))
