@@ -4,7 +4,8 @@ A token's features are its lower-cased word and prefixes of it, hashed. Labels o
 documents: a feature is telling if, at equal numbers of both kinds, it occurs almost only in toxic documents of the
 sample, and so often that chance does not explain it (a log-likelihood ratio); tokens with a telling feature in toxic documents are labelled toxic. The field is fitted on
 these by its exact gradient; forward-backward over whole documents gives each token's marginal. A logistic function of
-the largest marginal and the log of their sum is the document's score.
+the largest marginal and the log of their sum, fitted on other documents of the sample than the field and set to the
+share of toxic documents among all labelled ones, is the document's score.
 
 Everything is fitted on a sample of labelled documents, about SAMPLE_DOCS toxic ones and as many others, chosen by a
 hash of the id, with held-out rows left out. Nothing but the text is an input of a score.
@@ -25,10 +26,13 @@ from .words import Words, mix, words_of
 
 FOLDS, HELD_OUT = 5, 0
 SAMPLE_DOCS = 800
-WEIGHT_BITS = 18
+#: log2 of the buckets of features: so many that words of long texts hardly ever share one with a telling word.
+WEIGHT_BITS = 22
 PREFIXES = (4, 5, 6, 7, 8)
 LEAST_RATIO, LEAST_SHARE = 24.0, 0.9
 EPOCHS, RATE = 30, 0.5
+#: Each so-many-th document of the sample fits the layer that scores documents.
+DOCUMENT_FOLD = 4
 _OTHER = np.zeros(256, bool)
 _OTHER[[c for c in range(128) if not chr(c).isalnum()]] = True
 
@@ -95,12 +99,37 @@ class Model:
         return np.stack([np.ones(n), most, np.log1p(np.bincount(words.text, seen, n))], 1)
 
 
-def fit(texts: list[str], toxic: np.ndarray) -> Model:
+def fit(texts: list[str], toxic: np.ndarray, share: float | None = None) -> Model:
+    """The model, from documents and whether each is toxic. Of each kind every DOCUMENT_FOLD-th document (all, where that
+    leaves none) fits the layer of documents, the others the field: on its own documents the field is too sure. share:
+    that of toxic documents among all, if the ones given are chosen by kind; the scores are probabilities under it."""
+    turn = np.zeros(len(toxic), np.int64)
+    for kind in (0, 1):
+        turn[toxic == kind] = np.arange((toxic == kind).sum()) % DOCUMENT_FOLD
+    own = turn == DOCUMENT_FOLD - 1
+    if len(set(toxic[own].tolist())) < 2:
+        own[:] = True
+    rest = ~own if not own.all() else own
+    model = fit_field([t for t, k in zip(texts, rest, strict=True) if k], toxic[rest])
+    # A logistic function by Newton's method with a small penalty.
+    words = words_of(pa.array([t for t, k in zip(texts, own, strict=True) if k], pa.large_string()), True, _OTHER)
+    x, y, w = model.signals(model.marginals(words), words), toxic[own].astype(float), np.zeros(3)
+    for _ in range(30):
+        p = _sigmoid(x @ w)
+        w = w + np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(3), x.T @ (y - p) - 0.1 * w)
+    if share is not None and 0 < share < 1:
+        w[0] += np.log(share / (1 - share)) - np.log(y.mean() / (1 - y.mean()))
+    model.document = w
+    return model
+
+
+def fit_field(texts: list[str], toxic: np.ndarray) -> Model:
     """The field, from documents and whether each is toxic."""
     words = words_of(pa.array(texts, pa.large_string()), True, _OTHER)
     _, at, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
-    features = token_features(words, at)
-    documents = np.zeros((2, 1 << WEIGHT_BITS))
+    known, features = np.unique(token_features(words, at), return_inverse=True)
+    features = features.reshape(len(at), -1)
+    documents = np.zeros((2, len(known)))
     for j in range(features.shape[1]):
         pairs = np.unique(words.text.astype(np.int64) << WEIGHT_BITS | features[which, j])
         kind = toxic[pairs >> WEIGHT_BITS].astype(np.int64)
@@ -115,8 +144,8 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
     steps = np.ones(len(label), bool)
     steps[cuts[:-1][cuts[:-1] < len(label)]] = False
     place = np.flatnonzero(steps)
-    weights, bias, moves = np.zeros(1 << WEIGHT_BITS), -3.0, np.zeros((2, 2))
-    grown = np.full(1 << WEIGHT_BITS, 1e-8)
+    weights, bias, moves = np.zeros(len(known)), -3.0, np.zeros((2, 2))
+    grown = np.full(len(known), 1e-8)
     seen = np.zeros((2, 2))
     np.add.at(seen, (label[place - 1].astype(int), label[place].astype(int)), 1)
     for _ in range(EPOCHS):
@@ -132,14 +161,9 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
         whole = np.logaddexp(np.logaddexp(moves[0, 0], moves[0, 1] + right), np.logaddexp(moves[1, 0] + left, moves[1, 1] + left + right))
         expected = np.array([[np.exp(moves[i, j] + i * left + j * right - whole).sum() for j in (0, 1)] for i in (0, 1)])
         moves = np.clip(moves + 2.0 * (seen - expected) / max(1, len(place)), -8, 8)
-    model = Model(weights, bias, moves)
-    # The document's score: a logistic function by Newton's method with a small penalty.
-    x, y, w = model.signals(model.marginals(words), words), toxic.astype(float), np.zeros(3)
-    for _ in range(30):
-        p = _sigmoid(x @ w)
-        w = w + np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(3), x.T @ (y - p) - 0.1 * w)
-    model.document = w
-    return model
+    whole = np.zeros(1 << WEIGHT_BITS, np.float32)
+    whole[known] = weights
+    return Model(whole, bias, moves)
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model | None:
@@ -156,7 +180,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
         return None
     order = sorted(range(len(texts)), key=lambda k: (texts[k]["text"], -toxic[k]))
     order = [k for i, k in enumerate(order) if not i or texts[k]["text"] != texts[order[i - 1]]["text"]]
-    return fit([texts[k]["text"] for k in order], toxic[order])
+    return fit([texts[k]["text"] for k in order], toxic[order], counts[1] / (counts[0] + counts[1]))
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -184,4 +208,4 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return score(docs, learn(docs, table(spark, sf_dir, "labels"))).drop("spans")
+    return score(docs, learn(docs, table(spark, sf_dir, "labels")))
