@@ -33,6 +33,8 @@ SWITCH = 25.0
 ENTRIES, FULL_SLICES = 1 << 22, 16
 #: Least share of a language's words for a script to belong to it.
 SCRIPT_SHARE = 0.01
+#: The score of a word in a language that its script rules out.
+FORBIDDEN = -1e5
 #: First code points of the ranges of scripts, and the script that begins there; 0: no letters of a known script.
 _RANGES = ((0, 0), (0x41, 1), (0x5B, 0), (0x61, 1), (0x7B, 0), (0xAA, 1), (0xAB, 0), (0xB5, 1), (0xB6, 0), (0xBA, 1), (0xBB, 0), (0xC0, 1), (0x250, 0), (0x370, 2), (0x400, 3), (0x530, 4), (0x590, 5), (0x600, 6), (0x700, 0), (0x900, 7), (0x980, 8), (0xA00, 9), (0xB80, 10), (0xC00, 0), (0xE00, 11), (0xE80, 0), (0x10A0, 12), (0x1100, 13), (0x1200, 0), (0x1E00, 1), (0x1F00, 2), (0x2000, 0), (0x3040, 14), (0x3100, 0), (0x3400, 15), (0xA000, 0), (0xAC00, 13), (0xD7B0, 0), (0xF900, 15), (0xFB00, 0), (0x20000, 15), (0x30000, 0))
 _FROM, _SCRIPT = (np.array(x, np.int64) for x in zip(*_RANGES, strict=True))
@@ -126,7 +128,7 @@ class Model:
             scores += np.bincount(np.repeat(owner[low:high], count) * k + self.label[entry], self.above[entry], scores.size).reshape(scores.shape)
             low = high
         scores -= scores.max(1, keepdims=True)  # of a word's scores only the differences matter
-        return np.where(self.allowed[scripts_of(words, at)], scores, scores.min() - 1e3 if len(at) else 0).astype(np.float32)[which]
+        return np.where(self.allowed[scripts_of(words, at)], scores, FORBIDDEN).astype(np.float32)[which]
 
 
 def viterbi(scores: np.ndarray, first: np.ndarray, switch: float) -> np.ndarray:
@@ -153,6 +155,7 @@ def viterbi(scores: np.ndarray, first: np.ndarray, switch: float) -> np.ndarray:
             best[:n] = np.where(stays, before, change) + scores[at]
         else:
             best[:n] = scores[at]
+        best[:n] -= best[:n].max(1, keepdims=True)  # sums stay small, so that long texts lose no digits
     out = np.empty(words, kind)
     state = best.argmax(1)
     for t in range(longest - 1, -1, -1):
@@ -230,4 +233,4 @@ def label_spans(docs: DataFrame, model: Model | None, switch: float = SWITCH) ->
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return label_spans(docs, learn(docs)).drop("spans")
+    return label_spans(docs, learn(docs))
