@@ -6,6 +6,7 @@ bytes of every bucket that still holds a boundary, 256 parts at a time, until ea
 or its bucket cannot be divided; the driver sees at most 256 sums a boundary. One exchange then places the rows.
 
 Law `bytes`: shards have near-equal sums of sizes. Every row gets a shard and a slot, gapless from 0 in each shard.
+Equal texts under different ids may go to different shards, as the id is part of the key.
 Null ids, null texts, repeated rows and an empty table are allowed.
 """
 
@@ -88,10 +89,11 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, tolerance: float = TO
     cuts = splitters(rows, shards, tolerance)
     starts = F.array(*[F.lit(x).cast("long") for x in cuts]) if cuts else F.array().cast("array<long>")
     placed = rows.withColumn("shard", F.aggregate(starts, F.lit(0), lambda n, x: n + (x <= F.col("_key")).cast("int")))
-    # Slots: rows before this fine bucket of the shard, and the place inside it. Buckets hold about SLOT_ROWS rows.
+    # Slots: rows before this bucket of the shard, and the place inside it. Buckets go by the salt, which is random by
+    # row, so they hold about SLOT_ROWS rows each, whatever ids and texts repeat.
     count = rows.count()
-    fine_bits = min(16, max(6, (max(1, count // SLOT_ROWS) - 1).bit_length()))
-    placed = placed.withColumn("_fine", F.shiftright("_key", 63 - fine_bits))
+    fine_bits = min(SALT_BITS, max(0, (count // (shards * SLOT_ROWS)).bit_length()))
+    placed = placed.withColumn("_fine", F.shiftright(F.col("_key").bitwiseAND((1 << SALT_BITS) - 1), SALT_BITS - fine_bits))
     counts = placed.groupBy("shard", "_fine").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy("shard").orderBy("_fine").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     inside = Window.partitionBy("shard", "_fine").orderBy("_key", "doc_id", "text_crc32", "size")
