@@ -2,8 +2,8 @@
 
 Scoring uses DataFrame functions only. The model is fitted on the driver from a small labelled URL table (at most
 MOST_LABELLED rows, a documented bound); its weights are an array of DIMENSIONS numbers. A null URL, or one without
-`://`, has an empty host and path, which no rule fits, and is judged by the model's intercept alone. Rows are never
-dropped or merged; other columns of the input are left out.
+`://`, has an empty host and path, which no rule fits; without a host the model's intercept alone judges, in training
+too. Rows are never dropped or merged; other columns of the input are left out.
 """
 
 from __future__ import annotations
@@ -25,20 +25,26 @@ MOST_LABELLED = 10_000
 THRESHOLD = 0.8
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Words of the built-in labelled table, and the paths that both classes share.
-_GOOD_WORDS = "weather nation theatre method thunder station thread garden health north earth other gathering library history science music travel recipe school museum forum market review photo cinema sport village kitchen journal".split()
+#: Words of the default labelled table, and the paths that both classes share.
+_GOOD_WORDS = """weather nation theatre method thunder station thread garden health north earth other gathering library history science
+music travel recipe school museum forum market review photo cinema sport village kitchen journal harbour mountain river island
+bakery bicycle painter teacher engineer carpenter orchard meadow winter summer autumn morning evening language grammar letter
+number algebra geometry physics chemistry biology medicine hospital dentist pharmacy lawyer notary council parliament election
+budget insurance railway airport ferry tunnel bridge castle cathedral orchestra concert festival gallery sculpture poetry novel
+theory archive catalogue dictionary atlas compass telescope satellite computer keyboard printer software compiler database server
+football tennis hockey swimming climbing sailing fishing chess puzzle toy furniture ceramic textile leather timber cement copper
+energy solar climate forest wildlife insect flower vegetable cheese butter coffee vineyard brewery restaurant hotel camping""".split()
 _BAD_WORDS = "casino bets pills spam adult ads track loans xxx jackpot slots cheap free win porn farm replica poker prize cams".split()
-_SYLLABLES = "th tion ing an er on re ha es st nd or en ti ble le".split()
 _PATHS = ("/en/4821", "/fr/913.html", "/de/7710/", "/es/20145")
 
 
 def labelled_urls() -> list[tuple[str, int]]:
-    """The built-in small labelled table: url, 1 for those to block."""
+    """The default labelled table: url, 1 for those to block. Ordinary words and pairs of them against listed ones."""
     out = []
-    plain = [a + b for a in _SYLLABLES for b in _SYLLABLES if a != b][::3]
-    for k, word in enumerate(_GOOD_WORDS + plain):
-        for j, sub in enumerate(("", "www.", "m.", "blog.")):
-            out.append((f"https://{sub}{word}.example.{('com', 'net', 'org')[(k + j) % 3]}{_PATHS[(k + j) % 4]}", 0))
+    pairs = [f"{a}-{b}" for a, b in zip(_GOOD_WORDS, _GOOD_WORDS[7:])]
+    for k, word in enumerate(_GOOD_WORDS + pairs):
+        sub = ("", "www.", "m.", "blog.")[k % 4]
+        out.append((f"https://{sub}{word}.example.{('com', 'net', 'org')[k % 3]}{_PATHS[k // 3 % 4]}", 0))
     for k, word in enumerate(_BAD_WORDS):
         for j, step in enumerate((1, 3, 7, 11)):
             other = _BAD_WORDS[(k + step) % len(_BAD_WORDS)]
@@ -46,6 +52,15 @@ def labelled_urls() -> list[tuple[str, int]]:
     return out
 
 
+def weights_of(labelled: DataFrame) -> list[float]:
+    """The model of a labelled table (url, label: 1 for those to block; null labels are left out) of at most
+    MOST_LABELLED rows; a longer one is refused, not cut."""
+    rows = labelled.where("label is not null").select(F.col("url").cast("string"), F.col("label").cast("int")).limit(MOST_LABELLED + 1).collect()
+    if len(rows) > MOST_LABELLED:
+        raise ValueError(f"the labelled table is bounded by {MOST_LABELLED} rows")
+    return train(sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0] or "", r[1])))
+
+
 def split_url(url: str | None) -> tuple[str, str]:
     """Host and path, as the DataFrame expressions below give them."""
     if url is None or "://" not in url:
@@ -74,7 +89,8 @@ def train(rows: Iterable[tuple[str | None, int]], epochs: int = 60, rate: float
     """DIMENSIONS weights and the intercept, by gradient steps on the mean feature counts of each URL."""
     examples = []
     for url, label in rows:
-        buckets = features(*split_url(url)) if url and "://" in url else []
+        host, path = split_url(url)
+        buckets = features(host, path) if host else []
         examples.append((buckets, float(label)))
         if len(examples) > MOST_LABELLED:
             raise ValueError(f"the labelled table is bounded by {MOST_LABELLED} rows")
@@ -117,7 +133,8 @@ def _score(host: Column, path: Column, weights: list[float]) -> Column:
 
 
 def filter_urls(pages: DataFrame, weights: list[float] | None = None, rules: Iterable[tuple[str, str, str]] = RULES, threshold: float = THRESHOLD) -> DataFrame:
-    """page_id, host, path, rule, verdict and the model's score of every row of pages (page_id, url)."""
+    """page_id, host, path, rule, verdict and the model's score of every row of pages (page_id, url). weights: those of
+    weights_of(a labelled table), by default of the built-in one."""
     weights = weights or train(labelled_urls())
     host, path = host_and_path(F.col("url"))
     parts = pages.select("page_id", F.col("url").cast("string").alias("url")).select("page_id", host.alias("host"), path.alias("path"))
