@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import by_text_batches, map_slices, slices, table
 from .words import mix, ngrams, words_of
@@ -187,9 +188,14 @@ def _matches(part: pa.RecordBatch, items: Items, threshold: float) -> list[tuple
     return found
 
 
+def _id_type(benchmark: DataFrame) -> str:
+    """Whole numbers are carried as such, item ids of other types as text."""
+    return "long" if isinstance(benchmark.schema["item_id"].dataType, IntegralType) else "string"
+
+
 def _blocks(benchmark: DataFrame) -> Iterator[Items]:
     ids, texts, size = [], [], 0
-    for row in benchmark.select("item_id", F.col("text").cast("string").alias("text")).toLocalIterator():
+    for row in benchmark.select(F.col("item_id").cast(_id_type(benchmark)).alias("item_id"), F.col("text").cast("string").alias("text")).toLocalIterator():
         n = len((row["text"] or "").encode())
         if ids and size + n > BLOCK_BYTES:
             yield Items(ids, texts)
@@ -203,8 +209,9 @@ def _blocks(benchmark: DataFrame) -> Iterator[Items]:
 
 def find(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row for each passage of a document that copies a test item: doc_id, item_id, score, start_byte, end_byte."""
-    schema = "doc_id long, item_id long, score double, start_byte long, end_byte long"
+    schema = f"doc_id long, item_id {_id_type(benchmark)}, score double, start_byte long, end_byte long"
     names = [x.split()[0] for x in schema.split(", ")]
+    kinds = [pa.int64(), pa.int64() if _id_type(benchmark) == "long" else pa.string(), pa.float64(), pa.int64(), pa.int64()]
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
@@ -214,7 +221,7 @@ def find(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) ->
         def work(part: pa.RecordBatch, shared=shared) -> pa.RecordBatch | None:
             items = shared.value
             found = [(part.column(0)[t].as_py(), items.ids[i], s, a, b) for t, i, s, a, b in _matches(part, items, threshold)]
-            return pa.record_batch([pa.array(x, pa.float64() if n == "score" else pa.int64()) for n, x in zip(names, zip(*found, strict=True), strict=True)], names=names) if found else None
+            return pa.record_batch([pa.array(x, k) for k, x in zip(kinds, zip(*found, strict=True), strict=True)], names=names) if found else None
 
         part = map_slices(rows, work, schema)
         out = part if out is None else out.unionByName(part)
