@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from intervale.llm import decontamination, jaccard, lines, packing, quality
-from intervale.llm.common import table, written
+from intervale.llm.common import discard, table, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +21,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many sites share go, but for their first document; so do documents of which nothing is left."""
-    found = lines.dedup_lines(docs, short_sites=lines.SHORT_SITES)
+    found = lines.dedup_lines(docs)
     kept = found.where(~((F.col("lines_removed") > 0) & (F.length(F.trim("text")) == 0)))
     columns = [F.length("text").cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return kept.select(*columns)
@@ -58,5 +58,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, written(stage(spark, docs, sf_dir), f"stage-{name}")
+        if name != STAGES[0][0]:
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)

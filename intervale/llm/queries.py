@@ -14,7 +14,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_classifier": quality.query,
         "op2_url_filters": urls.query,
         "op3_line_dedup": lines.query,
-        "op3_line_dedup_whole": lines.whole_query,
         "op4_sharding": sharding.query,
         "op5_language_id": language.query,
         "op6_packing": packing.query,

@@ -11,7 +11,7 @@ import pytest
 
 from intervale.llm import decontamination as dc
 from intervale.llm import language as lg
-from intervale.llm import media, packing, quality, toxicity, urls
+from intervale.llm import jaccard, media, packing, quality, toxicity, urls
 from intervale.llm.words import distinct_by_text, ngrams, words_of
 
 TEXTS = ["", "one", " the  cat\tsat\non THE mat ", "é ü 漢字 x" * 3, "a b c d a b c d", "\x0b\x0c", "z" * 5000, "a\u00a0b"]
@@ -236,3 +236,70 @@ def test_payload_digest():
     padded = media.payload_of(raw.encode())
     assert len(padded) == 128 and media.payload_of(b"") == bytes(64) and len(media.payload_of(b"x" * 64)) == 64
     assert zlib.crc32(media.decode(media.encode_pgm(np.frombuffer(padded, np.uint8).reshape(-1, 64))).tobytes()) == zlib.crc32(padded)
+
+
+def test_broken_images_give_none():
+    for data in (b"P1\n2 2\n0 1 2 1\n", b"P2\n2 1\n9\n1 99999999999999999999999\n", b"P2\n2 1\n9\n-1 3\n", b"P2\n2 1\n9\n3 10\n", b"P5\n9999999999 9999999999\n255\n", b"P1\n2 2\n0 9 8 1\n", b"P3\n1 1\n255\n1 2 x\n"):
+        assert media.decode(data) is None
+    assert media.decode(b"P2\n2 1\n9\n0 9\n").tolist() == [[0, 255]]
+
+
+def test_both_stored_forms_give_the_payload_back():
+    kinds = set()
+    for n in (0, 1, 63, 64, 65, 128, 200, 1000):
+        payload = media.payload_of(bytes(k % 251 for k in range(n)))
+        form = media.stored_form(payload)
+        kinds.add(form[:2])
+        assert media.decode(form).tobytes() == payload and len(payload) % 64 == 0 and len(payload) >= max(n, 64)
+    assert kinds == {b"BM", b"P5"}
+
+
+def test_language_sums_stay_small_in_long_texts():
+    scores = np.zeros((400_000, 2), np.float32)
+    scores[:, 1] = -0.4
+    scores[399_000:, 0], scores[399_000:, 1] = -0.4, 0
+    labels = lg.viterbi(scores, np.array([0, len(scores)]), 25.0)
+    assert (labels[:399_000] == 0).all() and (labels[399_000:] == 1).all()
+
+
+def test_url_model_on_left_out_hosts():
+    rows = urls.labelled_urls()
+    right, listed, blocked = 0, 0, 0
+    for part in range(5):
+        held = [x for k, x in enumerate(rows) if k % 5 == part]
+        weights = urls.train([x for k, x in enumerate(rows) if k % 5 != part])
+        for url, label in held:
+            buckets = urls.features(*urls.split_url(url))
+            z = weights[-1] + sum(weights[b] for b in buckets) / len(buckets) ** 0.5
+            hit = 1 / (1 + np.exp(-z)) >= urls.THRESHOLD
+            right, listed, blocked = right + (hit and label), listed + label, blocked + hit
+    assert right >= 0.95 * blocked and right >= 0.7 * listed, (right, listed, blocked)
+
+
+def test_places_of_prefixes_keep_their_order():
+    r = np.random.default_rng(8)
+    values = np.sort(r.integers(0, 1 << 63, 400, dtype=np.uint64) * np.uint64(2))
+    text, ranks = np.zeros(400, np.int64), np.where(r.random(400) < 0.5, r.integers(1, 500, 400), 0).astype(np.uint64)
+    for order in range(3):
+        places = jaccard._prefix(values, text, ranks, np.array([0, 400]), np.array([400]), order)
+        assert (np.diff(places.astype(object)) >= 0).all() and (places >= jaccard._TOP).sum() == (ranks > 0).sum()
+        turned = places.view(np.int64) ^ np.int64(-1 << 63)
+        short = ((places >> np.uint64(32)).astype(np.uint32) ^ np.uint32(1 << 31)).view(np.int32)
+        assert (turned[1:] >= turned[:-1]).all() and (short[1:] >= short[:-1]).all()
+
+
+def test_the_bound_of_a_pair_holds():
+    """What the prefixes of two sets share, and the rest of the one that ends first, is never less than the overlap."""
+    r = random.Random(12)
+    for _ in range(400):
+        whole = r.sample(range(10_000), 120)
+        x = sorted(r.sample(whole, r.randrange(60, 110)))
+        y = sorted(r.sample(whole, r.randrange(60, 110)))
+        p = 85
+        a, b = (s[: int(jaccard.prefix_length(np.array([len(s)]), p)[0])] for s in (x, y))
+        beyond = [len(s) - len(t) for s, t in ((x, a), (y, b))]
+        rest = beyond[0] if a[-1] < b[-1] else beyond[1] if b[-1] < a[-1] else max(beyond)
+        overlap = len(set(x) & set(y))
+        assert len(set(a) & set(b)) + rest >= overlap
+        if 100 * overlap >= p * (len(x) + len(y) - overlap):
+            assert jaccard._may_reach(np.array(a), np.array(b), len(x), len(y), p) and set(a) & set(b)

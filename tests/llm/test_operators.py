@@ -39,7 +39,8 @@ def test_media_rows(spark, odd):
     assert len(rows) == len(ODD) and media.media_digest(empty(spark, odd)).count() == 0
     assert {r["n_bytes"] for r in rows} == {len((t or "").encode()) for _, t, *_ in ODD}
     pictures = spark.createDataFrame([(1, media.encode_bmp(media.decode(b"P2\n4 4\n9\n" + b"1 2 3 4 " * 4))), (2, None), (3, b"no")], "doc_id long, media binary")
-    found = {r["doc_id"]: r for r in media.media_features(pictures).collect()}
+    found = {r["doc_id"]: r for r in media.media_features(pictures.withColumn("height", F.lit(1)).withColumn("tiles", F.lit("x"))).collect()}
+    assert media.media_features(pictures.limit(0)).count() == 0
     assert len(found[1]["tiles"]) == 4 and found[2]["dhash"] is None and found[3]["tiles"] is None
 
 
@@ -70,6 +71,40 @@ def test_sharding_rows(spark, odd):
         assert slots == list(range(len(slots)))
 
 
+def test_slots_of_a_hot_row_lie_in_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "SLOT_ROWS", 50)
+    same = spark.range(4000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("copy").alias("text"))
+    rows = same.unionByName(spark.range(2000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text")))
+    found = sharding.shard_documents(rows, 8).collect()
+    for k in range(8):
+        slots = sorted(r["slot"] for r in found if r["shard"] == k)
+        assert slots == list(range(len(slots))) and len(slots) > 300
+
+
+def test_media_query_returns_digests_and_tiles(spark):
+    import hashlib
+    import io
+
+    import numpy as np
+
+    text = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    rows = media.query(spark, SMALL).collect()
+    assert len(rows) == len(text)
+    for r in rows:
+        raw = (text[r["doc_id"]] or "").encode()
+        payload = raw + bytes(-len(raw) % 64 if raw else 64)
+        form = media.stored_form(payload)
+        assert (r["n_bytes"], r["payload_bytes"], r["tail_crc32"], r["media_bytes"]) == (len(raw), len(payload), zlib.crc32(payload[-64:]), len(form))
+        assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r["media_sha256"] == hashlib.sha256(form).hexdigest()
+        image = np.frombuffer(payload, np.uint8).reshape(-1, 64)
+        assert r["feature"] == media.difference_hash(image)
+        whole = np.zeros((media.SIDE, media.SIDE), np.uint8)
+        for t in r["tiles"]:
+            part = np.load(io.BytesIO(t["npy"]))
+            whole[t["row"] : t["row"] + part.shape[0], t["column"] : t["column"] + part.shape[1]] = part
+        assert (whole == media.area_resize(image, media.SIDE, media.SIDE)).all()
+
+
 def test_sharding_is_balanced(spark):
     rows = sharding.query(spark, MIDDLE).toPandas()
     sizes = rows.groupby("shard")["size"].sum()
@@ -84,6 +119,11 @@ def test_urls_follow_rules(spark):
     for r in urls.filter_urls(pages).collect():
         rule, verdict = list(cases.values())[r["page_id"]]
         assert r["rule"] == rule and (verdict is None or r["verdict"] == verdict) and r["verdict"] in ("allow", "block")
+    labelled = spark.createDataFrame([*urls.labelled_urls(), (None, 1), ("http://x.org/", None)], "url string, label int")
+    own = urls.weights_of(labelled)
+    assert len(own) == urls.DIMENSIONS + 1 and urls.filter_urls(pages, own).count() == len(cases) and urls.filter_urls(pages.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        urls.weights_of(spark.range(urls.MOST_LABELLED + 1).select(F.lit("http://a.org/").alias("url"), F.lit(0).alias("label")))
     weights = urls.train(urls.labelled_urls())
     z = lambda u: weights[-1] + sum(weights[b] for b in urls.features(*urls.split_url(u))) / len(urls.features(*urls.split_url(u))) ** 0.5
     right = sum((z(u) > 0) == bool(y) for u, y in urls.labelled_urls())
@@ -105,9 +145,13 @@ def test_lines_against_brute_force(spark, odd):
         for x in t.split("\n"):
             sites.setdefault(key(x), set()).add(s)
             first.setdefault(key(x), d)
-    want = {d: "\n".join(x for x in t.split("\n") if len(x.strip(" ")) < lines.MIN_CHARS or len(sites[key(x)]) < lines.MIN_SITES or first[key(x)] == d) for d, t, _ in rows}
+    least = lambda x: lines.MIN_SITES if len(x.strip(" ")) >= lines.MIN_CHARS else lines.SHORT_SITES
+    want = {d: "\n".join(x for x in t.split("\n") if len(sites[key(x)]) < least(x) or first[key(x)] == d) for d, t, _ in rows}
     got = {x["doc_id"]: x["text"] for x in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert got == want and got != {d: t for d, t, _ in rows}
+    want = {d: "\n".join(x for x in t.split("\n") if len(sites[key(x)]) < lines.MIN_SITES or first[key(x)] == d) for d, t, _ in rows}
+    got = {x["doc_id"]: x["text"] for x in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, source string"), min_chars=0).collect()}
+    assert got == want and not any("short" in t.split("\n") for d, t in got.items() if d != first["short"])
     assert lines.dedup_lines(odd).count() == len(ODD) and lines.dedup_lines(empty(spark, odd)).count() == 0
     assert set(odd.columns) <= set(lines.dedup_lines(odd).columns)
 
@@ -124,10 +168,10 @@ def test_short_lines_of_many_sites_go(spark, odd):
     gone = lambda x, d: x.strip(" ") and len(sites[x.strip(" ").lower()]) >= least(x) and first[x.strip(" ").lower()] != d
     want = {d: "\n".join(x for x in t.split("\n") if not gone(x, d)) for d, t, _ in rows}
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = {x["doc_id"]: x["text"] for x in lines.dedup_lines(docs, short_sites=lines.SHORT_SITES).collect()}
+    got = {x["doc_id"]: x["text"] for x in lines.dedup_lines(docs).collect()}
     assert got == want and "All rights reserved." in got[0] and not any("All rights reserved." in got[k] for k in range(1, 60))
     assert all(got[60 + k] == "by chance.\nown" for k in range(lines.SHORT_SITES - 1))
-    assert lines.dedup_lines(odd, short_sites=lines.SHORT_SITES).count() == len(ODD)
+    assert lines.dedup_lines(odd).count() == len(ODD)
 
 
 def test_languages(spark, odd):
@@ -219,6 +263,42 @@ def test_jaccard_against_brute_force(spark, seed, small, block, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == brute_components(rows)
 
 
+def test_jaccard_links_through_a_null_id(spark):
+    r = random.Random(4)
+    words = ["w%d" % r.randrange(9999) for _ in range(120)]
+    a, b, c = (" ".join([*words[:k], "x%d" % k, *words[k + 1 :]]) if k else " ".join(words) for k in (20, 0, 90))
+    far = " ".join([*words[:10], "p", *words[11:40], "q", *words[41:]])
+    texts = {"a": a, "b": b, "c": c, "far": far}
+    assert len({d: v for d, v in brute_components([(1, a), (3, c)]).items() if v[1] == 1}) in (1, 2)
+    rows = [(1, texts["a"]), (None, texts["b"]), (3, texts["c"])]
+    found = jaccard.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(x["doc_id"], x["component_id"]) for x in found} == {(1, 1), (None, 1), (3, 1)}
+
+
+def test_jaccard_keeps_one_row_of_each_component(spark):
+    base = "the quick brown fox jumps over the lazy dog and runs far away from here"
+    rows = [(5, base, 1), (5, base, 2), (None, base, 3), (7, base + "  ", 4), (8, "other words that are in no other text at all", 5), (None, "", 6), (None, None, 7), (8, None, 8), (9, "only here", 9), (9, "a different one", 10)]
+    kept = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string, _gone_id int")).collect()
+    assert sorted(x["_gone_id"] for x in kept if x["_gone_id"] > 4) == [5, 6, 7, 8, 9, 10]
+    assert [x["doc_id"] for x in kept if x["_gone_id"] <= 4] == [5]
+    only_null = spark.createDataFrame([(None, base), (None, base), (None, base + " x")], "doc_id long, text string")
+    assert jaccard.keep_one(only_null, 5, 80).count() == 1
+
+
+def test_jaccard_of_many_long_near_copies(spark):
+    """A group of near copies of long texts, each with its own changes, links without a pair for each two."""
+    r = random.Random(9)
+    base = ["w%d" % r.randrange(50_000) for _ in range(3000)]
+    rows = []
+    for k in range(300):
+        copy = list(base)
+        for _ in range(12):
+            copy[r.randrange(len(copy))] = "e%d" % r.randrange(10**9)
+        rows.append((k, " ".join(copy)))
+    found = jaccard.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x["component_id"] for x in found} == {0}
+
+
 def test_jaccard_odd_rows(spark, odd):
     found = jaccard.components(odd).collect()
     assert len(found) == len(ODD) and {r["component_id"] for r in found if r["doc_id"] in (3,)} == {3}
@@ -309,3 +389,36 @@ def test_pipeline(spark):
     assert decontamination.find(kept, spark.read.parquet(f"{MIDDLE}/benchmark.parquet")).count() == 0
     pieces = p.STAGES[-1][1](spark, kept, MIDDLE)
     assert pieces.select("doc_id").distinct().count() == kept.select("doc_id").distinct().count()
+
+
+def test_decontamination_carries_text_ids(spark):
+    benchmark = spark.createDataFrame([("item-a", "alpha beta gamma delta epsilon zeta eta theta"), (None, "one two three four five six seven")], "item_id string, text string")
+    docs = spark.createDataFrame([(1, "so alpha beta gamma delta epsilon zeta eta theta it is, alpha beta gamma delta epsilon zeta eta theta again"), (2, "nothing"), (None, "one two three four five six seven")], "doc_id long, text string")
+    found = decontamination.find(docs, benchmark).collect()
+    assert sorted((str(x["doc_id"]), str(x["item_id"])) for x in found) == [("1", "item-a"), ("1", "item-a"), ("None", "None")]
+    assert [x["doc_id"] for x in decontamination.clean(docs, benchmark).collect()] == [2]
+
+
+def test_every_language_has_its_own_threshold(spark):
+    r = random.Random(2)
+    rows = [(k, " ".join("".join(r.choices("abcde" if k % 2 else "vwxyz", k=5)) for _ in range(80)), f"l{k % 40:02}", "s", 1) for k in range(4000)]
+    docs = spark.createDataFrame(rows, DOCS)
+    marks = spark.createDataFrame([(k, 1) for k in range(4000)], "doc_id long, quality int")
+    found = quality.scores(docs, marks).select("lang", "threshold").distinct().collect()
+    assert len({x["lang"] for x in found}) == 40 == len(found) and len({x["threshold"] for x in found}) > 20
+
+
+def test_pipeline_of_odd_rows(spark, odd):
+    import corpus_pipeline as p
+
+    columns = odd.columns
+    for docs in (odd, empty(spark, odd)):
+        for name, stage in p.STAGES[:-1]:
+            docs = stage(spark, docs, SMALL)
+            assert docs.columns == columns, name
+            docs = spark.createDataFrame(docs.collect(), odd.schema)
+        p.STAGES[-1][1](spark, docs, SMALL).count()
+    # Each stage by itself: what it may not take away stays, whatever its ids and texts.
+    assert p.near_duplicate_stage(spark, odd, SMALL).where("text is null or trim(text) = ''").count() == odd.where("text is null or trim(text) = ''").count()
+    assert p.decontamination_stage(spark, odd, SMALL).count() == len(ODD) and p.line_stage(spark, odd, SMALL).count() == len(ODD)
+    assert p.packing_stage(spark, odd, SMALL).select("doc_id").distinct().count() == len({x[0] for x in ODD})
