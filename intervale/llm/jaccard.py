@@ -160,9 +160,9 @@ def _signatures(docs: DataFrame, n: int, percent: int, frequent: np.ndarray) ->
 
 
 def _postings(signs: DataFrame) -> DataFrame:
-    """token, class_id, n_shingles, last: the prefix tokens under the first order that several classes share, and the
-    last token of the class's prefix. Most tokens belong to one class: a filter of the shared ones keeps these out of
-    the exchange."""
+    """token, class_id, n_shingles, last, most: the prefix tokens under the first order that several classes share, the
+    last token of the class's prefix, and a bound of how many of its tokens are shared. Most tokens belong to one class:
+    a filter of the shared ones keeps these out of the exchange."""
     tokens = signs.select(F.explode("prefix").alias("token"), F.xxhash64("class_id").alias("_h"))
     shared = written(tokens.groupBy("token").agg(F.min("_h").alias("_low"), F.max("_h").alias("_high")).where("_low <> _high").select("token"), "shared-tokens")
     known = signs.sparkSession.sparkContext.broadcast(filter_of(shared, bits_for(shared)))
@@ -172,12 +172,14 @@ def _postings(signs: DataFrame) -> DataFrame:
             lists = batch.column("prefix")
             values, size = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
             keep = might_hold(known.value, values)
-            row = pa.array(np.repeat(np.arange(len(size)), size)[keep])
-            last = values[np.cumsum(size) - 1] if len(values) else np.empty(0, np.int64)
-            yield pa.record_batch([pa.array(values[keep]), batch.column("class_id").take(row), batch.column("n_shingles").take(row), pa.array(last).take(row)], names=["token", "class_id", "n_shingles", "last"])
+            owner = np.repeat(np.arange(len(size)), size)[keep]
+            most, row = np.bincount(owner, minlength=len(size)), pa.array(owner)
+            # With the top bit turned, places are in order as signed numbers too.
+            last = values[np.cumsum(size) - 1] ^ np.int64(-1 << 63) if len(values) else np.empty(0, np.int64)
+            yield pa.record_batch([pa.array(values[keep]), batch.column("class_id").take(row), batch.column("n_shingles").take(row), pa.array(last).take(row), pa.array(most).take(row)], names=["token", "class_id", "n_shingles", "last", "most"])
 
     by_text_batches(signs.sparkSession)
-    near = signs.where("prefix is not null").select("class_id", "n_shingles", "prefix").mapInArrow(run, "token long, class_id binary, n_shingles long, last long")
+    near = signs.where("prefix is not null").select("class_id", "n_shingles", "prefix").mapInArrow(run, "token long, class_id binary, n_shingles long, last long, most long")
     # Both by token: one exchange serves the join and the search for repeats.
     out = written(near.join(shared, "token", "left_semi").distinct(), "postings")
     known.unpersist()
@@ -205,9 +207,9 @@ def _direct_pairs(lists: DataFrame, percent: int) -> DataFrame:
     count as shared."""
     small = lists.where(F.col("members") <= SMALL)
     long = lists.where(F.col("members") > SMALL).groupBy("class_id").agg(F.sum("weight").alias("_long"))
-    x, y = (small.select("token", "weight", *[F.col(c).alias(c + s) for c in ("class_id", "n_shingles", "last")]) for s in ("_a", "_b"))
-    sizes = F.least("n_shingles_a", "n_shingles_b") * 100 >= F.greatest("n_shingles_a", "n_shingles_b") * percent
-    found = x.join(y.drop("weight"), "token").where((F.col("class_id_a") < F.col("class_id_b")) & sizes)
+    x, y = (small.select("token", "weight", *[F.col(c).alias(c + s) for c in ("class_id", "n_shingles", "last", "most")]) for s in ("_a", "_b"))
+    fits = _reaches(F.least("most_a", "most_b"), F.col("n_shingles_a"), F.col("n_shingles_b"), F.col("last_a"), F.col("last_b"), percent)
+    found = x.join(y.drop("weight"), "token").where((F.col("class_id_a") < F.col("class_id_b")) & fits)
     found = found.groupBy("class_id_a", "class_id_b", "n_shingles_a", "n_shingles_b", "last_a", "last_b").agg(F.sum("weight").alias("_shared"))
     # A class that no longer list holds can share no more than the small ones say.
     least = F.least(F.coalesce("_long_a", F.lit(0)), F.coalesce("_long_b", F.lit(0)))
@@ -221,8 +223,8 @@ def _star_pairs(long: DataFrame, percent: int) -> DataFrame:
     """A pair for each class of the long lists: with the leader, the class with most tokens in long lists, that leads
     most of its tokens."""
     middle = long.groupBy("class_id").agg(F.sum("weight").alias("_middle"))
-    led = long.join(middle, "class_id").groupBy("token").agg(F.max_by(F.struct("class_id", "n_shingles"), F.struct("_middle", "class_id")).alias("_leader"))
-    fits = F.least("n_shingles", "_leader.n_shingles") * 100 >= F.greatest("n_shingles", "_leader.n_shingles") * percent
+    led = long.join(middle, "class_id").groupBy("token").agg(F.max_by(F.struct("class_id", "n_shingles", "last", "most"), F.struct("_middle", "class_id")).alias("_leader"))
+    fits = _reaches(F.least("most", "_leader.most"), F.col("n_shingles"), F.col("_leader.n_shingles"), F.col("last"), F.col("_leader.last"), percent)
     by = long.join(led, "token").where(fits & (F.col("class_id") != F.col("_leader.class_id")))
     by = by.groupBy("class_id", F.col("_leader.class_id").alias("_by")).agg(F.sum("weight").alias("_tokens"))
     one = by.groupBy("class_id").agg(F.max_by("_by", F.struct("_tokens", "_by")).alias("_by"))
@@ -469,12 +471,13 @@ def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     judged = each.join(first, "component").withColumn("_is", F.col("doc_id").eqNullSafe(F.col("_first.doc_id")) & (F.col("text_hash") == F.col("_first.text_hash")))
     ids, texts = fresh(docs, "_gone_id"), fresh(docs, "_gone_text")
     judged = written(judged.where("not _is or _rows > 1").select(F.col("doc_id").alias(ids), F.col("text_hash").alias(texts), "_is"), "judged")
-    gone = judged.drop("_is")
-    if judged.count() <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
+    rows = judged.agg(F.count(F.lit(1)), F.count_if("_is")).first()
+    side = lambda t, n: F.broadcast(t.drop("_is")) if n <= BROADCAST_ROWS else t.drop("_is")
     same = F.col("doc_id").cast("long").eqNullSafe(F.col(ids)) & (F.xxhash64(F.col("text").cast("string")) == F.col(texts))
-    repeats = docs.join(judged.where("_is").drop("_is"), same).dropDuplicates([ids, texts]).select(*docs.columns)
-    return docs.join(gone, same, "left_anti").unionByName(repeats)
+    kept = docs.join(side(judged, rows[0]), same, "left_anti")
+    if not rows[1]:
+        return kept
+    return kept.unionByName(docs.join(side(judged.where("_is"), rows[1]), same).dropDuplicates([ids, texts]).select(*docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
