@@ -117,38 +117,145 @@ def _merged(segments: DataFrame, most: int, rows_of: Callable[[dict, list], list
     return shipped(few).groupBy("file_id").applyInPandas(run, "file_id long, " + schema)
 
 
-def complete_linkage(vectors: np.ndarray, most_distance: float) -> list[int]:
-    """Clusters whose farthest members are at most `most_distance` apart (1 - cosine), merged nearest first; numbered
-    by first appearance."""
+#: Distances between clusters that complete_linkage holds at once, 8 bytes each, and those computed in one step.
+HELD, STEP = 1 << 25, 1 << 21
+
+
+def complete_linkage(vectors: np.ndarray, most_distance: float, held: int = HELD) -> list[int]:
+    """Clusters whose farthest members are at most `most_distance` apart (1 - cosine), merged nearest first (a tie: the
+    first pair); numbered by first appearance. Copies start as one cluster; a vector with a NaN or infinity stays alone.
+    Time grows with the square of the vectors. As long as more pairs of clusters are left than `held`, distances are
+    computed from the vectors when asked for; from then on they are kept in a matrix."""
     n = len(vectors)
     if n == 0:
         return []
-    unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-    away = 1.0 - unit @ unit.T
+    size = np.linalg.norm(vectors, axis=1, keepdims=True)
+    with np.errstate(invalid="ignore"):
+        unit = vectors / np.maximum(size, 1e-12)
+    # A cluster goes by its first row. Rows without a direction are unlike each other even as copies.
+    first: dict = {}
+    group = np.array([first.setdefault(x.tobytes(), k) if 1e-12 < s < np.inf else k for k, (x, s) in enumerate(zip(vectors + 0.0, size[:, 0]))])
+    rows = np.flatnonzero((group == np.arange(n)) & np.isfinite(unit).all(axis=1))
+    points = unit[rows]
+    owner = np.arange(len(rows))
+    if len(rows) ** 2 > held:
+        owner = _merge_by_vectors(points, most_distance, int(held**0.5))
+    owner = _merge_by_matrix(points, owner, most_distance)
+    group[rows] = rows[owner]
+    group = group[group]  # copies follow their first row
+    names: dict[int, int] = {}
+    return [names.setdefault(g, len(names)) for g in group.tolist()]
+
+
+def _merge_nearest(least: np.ndarray, near: np.ndarray, nearest: Callable, join: Callable, most_distance: float, left: int = 1) -> None:
+    """Calls join(a, b) for the nearest two clusters, a < b, until `left` clusters are left or none are near enough. The
+    joined one goes by a. least, near: each cluster's distance to the nearest later one, and that one. Farthest members
+    never come nearer, so a distance to a cluster that was joined since is a lower bound: nearest(a) finds the two anew
+    only when the bound is the least of all."""
+    stale = np.zeros(len(least), bool)
+    count = len(least)
+    while count > left:
+        a = int(least.argmin())
+        if not least[a] <= most_distance:
+            return
+        if stale[a]:
+            near[a], least[a] = nearest(a)
+            stale[a] = False
+            continue
+        b = int(near[a])
+        join(a, b)
+        stale[:b] |= (near[:b] == a) | (near[:b] == b)
+        stale[a] = True
+        least[b] = np.inf
+        count -= 1
+
+
+def _merge_by_vectors(points: np.ndarray, most_distance: float, left: int) -> np.ndarray:
+    """The first point of each point's cluster after merges down to `left` clusters. Little memory: a cluster's distances
+    to the later ones cost a product of its members with their points."""
+    n = len(points)
+    step = max(1, STEP // n)
+    least, near = np.empty(n), np.empty(n, int)
+    for k in range(0, n, step):
+        away = 1.0 - points[k : k + step] @ points[k:].T
+        away[np.tril_indices(len(away), 0, n - k)] = np.inf
+        near[k : k + step] = k + away.argmin(axis=1)
+        least[k : k + step] = away.min(axis=1)
+    owner = np.arange(n)
+    members: dict[int, list[int]] = {}
+
+    def nearest(a: int) -> tuple[int, float]:
+        rest, of = points[a + 1 :], members.get(a, [a])
+        if not len(rest):
+            return a, np.inf
+        away = np.full(len(rest), -np.inf)
+        for k in range(0, len(of), step):
+            np.maximum(away, (1.0 - points[of[k : k + step]] @ rest.T).max(axis=0), out=away)
+        far = np.full(len(rest), -np.inf)
+        later = np.flatnonzero(owner[a + 1 :] > a)
+        np.maximum.at(far, owner[a + 1 :][later] - a - 1, away[later])
+        far[far == -np.inf] = np.inf
+        b = int(far.argmin())
+        return a + 1 + b, far[b]
+
+    def join(a: int, b: int) -> None:
+        moved = members.pop(b, [b])
+        owner[moved] = a
+        members.setdefault(a, [a]).extend(moved)
+
+    _merge_nearest(least, near, nearest, join, most_distance, left)
+    return owner
+
+
+def _merge_by_matrix(points: np.ndarray, owner: np.ndarray, most_distance: float) -> np.ndarray:
+    """owner after all further merges, by the distances of all pairs of clusters."""
+    firsts, cluster = np.unique(owner, return_inverse=True)
+    order = np.argsort(cluster, kind="stable")
+    points, n = points[order], len(firsts)
+    starts = np.searchsorted(cluster[order], np.arange(n))
+    step = max(1, STEP // max(1, len(points)))
+    away = np.full((n, n), -np.inf)
+    for k in range(0, len(points), step):
+        far = 1.0 - points[k : k + step] @ points.T
+        at = cluster[order][k : k + step]
+        if n < len(points):
+            cuts = np.flatnonzero(np.diff(at, prepend=-1))
+            far, at = np.maximum.reduceat(np.maximum.reduceat(far, starts, axis=1), cuts, axis=0), at[cuts]
+        away[at] = np.maximum(away[at], far)
     np.fill_diagonal(away, np.inf)
-    group = list(range(n))
-    while n > 1:
-        a, b = sorted(divmod(int(away.argmin()), len(away)))
-        if not away[a, b] <= most_distance:
-            break
-        group = [a if g == b else g for g in group]
+    to = np.arange(n)
+
+    def nearest(a: int) -> tuple[int, float]:
+        rest = away[a, a + 1 :]
+        if not len(rest):
+            return a, np.inf
+        b = int(rest.argmin())
+        return a + 1 + b, rest[b]
+
+    def join(a: int, b: int) -> None:
+        to[to == b] = a
         away[a] = away[:, a] = np.maximum(away[a], away[b])
         away[a, a] = np.inf
-        away[b] = away[:, b] = np.inf
-        n -= 1
-    names: dict[int, int] = {}
-    return [names.setdefault(g, len(names)) for g in group]
+        away[:, b] = np.inf
+
+    found = [nearest(a) for a in range(n)]
+    _merge_nearest(np.array([d for _, d in found]), np.array([b for b, _ in found], int), nearest, join, most_distance)
+    return firsts[to][cluster]
 
 
 def cluster_vectors(vectors: DataFrame, most_distance: float = 0.9) -> DataFrame:
-    """file_id, seg_idx, cluster by complete linkage of each file's embeddings (hundreds a file)."""
+    """file_id, seg_idx, cluster by complete linkage of each file's embeddings. Files are dealt out by ranges, as by hash,
+    or in partitions that Spark joins as small, a task would get several of them."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("seg_idx")
         labels = complete_linkage(np.stack([np.asarray(v, float) for v in rows["embedding"]]), most_distance)
         return pd.DataFrame({"file_id": key[0], "seg_idx": rows["seg_idx"], "cluster": labels})
 
-    return shipped(vectors).where("embedding is not null").select("file_id", "seg_idx", "embedding").groupBy("file_id").applyInPandas(run, "file_id long, seg_idx long, cluster int")
+    spark = vectors.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    known = shipped(vectors).where("embedding is not null").select("file_id", "seg_idx", "embedding")
+    return known.repartitionByRange(tasks, "file_id").groupBy("file_id").applyInPandas(run, "file_id long, seg_idx long, cluster int")
 
 
 def _greedy(clusters: Column, names: Column) -> Column:

@@ -95,6 +95,55 @@ def test_cosine_and_merges():
     assert cl.complete_linkage(np.array([[1.0, 0], [1, 0.01], [0, 1], [0.01, 1]]), 0.5) == [0, 0, 1, 1]
 
 
+def plain_linkage(vectors, most):
+    unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+    away = 1 - unit @ unit.T
+    groups = [[k] for k in range(len(vectors))]
+    while pairs := [(max(away[x, y] for x in a for y in b), i, j) for i, a in enumerate(groups) for j, b in enumerate(groups) if i < j]:
+        d, i, j = min(pairs)
+        if d > most:
+            break
+        groups[i] += groups.pop(j)
+    of = {k: g for g, members in enumerate(groups) for k in members}
+    names = {}
+    return [names.setdefault(of[k], len(names)) for k in range(len(vectors))]
+
+
+@pytest.mark.parametrize("held", [1, 64, 1 << 25])
+@pytest.mark.parametrize("most", [0.05, 0.4, 0.9, 1.0, 1.6])
+def test_linkage_merges_nearest_first_by_vectors_and_by_matrix(most, held):
+    rng = np.random.default_rng(5)
+    few = rng.normal(size=(6, 5))
+    zeros = rng.normal(size=(24, 3))
+    zeros[::5] = 0
+    for v in (rng.normal(size=(30, 4)), few[rng.integers(0, 6, 30)], zeros, rng.choice([-0.5, 0.5], size=(25, 4)), np.eye(3)[rng.integers(0, 3, 12)]):
+        assert cl.complete_linkage(v, most, held) == plain_linkage(v, most)
+
+
+def test_a_vector_without_finite_values_stays_alone():
+    v = np.array([[1.0, 0], [np.nan, 1], [1, 0.01], [np.inf, 0], [np.inf, 0], [1, 0]])
+    assert cl.complete_linkage(v, 0.5) == [0, 1, 0, 2, 3, 0]
+    assert cl.complete_linkage(v[1:2], 0.5) == [0] and cl.complete_linkage(v[3:5], 0.5) == [0, 1]
+
+
+def test_linkage_takes_the_square_of_the_vectors_not_the_cube():
+    import time
+
+    v = np.random.default_rng(6).normal(size=(4000, 64))
+    began = time.process_time()
+    labels = cl.complete_linkage(v, 0.9)
+    assert time.process_time() - began < 15
+    assert len(labels) == 4000 and set(labels) == set(range(max(labels) + 1))
+
+
+def test_each_file_is_clustered_in_a_task_of_its_own(spark):
+    from pyspark.sql import functions as F
+
+    v = spark.range(120).select((F.col("id") % 4).alias("file_id"), F.col("id").alias("seg_idx"), F.array(F.cos("id"), F.sin("id")).alias("embedding"))
+    tasks = cl.cluster_vectors(v, 0.5).withColumn("task", F.spark_partition_id()).groupBy("task").agg(F.countDistinct("file_id").alias("files")).collect()
+    assert [r["files"] for r in tasks] == [1] * 4
+
+
 def test_edit_counts_and_mapping():
     assert ev.edit_counts("abcd", "abxd")["edits"] == 1
     assert ev.normalized("Ａ， b!") == "ab"
